@@ -25,31 +25,71 @@ def no_spans() -> Column:
 def with_offsets(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` with its start: ``array<struct<value,start>>``.
 
-    The text between matches comes from splitting on the same pattern; a running sum
-    over both gives the starts. Texts without a match never pay for the split.
+    A match whose value occurs only once in the rest of the text is placed by a plain
+    substring search. Only where some value occurs again is the text also split on the
+    pattern, which gives the gaps between the matches. Texts without a match pay for
+    neither.
     """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def locate(matches: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-        pairs = F.zip_with(
-            gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))
+        return bind(
+            _search_each(text, matches),
+            lambda r: F.when(r["exact"], r["found"]).otherwise(
+                _sum_gaps(matches, F.split(text, pattern, -1))
+            ),
         )
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(_LOCATED).alias("found"))
 
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["pos"] + pair["gap"]
-            hit = F.struct(pair["value"].alias("value"), begin.alias("start"))
+    return bind(
+        found, lambda m: F.when(F.size(m) > 0, locate(m)).otherwise(F.array().cast(_LOCATED))
+    )
+
+
+def _hit(value: Column, start: Column) -> Column:
+    return F.array(F.struct(value.alias("value"), start.alias("start")))
+
+
+def _search_each(text: Column, matches: Column) -> Column:
+    """``struct<found, exact>``: first occurrence of each value after the previous match.
+
+    ``exact`` holds while no value occurs a second time further on: the match is one of
+    the occurrences, so a single one must be it.
+    """
+    start = F.struct(
+        F.lit(0).alias("pos"), F.lit(True).alias("exact"),
+        F.array().cast(_LOCATED).alias("found"),
+    )
+
+    def step(acc: Column, value: Column) -> Column:
+        def place(at: Column) -> Column:  # one-based
             return F.struct(
-                (begin + F.length(pair["value"])).alias("pos"),
-                F.concat(acc["found"], F.array(hit)).alias("found"),
+                (at - 1 + F.length(value)).alias("pos"),
+                (F.position(value, text, at + 1) == 0).alias("exact"),
+                F.concat(acc["found"], _hit(value, at - 1)).alias("found"),
             )
 
-        return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+        placed = bind(F.position(value, text, acc["pos"] + 1), place)
+        return F.when(acc["exact"], placed).otherwise(acc)
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return bind(
-        found, lambda m: F.when(F.size(m) > 0, locate(m)).otherwise(F.array().cast(_LOCATED))
+    return F.aggregate(matches, start, step)
+
+
+def _sum_gaps(matches: Column, gaps: Column) -> Column:
+    """Starts as running sums of the lengths of gaps and matches."""
+    pairs = F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(matches)), matches,
+        lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")),
     )
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_LOCATED).alias("found"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        begin = acc["pos"] + pair["gap"]
+        return F.struct(
+            (begin + F.length(pair["value"])).alias("pos"),
+            F.concat(acc["found"], _hit(pair["value"], begin)).alias("found"),
+        )
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
 
 
 def _spans(
@@ -134,7 +174,8 @@ def detect_credit_card(text: Column) -> Column:
 
 
 def detect_ssn(text: Column) -> Column:
-    return _guarded(text, text.rlike(P.DIGITS_HINT), lambda t: _spans(t, "SSN", P.SSN))
+    return _guarded(text, F.contains(text, F.lit(P.SSN_HINT)),
+                    lambda t: _spans(t, "SSN", P.SSN))
 
 
 def detect_phone(text: Column) -> Column:
@@ -150,7 +191,7 @@ def _digit_spans(text: Column) -> Column:
         lambda t: F.concat(
             _spans(t, "IP_ADDRESS", P.IP_ADDRESS, valid=is_ipv4),
             _spans(t, "CREDIT_CARD", P.CREDIT_CARD, P.CARD_TAIL, is_card),
-            _spans(t, "SSN", P.SSN),
+            detect_ssn(t),
             _spans(t, "PHONE", P.PHONE, valid=is_phone),
         ),
     )

@@ -80,8 +80,8 @@ def unsupported_provider_message(provider: Column) -> Column:
 
 
 def is_blank(value: Column) -> Column:
-    """Null, empty, or white space only (Unicode white space without no-break spaces)."""
-    return value.isNull() | ~value.rlike(r"[^\s\x1c-\x1f  -  -    　]")
+    """Null, empty, or Unicode white space only (no-break spaces count as text)."""
+    return value.isNull() | ~value.rlike(r"\P{javaWhitespace}")
 
 
 def sanitize_message(message: Column) -> Column:
