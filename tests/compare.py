@@ -1,0 +1,85 @@
+"""Run queries beside their SQL and report differences: ``python -m tests.compare [name ...]``."""
+
+from __future__ import annotations
+
+import math
+import sys
+import time
+from collections import Counter
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    db = duckdb.connect()
+    for name in TABLES:
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return db
+
+
+def _plain(value):
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return None
+    return value
+
+
+def rows_of(columns, rows) -> Counter:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return Counter(tuple(_plain(r[i]) for i in order) for r in rows)
+
+
+def spark_rows(df) -> tuple[list[str], Counter]:
+    return sorted(df.columns), rows_of(df.columns, [tuple(r) for r in df.collect()])
+
+
+def sql_rows(db, statement: str) -> tuple[list[str], Counter]:
+    cursor = db.execute(statement)
+    names = [d[0] for d in cursor.description]
+    return sorted(names), rows_of(names, cursor.fetchall())
+
+
+def main(names: list[str]) -> None:
+    import __spark_entry__ as entry
+    from tests.session import make_session
+
+    sf_dir = "/root/testdata/sf0.01"
+    spark = make_session()
+    db = connect(sf_dir)
+    queries, oracle = entry.queries(), entry.oracle_sql()
+    bad = []
+    for name, run in queries.items():
+        if names and name not in names:
+            continue
+        started = time.time()
+        try:
+            columns, got = spark_rows(run(spark, sf_dir))
+        except Exception as problem:  # report and go on with the others
+            print(f"{name}: FAILED {str(problem)[:1500]}", flush=True)
+            bad.append(name)
+            continue
+        took = time.time() - started
+        if name not in oracle:
+            print(f"{name}: {sum(got.values())} rows, no SQL, {took:.1f} s", flush=True)
+            continue
+        started = time.time()
+        wanted_columns, wanted = sql_rows(db, oracle[name])
+        same = columns == wanted_columns and got == wanted
+        print(
+            f"{name}: {'ok' if same else 'DIFFERENT'} {sum(got.values())}/{sum(wanted.values())} "
+            f"rows, {took:.1f} s, SQL {time.time() - started:.1f} s", flush=True,
+        )
+        if not same:
+            bad.append(name)
+            print("   columns", columns, wanted_columns)
+            print("   only Spark", str(list((got - wanted).items())[:3])[:1500])
+            print("   only SQL  ", str(list((wanted - got).items())[:3])[:1500])
+    print("bad:", bad)
+
+
+if __name__ == "__main__":
+    main(sys.argv[1:])

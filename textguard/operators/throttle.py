@@ -26,6 +26,7 @@ from textguard.functions.bucket import admit, check_rate
 from textguard.sources.storage import write_once
 
 ROWS_PER_TASK = 50_000_000
+STATE_SCHEMA = "_client string, _tokens double, _last bigint"
 
 
 def _micros(df: DataFrame, ts: str) -> Column:
@@ -35,17 +36,21 @@ def _micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def _slices(keyed: DataFrame, fill_micros: int, rows_per_task: int) -> DataFrame:
+def _slices(
+    keyed: DataFrame, state: DataFrame, fill_micros: int, rows_per_task: int
+) -> DataFrame:
     """``_client, _slice, _chain, _round`` from row counts per client and time slice.
 
     Slices are as long as the bucket takes to fill, so a long enough pause always has
-    a slice boundary in it. One row per slice, however many events fall into it.
+    a slice boundary in it. One row per slice, however many events fall into it. Chain 0
+    goes on from a known state; every other chain starts with a full bucket.
     """
     counted = keyed.groupBy("_client", "_slice").agg(
         F.count("*").alias("n"), F.min("_us").alias("first"), F.max("_us").alias("last")
     )
+    counted = counted.join(state.select("_client", F.col("_last").alias("seen")), "_client", "left")
     by_time = Window.partitionBy("_client").orderBy("_slice")
-    pause = F.col("first") - F.lag("last").over(by_time)
+    pause = F.col("first") - F.greatest(F.lag("last").over(by_time), F.col("seen"))
     opens = F.when(F.coalesce(pause >= fill_micros, F.lit(True)), 1).otherwise(0)
     chains = counted.withColumn("_opens", opens).withColumn(
         "_chain", F.sum("_opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
@@ -109,17 +114,41 @@ def token_bucket(
             *columns, F.lit(True).alias("allowed"),
             F.lit(None).cast("bigint").alias("retry_after"),
         )
+    decided = decide(
+        events, client, ts, tie, None, capacity, refill_per_minute, max_rows_per_task
+    )
+    return decided.select(*columns, "allowed", "retry_after")
+
+
+def decide(
+    events: DataFrame,
+    client: str,
+    ts: str,
+    tie: str,
+    state: DataFrame | None,
+    capacity: int,
+    refill_per_minute: int,
+    max_rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """``token_bucket`` that also keeps ``_client, _chain, _us, _tokens, _last``.
 
+    ``state`` holds ``_client, _tokens, _last`` where buckets go on from earlier events.
+    """
+    spark = events.sparkSession
     fill_micros = -(-capacity * 60_000_000 // refill_per_minute) + 1
     us = _micros(events, ts)
     keyed = events.select(
-        *columns, F.coalesce(F.col(client).cast("string"), F.lit("")).alias("_client"),
+        client, ts, tie, F.coalesce(F.col(client).cast("string"), F.lit("")).alias("_client"),
         us.alias("_us"), F.floor(us / fill_micros).alias("_slice"),
     )
-    slices = write_once(_slices(keyed, fill_micros, max_rows_per_task), "throttle-slices")
+    if state is None:
+        state = spark.createDataFrame([], STATE_SCHEMA)
+    slices = write_once(
+        _slices(keyed, state, fill_micros, max_rows_per_task), "throttle-slices"
+    )
     placed = keyed.join(slices, ["_client", "_slice"])
 
-    def decide(rows: DataFrame) -> DataFrame:
+    def walk(rows: DataFrame) -> DataFrame:
         spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         spec += ", allowed boolean, retry_after bigint"
         return (
@@ -128,23 +157,34 @@ def token_bucket(
             .mapInPandas(_walk(capacity, refill_per_minute), spec)
         )
 
+    start = state.withColumn("_chain", F.lit(0).cast("bigint"))
     rounds = slices.agg(F.max("_round")).first()[0] or 0
-    fresh = placed.withColumn("_tokens", F.lit(None).cast("double")).withColumn(
-        "_last", F.lit(None).cast("bigint")
-    )
+    first = placed if rounds == 0 else placed.filter("_round = 0")
+    result = walk(first.join(start, ["_client", "_chain"], "left"))
     if rounds == 0:
-        return decide(fresh).select(*columns, "allowed", "retry_after")
+        return result
 
-    done = write_once(decide(fresh.filter("_round = 0")), "throttle-round")
-    result = done
+    done = result = write_once(result, "throttle-round")
     for number in range(1, rounds + 1):
         # one row per chain that goes on: the state of its last batch
-        state = (
-            done.groupBy("_client", "_chain")
-            .agg(F.max_by(F.struct("_tokens", "_last"), F.struct("_us", tie)).alias("s"))
-            .select("_client", "_chain", "s.*")
-        )
-        rows = placed.filter(F.col("_round") == number).join(state, ["_client", "_chain"])
-        done = write_once(decide(rows), "throttle-round")
+        rows = placed.filter(F.col("_round") == number)
+        on = ["_client", "_chain"]
+        done = write_once(walk(rows.join(_last_state(done, tie, *on), on)), "throttle-round")
         result = result.unionByName(done)
-    return result.select(*columns, "allowed", "retry_after")
+    return result
+
+
+def _last_state(decided: DataFrame, tie: str, *by: str) -> DataFrame:
+    last = F.max_by(F.struct("_tokens", "_last"), F.struct("_us", tie))
+    return decided.groupBy(*by).agg(last.alias("s")).select(*by, "s.*")
+
+
+def next_state(decided: DataFrame, tie: str, state: DataFrame | None) -> DataFrame:
+    """Buckets after these events; clients without an event keep the state they had."""
+    latest = F.struct(F.col("_chain"), F.col("_us"), F.col(tie))
+    after = decided.groupBy("_client").agg(
+        F.max_by(F.struct("_tokens", "_last"), latest).alias("s")
+    ).select("_client", "s.*")
+    if state is None:
+        return after
+    return after.unionByName(state.join(after, "_client", "left_anti"))

@@ -7,10 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textguard.functions import patterns as P
 from textguard.functions.bucket import admit, check_rate
+from textguard.operators.throttle import STATE_SCHEMA, decide, next_state
+from textguard.sources.storage import write_once
+from textguard.streaming.sinks import start
 
 OUTPUT = "client string, event_id bigint, ts_us bigint, allowed boolean, retry_after bigint"
 STATE = "tokens double, last bigint"
@@ -28,13 +32,15 @@ def throttle_stream(
     """``client, event_id, ts_us, allowed, retry_after`` for a stream of events.
 
     State is two numbers per client. Events of one micro-batch are taken in time order;
-    one that is older than the last refill refills nothing and still consumes. What one
-    client brings in a micro-batch is bounded by the source's rate options
-    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+    one that is older than the last refill refills nothing and still consumes.
+
+    One client's share of a micro-batch is sorted in memory, so bound it by the source's
+    rate options (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). Where a client can
+    bring more than that, use ``throttle_batches``.
     """
     check_rate(capacity, refill_per_minute)
 
-    def decide(
+    def take(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
@@ -62,5 +68,41 @@ def throttle_stream(
         F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
     )
     return keyed.groupBy("client").applyInPandasWithState(
-        decide, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+        take, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def throttle_batches(
+    events: DataFrame,
+    client: str,
+    ts: str,
+    tie: str,
+    out_path: str,
+    state_path: str,
+    capacity: int = P.BUCKET_CAPACITY,
+    refill_per_minute: int = P.BUCKET_REFILL_PER_MINUTE,
+    checkpoint: str | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """The same decisions by way of the batch operator, with the state in a table.
+
+    Each micro-batch cuts and walks hot clients as the batch operator does, so none has
+    to fit into one task. Decisions and the state after them go to one folder per batch:
+    a batch that runs again starts from the same state and replaces its own output.
+    """
+    check_rate(capacity, refill_per_minute)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = None
+        if batch_id > 0:
+            state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch={batch_id - 1}")
+        decided = write_once(
+            decide(batch, client, ts, tie, state, capacity, refill_per_minute), "throttled"
+        )
+        after = next_state(decided, tie, state)
+        after.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        kept = decided.select(client, ts, tie, "allowed", "retry_after")
+        kept.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    return start(events, write_batch, "throttle", checkpoint, available_now)
