@@ -153,9 +153,9 @@ OUTBOUND = MSK + [
     )
 ]
 
-LEAKS = MAPPINGS + [
+LEAKS = MAPPINGS + O.masked() + [
     ("out_masked", "SELECT request_id, masked_text AS text FROM msk_texts"),
-] + O.masked() + O.detections("out_masked") + [
+] + O.detections("out_masked") + [
     (
         "violations",
         """SELECT 'masked' AS stage, 'original_value' AS reason, m.type
