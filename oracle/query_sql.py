@@ -216,6 +216,8 @@ COUNTS = (
     "CASE WHEN type = 'EMAIL' THEN lower(value) ELSE value END) AS value_count"
 )
 
+GIVEN = TEXTS + [("given", "SELECT * FROM texts")] + O.masked("given", ("SSN", "PHONE"))
+
 ORACLE: dict[str, str] = {
     f"detect_{name}": sql(TEXTS + O.spans(kind), _spans(f"s_texts_{kind.lower()}"))
     for name, kind in {
@@ -243,6 +245,7 @@ ORACLE |= {
     ),
     "token_mappings": sql(MAPPINGS, "SELECT * FROM maps"),
     "masked_texts": sql(MSK, "SELECT request_id, masked_text FROM msk_texts"),
+    "mask_given_spans": sql(GIVEN, "SELECT request_id, masked_text FROM msk_given"),
     "passthrough": sql(
         TEXTS,
         "SELECT request_id, text AS masked_text, 0 AS detection_count, 0 AS token_count, "

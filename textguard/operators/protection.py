@@ -31,6 +31,31 @@ def with_expiry(df: DataFrame, ttl: timedelta | None = None) -> DataFrame:
     return df.withColumn("expires_at", F.col("stored_at") + lifetime)
 
 
+def seal_mappings(mappings: Column, key: str | None) -> Column:
+    """``array<struct<token,type,sealed,start,end>>`` from plain mappings.
+
+    An unusable key is an error on the first mapping, so texts without any need no key.
+    """
+    try:
+        S.check_key(key)
+        problem = None
+    except S.KeyConfigError as error:
+        problem = str(error)
+
+    def sealed(m: Column) -> Column:
+        if problem:
+            return F.raise_error(F.lit(problem)).cast("binary")
+        return S.seal(m["original_value"], key)
+
+    return F.transform(
+        mappings,
+        lambda m: F.struct(
+            m["token"].alias("token"), m["type"].alias("type"), sealed(m).alias("sealed"),
+            m["start"].alias("start"), m["end"].alias("end"),
+        ),
+    )
+
+
 def protect(
     analyzed: DataFrame,
     key: str | None,
@@ -39,33 +64,15 @@ def protect(
 ) -> DataFrame:
     """Seal every mapping of every analysed text into mapping sets.
 
-    Texts without mappings store nothing and need no key: an unusable key fails the
-    job on the first mapping, so nothing is committed. Write the result once before
-    using it twice; each evaluation draws fresh nonces.
+    Texts without mappings store nothing. A failure anywhere fails the whole job, so
+    nothing is committed. Write the result once before using it twice; each evaluation
+    draws fresh nonces.
     """
     S.hide_keys(analyzed.sparkSession)
-    try:
-        S.check_key(key)
-        def seal(value: Column) -> Column:
-            return S.seal(value, key)
-    except S.KeyConfigError as problem:
-        message = str(problem)
-
-        def seal(value: Column) -> Column:
-            return F.raise_error(F.lit(message)).cast("binary")
-
     stored_at = F.current_timestamp() if stored_at is None else stored_at
-    sealed = F.transform(
-        F.col("analysis.mappings"),
-        lambda m: F.struct(
-            m["token"].alias("token"), m["type"].alias("type"),
-            seal(m["original_value"]).alias("sealed"), m["start"].alias("start"),
-            m["end"].alias("end"),
-        ),
-    )
-    rows = analyzed.filter(F.size("analysis.mappings") > 0)
-    sets = rows.select(
-        F.col("request_id").cast("string").alias("request_id"), sealed.alias("mappings"),
+    sets = analyzed.filter(F.size("analysis.mappings") > 0).select(
+        F.col("request_id").cast("string").alias("request_id"),
+        seal_mappings(F.col("analysis.mappings"), key).alias("mappings"),
         stored_at.cast("timestamp").alias("stored_at"),
     )
     return with_expiry(sets, ttl)

@@ -77,27 +77,28 @@ def segments_table(df: DataFrame, id_col: str, masked_col: str = "masked_text")
     return spans_table(df, id_col, M.segment_masked(F.col(masked_col)))
 
 
-def leak_check(
-    df: DataFrame,
-    id_col: str = "request_id",
-    masked_col: str = "masked_text",
-    mappings_col: str = "mappings",
-) -> DataFrame:
-    """Outbound texts that still hold protected data; empty when the boundary holds.
+def leaks(masked: Column, mappings: Column) -> Column:
+    """``array<struct<type,reason>>``: what an outbound text still gives away.
 
-    Two row-local tests: an original value standing in the masked text, and anything
-    a fresh detection pass finds in it. Only ids, types and the reason come out.
+    Two row-local tests: an original value standing in the text, and anything a fresh
+    detection pass finds in it. No values come out, only types and the reason.
     """
-    masked = F.col(masked_col)
-    kept = F.filter(
-        F.col(mappings_col), lambda m: F.contains(masked, m["original_value"])
-    )
 
     def reason(name: str):
         return lambda s: F.struct(s["type"].alias("type"), F.lit(name).alias("reason"))
 
-    violations = F.concat(
+    kept = F.filter(mappings, lambda m: F.contains(masked, m["original_value"]))
+    return F.concat(
         F.transform(kept, reason("original_value")),
         F.transform(detect(masked), reason("detected")),
     )
-    return spans_table(df, id_col, violations)
+
+
+def leak_check(
+    df: DataFrame,
+    id_col: str = "request_id",
+    masked_col: str = "masked_text",
+    mappings_col: str = "mappings",
+) -> DataFrame:
+    """One row per leak of an outbound table; empty when the boundary holds."""
+    return spans_table(df, id_col, leaks(F.col(masked_col), F.col(mappings_col)))

@@ -15,8 +15,10 @@ order. What is walked by one task is kept small:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,32 +64,40 @@ def _slices(
 
 
 def _walk(capacity: int, refill: int):
-    """Batch iterator over rows sorted by client, chain and time."""
+    """Batch iterator over rows sorted by client, chain and time.
+
+    The open bucket is carried from batch to batch, so a chain may span any number.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tokens, last = None, 0.0, 0
         for batch in batches:
-            pieces = []
-            for key, rows in batch.groupby(["_client", "_chain"], sort=False, dropna=False):
-                if key != current:
-                    start = rows.iloc[0]
-                    resumed = not pd.isna(start["_tokens"])
-                    tokens = float(start["_tokens"]) if resumed else float(capacity)
-                    last = int(start["_last"]) if resumed else int(start["_us"])
-                    current = key
-                allowed, waits, tokens, last = admit(
-                    rows["_us"].tolist(), tokens, last, capacity, refill
-                )
-                pieces.append(
-                    rows.assign(
-                        allowed=allowed,
-                        retry_after=pd.array(waits, dtype="Int64"),
-                        _tokens=tokens,
-                        _last=last,
-                    )
+            clients, chains = batch["_client"].to_numpy(), batch["_chain"].to_numpy()
+            micros = batch["_us"].tolist()
+            start_tokens, start_last = batch["_tokens"].tolist(), batch["_last"].tolist()
+            opens = (clients[1:] != clients[:-1]) | (chains[1:] != chains[:-1])
+            bounds = [0, *(np.flatnonzero(opens) + 1).tolist(), len(micros)]
+            allowed, waits, after_tokens, after_last = [], [], [], []
+            for low, high in zip(bounds, bounds[1:]):
+                if low == high:
+                    continue
+                if (clients[low], chains[low]) != current:
+                    current = (clients[low], chains[low])
+                    if math.isnan(start_tokens[low] or 0.0):
+                        tokens, last = float(capacity), micros[low]
+                    else:
+                        tokens, last = start_tokens[low], int(start_last[low])
+                took, told, tokens, last = admit(
+                    micros[low:high], tokens, last, capacity, refill
                 )
-            if pieces:
-                yield pd.concat(pieces)
+                allowed += took
+                waits += told
+                after_tokens += [tokens] * (high - low)
+                after_last += [last] * (high - low)
+            yield batch.assign(
+                allowed=allowed, retry_after=pd.array(waits, dtype="Int64"),
+                _tokens=after_tokens, _last=after_last,
+            )
 
     return run
 

@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
+from textguard.functions.binding import attach
 from textguard.functions.detection import Detector
+from textguard.functions.sealing import hide_keys
 from textguard.operators import rehydration
-from textguard.operators.protection import protect
+from textguard.operators.protection import seal_mappings, with_expiry
 from textguard.operators.routing import route_requests
 from textguard.operators.texts import with_analysis
-from textguard.sources.mappings import read_mappings, write_mappings
+from textguard.sources.mappings import write_mappings
 from textguard.sources.providers import mock_replies, outbound
-from textguard.sources.texts import RESULT_COLUMNS
+from textguard.sources.storage import write_once
 
 ReplyFn = Callable[[DataFrame], DataFrame]
 ANALYZED = "ANALYZED"
@@ -73,22 +75,38 @@ def analyze_stored(
 ) -> Analysis:
     """The same chain with sealed mappings written before any reply is asked for.
 
-    ``reply_fn`` sees ``request_id, provider, masked_text`` only. A reply that cannot
-    be restored becomes a reject row and no result.
+    The patterns run once: texts, masked texts and sealed mappings are written to a
+    staging table, from which the mapping table, the outbound columns and the results
+    are read. Replies meet it in one join on ``request_id``. ``reply_fn`` sees
+    ``request_id, provider, masked_text`` only. A reply that cannot be restored becomes
+    a reject row and no result.
     """
+    hide_keys(requests.sparkSession)
     now = F.current_timestamp() if now is None else now
+    stored_at = F.current_timestamp() if stored_at is None else stored_at
     accepted, rejects = route_requests(requests, providers, max_length, at)
-    analyzed = with_analysis(accepted)
-    write_mappings(protect(analyzed, key, stored_at, ttl), mapping_path)
-    sets = read_mappings(requests.sparkSession, mapping_path)
-
-    restored = rehydration.rehydrate(reply_fn(outbound(analyzed)), sets, key, now)
-    answers = rehydration.restored_replies(restored).select("request_id", "response")
-    results = analyzed.join(answers, "request_id")
+    staged = with_analysis(accepted).select(
+        "request_id", "text", "provider",
+        F.struct("analysis.masked_text", "analysis.detections").alias("analysis"),
+        seal_mappings(F.col("analysis.mappings"), key).alias("mappings"),
+        stored_at.cast("timestamp").alias("stored_at"),
+    )
+    staged = write_once(with_expiry(staged, ttl), "analyzed")
+    sets = staged.filter(F.size("mappings") > 0)
+    write_mappings(sets.select("request_id", "mappings", "stored_at", "expires_at"), mapping_path)
+
+    replies = reply_fn(outbound(staged)).select("request_id", "response_text")
+    live = F.when((F.size("mappings") > 0) & (F.col("expires_at") > now), F.col("mappings"))
+    restored = attach(
+        staged.join(replies, "request_id"), "restored",
+        rehydration.restore(F.col("response_text"), live, key),
+    )
+    good = restored.filter(F.col("restored.failure_kind").isNull())
+    failed = restored.select("request_id", "restored.failure_kind")
     return Analysis(
-        results.select(*_result("text", "provider", F.col("response"))),
-        rejects.unionByName(rehydration.failed_replies(restored, at)),
+        good.select(*_result("text", "provider", F.col("restored.response"))),
+        rejects.unionByName(rehydration.failed_replies(failed, at)),
     )
 
 
-__all__ = ["ANALYZED", "Analysis", "RESULT_COLUMNS", "analyze", "analyze_stored"]
+__all__ = ["ANALYZED", "Analysis", "analyze", "analyze_stored"]

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textguard.functions.binding import attach
 from textguard.functions.sealing import key_from_env
 from textguard.sources.storage import spread
 
@@ -61,8 +62,8 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages.select(_ids("page", "page_id").alias("request_id"), F.col("html").alias("text")),
         pages.select(_ids("url", "page_id").alias("request_id"), F.col("url").alias("text")),
         turns.select(_ids("turn", "conv_id", "turn").alias("request_id"), "text"),
-        customers.select(
-            _ids("note", "c_custkey").alias("request_id"), F.expr(CASE_NOTE).alias("text")
+        attach(customers, "text", F.expr(CASE_NOTE)).select(
+            _ids("note", "c_custkey").alias("request_id"), "text"
         ),
     ]
     texts = parts[0]
@@ -85,6 +86,5 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(size % 13 == 0, F.lit(" \n\t ")).when(size % 13 == 1, F.lit(None)).otherwise(
         F.col("text")
     )
-    return all_texts(spark, sf_dir).select(
-        "request_id", text.alias("text"), provider.alias("provider")
-    )
+    made = F.struct(text.alias("text"), provider.alias("provider"))
+    return attach(all_texts(spark, sf_dir), "made", made).select("request_id", "made.*")

@@ -22,7 +22,7 @@ from textguard.plans.analyze import analyze, analyze_stored
 from textguard.plans.inputs import KEY, OTHER_KEY, all_texts, at, now, requests, table
 from textguard.sources import mappings, providers
 from textguard.sources import texts as text_sources
-from textguard.sources.storage import new_path
+from textguard.sources.storage import new_path, write_once
 from textguard.streaming.mask import MASKED_SCHEMA, mask_and_protect, mask_stream
 from textguard.streaming.rehydrate import rehydrate_stream
 from textguard.streaming.sinks import to_parquet
@@ -72,8 +72,9 @@ def _twice_stored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies as they come back later: from a table, not from the texts."""
     analyzed = _analyzed(spark, sf).withColumn("provider", F.lit("mock"))
-    return providers.mock_replies(providers.outbound(analyzed))
+    return write_once(providers.mock_replies(providers.outbound(analyzed)), "replies")
 
 
 def _seconds(df: DataFrame, *columns: str) -> DataFrame:
@@ -423,17 +424,16 @@ def failed_replies(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def leak_check(spark: SparkSession, sf: str) -> DataFrame:
     """Violations by stage: none after masking, all of them when masking is skipped."""
-    analyzed = _analyzed(spark, sf)
 
-    def stage(name: str, outbound: str) -> DataFrame:
-        rows = analyzed.select(
-            "request_id", F.col(outbound).alias("masked_text"),
-            F.col("analysis.mappings").alias("mappings"),
+    def stage(name: str, outbound: str) -> Column:
+        found = texts.leaks(F.col(outbound), F.col("analysis.mappings"))
+        return F.transform(
+            found, lambda v: F.struct(F.lit(name).alias("stage"), v["reason"], v["type"])
         )
-        return texts.leak_check(rows).withColumn("stage", F.lit(name))
 
-    both = stage("masked", "analysis.masked_text").unionByName(stage("raw", "text"))
-    return both.groupBy("stage", "reason", "type").agg(F.count("*").alias("violations"))
+    both = F.concat(stage("masked", "analysis.masked_text"), stage("raw", "text"))
+    violations = texts.spans_table(_analyzed(spark, sf), "request_id", both)
+    return violations.groupBy("stage", "reason", "type").agg(F.count("*").alias("violations"))
 
 
 def _outbound(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,10 +5,8 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textguard.functions.detection import may_contain_pii
 from textguard.operators.protection import protect
 from textguard.operators.texts import masked_table, with_analysis
 from textguard.sources.mappings import write_mappings
@@ -38,13 +36,17 @@ def mask_and_protect(
 
     Masked rows go to one folder per batch, so a batch that runs again after a failure
     replaces its own rows. Mapping sets are appended first: a text run again seals its
-    mappings again and the newer set takes the place of the older.
+    mappings again and the newer set takes the place of the older. Both are written
+    from one analysis, kept for the length of the batch.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        may_hold = batch.filter(may_contain_pii(F.col("text")))
-        write_mappings(protect(with_analysis(may_hold), key, ttl=ttl), mapping_path)
-        masked = masked_table(with_analysis(batch))
-        masked.write.mode("overwrite").parquet(f"{masked_path}/batch={batch_id}")
+        analyzed = with_analysis(batch.select("request_id", "text")).drop("text").persist()
+        try:
+            write_mappings(protect(analyzed, key, ttl=ttl), mapping_path)
+            masked = masked_table(analyzed)
+            masked.write.mode("overwrite").parquet(f"{masked_path}/batch={batch_id}")
+        finally:
+            analyzed.unpersist()
 
     return start(texts, write_batch, "mask", checkpoint, available_now)
