@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def make_session(cores: int = 8) -> SparkSession:
@@ -18,3 +19,8 @@ def make_session(cores: int = 8) -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def at() -> Column:
+    """2024-01-01 00:00:00 UTC."""
+    return F.timestamp_seconds(F.lit(1_704_067_200))

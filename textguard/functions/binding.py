@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,23 @@ def attach(df: DataFrame, name: str, value: Column) -> DataFrame:
     inline it, so ``value`` runs once per row. Unused input columns are still pruned.
     """
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def remember(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Let a column function take column names, and build each such column only once.
+
+    Large expressions take many calls into the JVM to put together. A column made from
+    names alone is not tied to a DataFrame and can be used again in the same context.
+    """
+    made: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def column(text: Column | str, *args) -> Column:
+        if not isinstance(text, str):
+            return build(text, *args)
+        key = (SparkContext.getOrCreate(), text, *args)
+        if key not in made:
+            made[key] = build(F.col(text), *args)
+        return made[key]
+
+    return column

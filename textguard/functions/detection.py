@@ -5,14 +5,14 @@ Offsets count code points, so ``substring(text, start + 1, end - start) = value`
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
-from textguard.functions.binding import bind
+from textguard.functions.binding import bind, remember
 
 SPANS = "array<struct<type:string,value:string,start:int,end:int>>"
 _LOCATED = "array<struct<value:string,start:int>>"
@@ -153,31 +153,37 @@ def is_phone(value: Column) -> Column:
 # --- the six detectors ------------------------------------------------------------
 
 
+@remember
 def detect_email(text: Column) -> Column:
     return _guarded(text, F.contains(text, F.lit(P.EMAIL_HINT)),
                     lambda t: _spans(t, "EMAIL", P.EMAIL))
 
 
+@remember
 def detect_url(text: Column) -> Column:
     return _guarded(text, F.contains(text, F.lit(P.URL_HINT)),
                     lambda t: _spans(t, "URL", P.URL, tail=P.URL_TAIL))
 
 
+@remember
 def detect_ipv4(text: Column) -> Column:
     return _guarded(text, text.rlike(P.DIGITS_HINT),
                     lambda t: _spans(t, "IP_ADDRESS", P.IP_ADDRESS, valid=is_ipv4))
 
 
+@remember
 def detect_credit_card(text: Column) -> Column:
     return _guarded(text, text.rlike(P.DIGITS_HINT),
                     lambda t: _spans(t, "CREDIT_CARD", P.CREDIT_CARD, P.CARD_TAIL, is_card))
 
 
+@remember
 def detect_ssn(text: Column) -> Column:
     return _guarded(text, F.contains(text, F.lit(P.SSN_HINT)),
                     lambda t: _spans(t, "SSN", P.SSN))
 
 
+@remember
 def detect_phone(text: Column) -> Column:
     return _guarded(text, text.rlike(P.DIGITS_HINT),
                     lambda t: _spans(t, "PHONE", P.PHONE, valid=is_phone))
@@ -197,6 +203,7 @@ def _digit_spans(text: Column) -> Column:
     )
 
 
+@remember
 def may_contain_pii(text: Column) -> Column:
     """Cheap necessary condition for any of the six types; safe as a row filter."""
     return (
@@ -221,7 +228,7 @@ class Detector:
     spans: Callable[[Column], Column]
 
 
-def _candidates(text: Column, extra: Iterable[Detector]) -> Column:
+def _candidates(text: Column, extra: tuple[Detector, ...]) -> Column:
     """Spans of every detector with their sort keys, in detector order."""
     builtin = bind(
         text, lambda t: F.concat(detect_email(t), detect_url(t), _digit_spans(t))
@@ -231,7 +238,8 @@ def _candidates(text: Column, extra: Iterable[Detector]) -> Column:
     return F.concat(*lists)
 
 
-def union_candidates(text: Column, detectors: Iterable[Detector] = ()) -> Column:
+@remember
+def union_candidates(text: Column, detectors: tuple[Detector, ...] = ()) -> Column:
     """Validated spans of all detectors before overlaps are resolved."""
     return _candidates(text, detectors)
 
@@ -257,7 +265,7 @@ def keep_disjoint(ordered: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
 
 
-def resolve_overlaps(spans: Column, detectors: Iterable[Detector] = ()) -> Column:
+def resolve_overlaps(spans: Column, detectors: tuple[Detector, ...] = ()) -> Column:
     """Greedy choice in the order start, type priority, longer span, detector order."""
     priority = dict(P.PRIORITY)
     for d in detectors:
@@ -281,9 +289,9 @@ def resolve_overlaps(spans: Column, detectors: Iterable[Detector] = ()) -> Colum
     )
 
 
-def detect(text: Column, detectors: Iterable[Detector] = ()) -> Column:
+@remember
+def detect(text: Column, detectors: tuple[Detector, ...] = ()) -> Column:
     """Resolved, sorted, disjoint spans of one text; null or empty text gives none."""
-    detectors = tuple(detectors)
     return resolve_overlaps(_candidates(text, detectors), detectors)
 
 

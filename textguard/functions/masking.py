@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
-from textguard.functions.binding import bind
+from textguard.functions.binding import bind, remember
 from textguard.functions.detection import (
     SPANS, Detector, detect, keep_disjoint,
 )
@@ -110,7 +110,8 @@ def mask_text(text: Column, spans: Column) -> Column:
     return bind(clean_spans(spans), lambda s: splice(text, assign_tokens(s)))
 
 
-def analyze_text(text: Column, detectors: Iterable[Detector] = ()) -> Column:
+@remember
+def analyze_text(text: Column, detectors: tuple[Detector, ...] = ()) -> Column:
     """``struct<masked_text, detections, mappings>`` from one detection pass."""
 
     def result(t: Column, spans: Column) -> Column:
@@ -130,7 +131,6 @@ def analyze_text(text: Column, detectors: Iterable[Detector] = ()) -> Column:
             bind(assign_tokens(spans), build)
         )
 
-    detectors = tuple(detectors)
     return bind(
         F.struct(text.alias("text"), detect(text, detectors).alias("spans")),
         lambda r: result(r["text"], r["spans"]),
@@ -153,7 +153,8 @@ def token_pattern(types: Iterable[str] = tuple(P.PRIORITY)) -> str:
     return P.TOKEN_TEMPLATE % "|".join(types)
 
 
-def find_tokens(text: Column, types: Iterable[str] = tuple(P.PRIORITY)) -> Column:
+@remember
+def find_tokens(text: Column, types: tuple[str, ...] = tuple(P.PRIORITY)) -> Column:
     """Distinct well-formed tokens of known types in order of first appearance."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(token_pattern(types)), F.lit(0)))
     return F.when(F.contains(text, F.lit(P.TOKEN_HINT)), found).otherwise(
@@ -183,6 +184,7 @@ def splice_tokens(
     return bind(tokens, lambda found: F.when(F.size(found) == 0, text).otherwise(weave(found)))
 
 
+@remember
 def segment_masked(masked: Column) -> Column:
     """Masked text as ``array<struct<pos,is_token,piece>>`` for display, pieces in order.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textguard.functions import masking as M
 from textguard.functions import patterns as P
 from textguard.functions import sealing as S
-from textguard.functions.binding import attach, bind
+from textguard.functions.binding import attach, bind, remember
 from textguard.operators.protection import live_sets
 from textguard.operators.routing import error_rows
 
@@ -23,7 +23,7 @@ def reply_tokens(
 ) -> DataFrame:
     """One row per distinct known token of each reply: ``request_id, token``."""
     hit = replies.filter(F.contains(F.col(text_col), F.lit(P.TOKEN_HINT)))
-    tokens = F.explode_outer(M.find_tokens(F.col(text_col), types)).alias("token")
+    tokens = F.explode_outer(M.find_tokens(text_col, tuple(types))).alias("token")
     return hit.select("request_id", tokens).filter(F.col("token").isNotNull())
 
 
@@ -31,15 +31,16 @@ def _first_of_each(entries: Column, names: Column) -> Column:
     return F.filter(entries, lambda e, i: F.array_position(names, e["token"]) == i + 1)
 
 
+@remember
 def restore(
-    text: Column, mappings: Column, key: str | None, types: Iterable[str] = TYPES
+    text: Column, mappings: Column | str, key: str | None, types: tuple[str, ...] = TYPES
 ) -> Column:
     """``struct<response, token_count, failure_kind>`` for one reply and its sealed set.
 
     Every token found is opened before anything is replaced. If one cannot be opened,
     the whole reply fails and ``response`` is null: never a partly restored text.
     """
-    types = tuple(types)
+    mappings = F.col(mappings) if isinstance(mappings, str) else mappings
 
     def outcome(opened: Column) -> Column:
         values = F.map_from_entries(opened)
@@ -98,7 +99,7 @@ def rehydrate(
 
     joined = attach(
         replies.filter(with_token).join(sealed, "request_id", "left"),
-        "restored", restore(text, F.col("mappings"), key, types),
+        "restored", restore("response_text", "mappings", key, types),
     )
     plain = replies.filter(~with_token).withColumn(
         "restored",

@@ -34,16 +34,15 @@ def detections_table(
     inside whole-stage codegen before the patterns run.
     """
     detectors = tuple(detectors)
-    text = F.col(text_col)
-    rows = df if detectors else df.filter(may_contain_pii(text))
-    return spans_table(rows, id_col, detect(text, detectors))
+    rows = df if detectors else df.filter(may_contain_pii(text_col))
+    return spans_table(rows, id_col, detect(text_col, detectors))
 
 
 def with_analysis(
     df: DataFrame, text_col: str = "text", detectors: Iterable[Detector] = ()
 ) -> DataFrame:
     """Add ``analysis struct<masked_text, detections, mappings>``, computed once per row."""
-    return attach(df, "analysis", M.analyze_text(F.col(text_col), detectors))
+    return attach(df, "analysis", M.analyze_text(text_col, tuple(detectors)))
 
 
 def with_passthrough(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -74,10 +73,10 @@ def mappings_table(analyzed: DataFrame, id_col: str = "request_id") -> DataFrame
 
 def segments_table(df: DataFrame, id_col: str, masked_col: str = "masked_text") -> DataFrame:
     """Masked text cut into plain and token pieces: ``id, pos, is_token, piece``."""
-    return spans_table(df, id_col, M.segment_masked(F.col(masked_col)))
+    return spans_table(df, id_col, M.segment_masked(masked_col))
 
 
-def leaks(masked: Column, mappings: Column) -> Column:
+def leaks(masked_col: str, mappings_col: str) -> Column:
     """``array<struct<type,reason>>``: what an outbound text still gives away.
 
     Two row-local tests: an original value standing in the text, and anything a fresh
@@ -87,10 +86,11 @@ def leaks(masked: Column, mappings: Column) -> Column:
     def reason(name: str):
         return lambda s: F.struct(s["type"].alias("type"), F.lit(name).alias("reason"))
 
-    kept = F.filter(mappings, lambda m: F.contains(masked, m["original_value"]))
+    masked = F.col(masked_col)
+    kept = F.filter(mappings_col, lambda m: F.contains(masked, m["original_value"]))
     return F.concat(
         F.transform(kept, reason("original_value")),
-        F.transform(detect(masked), reason("detected")),
+        F.transform(detect(masked_col), reason("detected")),
     )
 
 
@@ -101,4 +101,4 @@ def leak_check(
     mappings_col: str = "mappings",
 ) -> DataFrame:
     """One row per leak of an outbound table; empty when the boundary holds."""
-    return spans_table(df, id_col, leaks(F.col(masked_col), F.col(mappings_col)))
+    return spans_table(df, id_col, leaks(masked_col, mappings_col))

@@ -98,8 +98,8 @@ def analyze_stored(
     replies = reply_fn(outbound(staged)).select("request_id", "response_text")
     live = F.when((F.size("mappings") > 0) & (F.col("expires_at") > now), F.col("mappings"))
     restored = attach(
-        staged.join(replies, "request_id"), "restored",
-        rehydration.restore(F.col("response_text"), live, key),
+        staged.join(replies, "request_id").withColumn("mappings", live), "restored",
+        rehydration.restore("response_text", "mappings", key),
     )
     good = restored.filter(F.col("restored.failure_kind").isNull())
     failed = restored.select("request_id", "restored.failure_kind")

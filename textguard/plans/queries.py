@@ -86,10 +86,10 @@ def _seconds(df: DataFrame, *columns: str) -> DataFrame:
 # --- detection --------------------------------------------------------------------
 
 
-def _one_detector(name: str, column: Callable[[Column], Column]) -> None:
+def _one_detector(name: str, column: Callable[..., Column]) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = all_texts(spark, sf)
-        return texts.spans_table(rows, "request_id", column(F.col("text")))
+        return texts.spans_table(rows, "request_id", column("text"))
 
     run.__name__ = name
     query(run)
@@ -136,7 +136,7 @@ def checked_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def union_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    found = D.union_candidates(F.col("text"))
+    found = D.union_candidates("text")
     return texts.spans_table(all_texts(spark, sf), "request_id", found)
 
 
@@ -151,8 +151,8 @@ def utf16_offsets(spark: SparkSession, sf: str) -> DataFrame:
     shifted = all_texts(spark, sf).select(
         "request_id", F.concat(F.lit("\U0001F600 "), F.col("text")).alias("text")
     )
-    found = D.to_utf16_offsets(F.col("text"), D.detect(F.col("text")))
-    rows = shifted.filter(D.may_contain_pii(F.col("text")))
+    found = D.to_utf16_offsets(F.col("text"), D.detect("text"))
+    rows = shifted.filter(D.may_contain_pii("text"))
     return texts.spans_table(rows, "request_id", found)
 
 
@@ -161,8 +161,8 @@ def utf16_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def assigned_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    rows = all_texts(spark, sf).filter(D.may_contain_pii(F.col("text")))
-    found = M.assign_tokens(M.clean_spans(D.detect(F.col("text"))))
+    rows = all_texts(spark, sf).filter(D.may_contain_pii("text"))
+    found = M.assign_tokens(M.clean_spans(D.detect("text")))
     return texts.spans_table(rows, "request_id", found)
 
 
@@ -182,7 +182,7 @@ def masked_texts(spark: SparkSession, sf: str) -> DataFrame:
 def mask_given_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Masking with unresolved candidates: overlaps are cut by start order alone."""
     spans = F.filter(
-        D.union_candidates(F.col("text")), lambda s: s["type"].isin("PHONE", "SSN")
+        D.union_candidates("text"), lambda s: s["type"].isin("PHONE", "SSN")
     )
     return all_texts(spark, sf).select(
         "request_id", M.mask_text(F.col("text"), spans).alias("masked_text")
@@ -426,7 +426,7 @@ def leak_check(spark: SparkSession, sf: str) -> DataFrame:
     """Violations by stage: none after masking, all of them when masking is skipped."""
 
     def stage(name: str, outbound: str) -> Column:
-        found = texts.leaks(F.col(outbound), F.col("analysis.mappings"))
+        found = texts.leaks(outbound, "analysis.mappings")
         return F.transform(
             found, lambda v: F.struct(F.lit(name).alias("stage"), v["reason"], v["type"])
         )
@@ -527,9 +527,9 @@ def detections_by_type(spark: SparkSession, sf: str) -> DataFrame:
 def detections_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Documents only: counts by type, source and language."""
     docs = table(spark, sf, "documents", "doc_id", "text", "source", "lang").filter(
-        D.may_contain_pii(F.col("text"))
+        D.may_contain_pii("text")
     )
-    found = F.explode_outer(D.detect(F.col("text"))).alias("span")
+    found = F.explode_outer(D.detect("text")).alias("span")
     spans = docs.select("source", "lang", found).filter(F.col("span").isNotNull())
     return reports.detections_by_type(spans.select("source", "lang", "span.*"), "source", "lang")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.operators.protection import SET_SCHEMA, live
+from textguard.operators.protection import SET_SCHEMA, live_sets
 
 TABLE_SCHEMA = SET_SCHEMA + ", expires_on date"
 
@@ -21,8 +21,15 @@ def read_mappings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
-def purge_expired(spark: SparkSession, path: str, target: str, now: Column) -> DataFrame:
-    """Copy what is still live into a new folder; whole expired days are never read."""
-    kept = live(read_mappings(spark, path), now)
+def purge_expired(
+    spark: SparkSession, path: str, target: str, now: Column, one_ttl: bool = False
+) -> DataFrame:
+    """Copy the live sets into a new folder, leaving out expired and replaced ones.
+
+    A replaced set may outlive its successor, so the newest is chosen first: dropping
+    only the expired successor would bring the older set back. With ``one_ttl`` that
+    cannot happen and whole expired days are never read.
+    """
+    kept = live_sets(read_mappings(spark, path), now, one_ttl)
     kept.write.partitionBy("expires_on").parquet(target)
     return read_mappings(spark, target)

@@ -44,7 +44,5 @@ def rehydrate_stream(
             F.col("reply_ts") < F.col("stored_at") + F.expr(f"INTERVAL {seconds} SECONDS")
         )
     joined = replies.join(sealed, on, "left")
-    restored = attach(
-        joined, "restored", restore(F.col("response_text"), F.col("mappings"), key)
-    )
+    restored = attach(joined, "restored", restore("response_text", "mappings", key))
     return restored.select("request_id", "provider", "reply_ts", "restored.*")
