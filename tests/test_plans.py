@@ -84,3 +84,30 @@ def test_stored_way_rejects_what_it_cannot_restore(spark, docs):
     done = analyze_stored(small, KEY, new_path(spark, "m"), reply_fn=odd, now=at(), stored_at=at(), at=at())
     assert done.results.filter("request_id = '1'").count() == 0
     assert [(r.request_id, r.status) for r in done.rejects.collect()] == [("1", 400)]
+
+
+def test_hot_request_is_split(spark, capsys):
+    """A request with a third of all replies is read by many tasks of the join."""
+    ids = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("r"), "id"))
+    text = F.concat(F.lit("{{EMAIL_001}} "), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4))
+    replies = write_once(spark.range(60_000).select(
+        ids.alias("request_id"), F.lit("mock").alias("provider"), text.alias("response_text")), "r")
+    texts = spark.createDataFrame([("hot", "hot@x.org")], "request_id string, text string")
+    sets = PR.protect(with_analysis(texts), KEY, at())
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        restored = RH.rehydrate(replies, sets, KEY, at()).groupBy("token_count").count()
+        got = {r["token_count"]: r["count"] for r in restored.collect()}
+        restored.explain()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {1: 20_000, 0: 40_000}
+    assert "skew=true" in capsys.readouterr().out

@@ -1,6 +1,10 @@
+import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textguard.functions.bucket import admit
@@ -57,6 +61,35 @@ def _busy(spark, n=4000):
     return _events(spark, ("hot", sorted(hot)), ("burst", bursts), ("rare", rare), (None, [0, 1, 2]))
 
 
+def _plain(micros, tokens, last, capacity, refill):
+    """One event after the other."""
+    rate, decided = refill / 60.0, []
+    for now in micros:
+        if now > last:
+            tokens = min(capacity, tokens + (now - last) * 1000 / 1e9 * rate)
+            last = now
+        if tokens >= 1:
+            tokens -= 1
+            decided.append((True, None))
+        else:
+            decided.append((False, max(1, math.ceil((1 - tokens) / rate))))
+    return decided, tokens, last
+
+
+@settings(max_examples=60, deadline=None)
+@given(
+    gaps=st.lists(st.integers(-2_000_000, 3_000_000), min_size=1, max_size=200),
+    dense=st.integers(1, 60), capacity=st.integers(1, 5), refill=st.integers(1, 200),
+)
+def test_stretches_equal_single_steps(gaps, dense, capacity, refill):
+    """Bit for bit, with long refused stretches and clocks that go backwards."""
+    micros = np.cumsum(np.repeat(gaps, dense) // dense).astype("int64")
+    decided, tokens, last = _plain(micros.tolist(), float(capacity), int(micros[0]), capacity, refill)
+    allowed, waits, got_tokens, got_last = admit(micros, float(capacity), int(micros[0]), capacity, refill)
+    assert [(bool(a), None if a else int(w)) for a, w in zip(allowed, waits)] == decided
+    assert (got_tokens, got_last) == (tokens, last)
+
+
 def _expected(df, capacity, refill):
     rows = sorted(df.collect(), key=lambda r: (r.client or "", r.ts, r.id))
     by_client = {}
@@ -65,8 +98,8 @@ def _expected(df, capacity, refill):
     out = {}
     for group in by_client.values():
         micros = [round((r.ts - START).total_seconds() * 1e6) for r in group]
-        allowed, waits, _, _ = admit(micros, float(capacity), micros[0], capacity, refill)
-        out |= {r.id: (a, w) for r, a, w in zip(group, allowed, waits)}
+        decided, _, _ = _plain(micros, float(capacity), micros[0], capacity, refill)
+        out |= {r.id: d for r, d in zip(group, decided)}
     return [out[i] for i in sorted(out)]
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable
+import numpy as np
 
-NANOS_PER_MICRO = 1_000
+PATIENCE = 16  # refusals taken one by one before a whole stretch is tried
+BLOCK = 4096
 
 
 def check_rate(capacity: int, refill_per_minute: int) -> None:
@@ -14,26 +14,49 @@ def check_rate(capacity: int, refill_per_minute: int) -> None:
 
 
 def admit(
-    micros: Iterable[int], tokens: float, last: int, capacity: int, refill_per_minute: int
-) -> tuple[list[bool], list[int | None], float, int]:
+    micros: np.ndarray, tokens: float, last: int, capacity: int, refill_per_minute: int
+) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Decide events in order; returns decisions, waits and the state afterwards.
 
     A clock that does not move forward refills nothing. A refused event takes nothing.
-    Waits are whole seconds, at least one, and null for admitted events.
+    Waits are whole seconds, at least one, and 0 for admitted events.
+
+    While a bucket is empty its level is a plain running sum of the refills, so long
+    stretches of refusals, which is what a client far over its rate consists of, are
+    summed at once. The additions are the same, in the same order.
     """
     per_second = refill_per_minute / 60.0
-    allowed: list[bool] = []
-    waits: list[int | None] = []
-    for now in micros:
-        if now > last:
-            elapsed = (now - last) * NANOS_PER_MICRO / 1e9
-            tokens = min(float(capacity), tokens + elapsed * per_second)
-            last = now
+    full = float(capacity)
+    clock = np.maximum.accumulate(np.concatenate(([last], micros)))
+    gains = (np.diff(clock) * 1_000 / 1e9) * per_second
+    count = len(micros)
+    allowed = np.zeros(count, dtype=bool)
+    levels = np.zeros(count)
+
+    at, refused = 0, 0
+    steps = gains.tolist()
+    while at < count:
+        if refused >= PATIENCE:
+            sums = np.add.accumulate(np.concatenate(([tokens], gains[at:at + BLOCK])))[1:]
+            enough = np.flatnonzero(sums >= 1.0)
+            stretch = int(enough[0]) if len(enough) else len(sums)
+            levels[at:at + stretch] = sums[:stretch]
+            if stretch:
+                tokens = float(sums[stretch - 1])
+            at += stretch
+            if len(enough):
+                refused = 0
+            continue
+        tokens = min(full, tokens + steps[at])
         if tokens >= 1.0:
             tokens -= 1.0
-            allowed.append(True)
-            waits.append(None)
+            allowed[at] = True
+            refused = 0
         else:
-            allowed.append(False)
-            waits.append(max(1, math.ceil((1.0 - tokens) / per_second)))
-    return allowed, waits, tokens, last
+            levels[at] = tokens
+            refused += 1
+        at += 1
+
+    waits = np.maximum(1, np.ceil((1.0 - levels) / per_second)).astype("int64")
+    waits[allowed] = 0
+    return allowed, waits, tokens, int(clock[-1])

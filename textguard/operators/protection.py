@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
 from textguard.functions import sealing as S
+from textguard.sources.storage import write_once
 
 SET_SCHEMA = (
     "request_id string, mappings array<struct<token:string,type:string,sealed:binary,"
@@ -123,16 +124,38 @@ def live_request_count(sets: DataFrame, now: Column, one_ttl: bool = False) -> D
     return live_sets(sets, now, one_ttl).agg(F.count("*").alias("live_requests"))
 
 
+def stored_live_sets(
+    sets: DataFrame, now: Column, one_ttl: bool = False, newest: bool = False
+) -> DataFrame:
+    """Live sets ready to be joined: ``request_id, mappings``.
+
+    The newest sets are written before the join. That leaves a plain scan under the
+    join's shuffle, which is what adaptive execution needs to split a hot request's
+    rows on the other side over many tasks. ``newest=True`` states that there is one
+    set per request already (a purged table); then nothing is written.
+    """
+    if not newest:
+        columns = ["request_id", "mappings", "stored_at", "expires_at"]
+        chosen = newest_sets(live(sets, now) if one_ttl else sets)
+        sets = write_once(chosen.select(*columns), "newest-sets")
+    return live(sets, now).select("request_id", "mappings")
+
+
+def _token_side(sets: DataFrame, now: Column) -> DataFrame:
+    flat = newest_sets(sets).select("request_id", F.explode("mappings").alias("m"), "expires_at")
+    rows = write_once(flat.select("request_id", "m.*", "expires_at"), "mapping-rows")
+    return live(rows, now).drop("expires_at")
+
+
 def lookup_mappings(tokens: DataFrame, sets: DataFrame, now: Column) -> DataFrame:
     """Left equi-join of ``(request_id, token)`` rows to their live sealed value.
 
     Unknown request, unknown token and expired set all give null.
     """
-    rows = mapping_rows(live_sets(sets, now)).drop("stored_at", "expires_at")
-    return tokens.join(rows, ["request_id", "token"], "left")
+    return tokens.join(_token_side(sets, now), ["request_id", "token"], "left")
 
 
 def unresolved_tokens(tokens: DataFrame, sets: DataFrame, now: Column) -> DataFrame:
     """``(request_id, token)`` rows with no live mapping."""
-    rows = mapping_rows(live_sets(sets, now)).select("request_id", "token")
-    return tokens.join(rows, ["request_id", "token"], "left_anti")
+    known = _token_side(sets, now).select("request_id", "token")
+    return tokens.join(known, ["request_id", "token"], "left_anti")

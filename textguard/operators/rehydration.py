@@ -11,7 +11,7 @@ from textguard.functions import masking as M
 from textguard.functions import patterns as P
 from textguard.functions import sealing as S
 from textguard.functions.binding import attach, bind, remember
-from textguard.operators.protection import live_sets
+from textguard.operators.protection import stored_live_sets
 from textguard.operators.routing import error_rows
 
 TYPES = tuple(P.PRIORITY)
@@ -83,19 +83,21 @@ def rehydrate(
     key: str | None,
     now: Column,
     one_ttl: bool = False,
+    newest: bool = False,
     types: Iterable[str] = TYPES,
 ) -> DataFrame:
     """Restore stored replies: ``request_id, provider, response, token_count, failure_kind``.
 
     One equi-join on ``request_id``; opening and splicing are row-local after it.
     Replies without a token never enter the join. Unknown, expired and foreign tokens
-    stay as they are.
+    stay as they are. ``one_ttl`` and ``newest`` say what is known about ``sets``, see
+    ``live_sets`` and ``stored_live_sets``.
     """
     types = tuple(types)
     S.hide_keys(replies.sparkSession)
     text = F.col("response_text")
     with_token = F.coalesce(F.contains(text, F.lit(P.TOKEN_HINT)), F.lit(False))
-    sealed = live_sets(sets, now, one_ttl).select("request_id", "mappings")
+    sealed = stored_live_sets(sets, now, one_ttl, newest)
 
     joined = attach(
         replies.filter(with_token).join(sealed, "request_id", "left"),

@@ -15,7 +15,6 @@ order. What is walked by one task is kept small:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
 from textguard.functions.bucket import admit, check_rate
-from textguard.sources.storage import write_once
+from textguard.sources.storage import new_path, write_once
 
 ROWS_PER_TASK = 50_000_000
 STATE_SCHEMA = "_client string, _tokens double, _last bigint"
@@ -73,31 +72,30 @@ def _walk(capacity: int, refill: int):
         current, tokens, last = None, 0.0, 0
         for batch in batches:
             clients, chains = batch["_client"].to_numpy(), batch["_chain"].to_numpy()
-            micros = batch["_us"].tolist()
+            micros = batch["_us"].to_numpy()
             start_tokens, start_last = batch["_tokens"].tolist(), batch["_last"].tolist()
             opens = (clients[1:] != clients[:-1]) | (chains[1:] != chains[:-1])
             bounds = [0, *(np.flatnonzero(opens) + 1).tolist(), len(micros)]
-            allowed, waits, after_tokens, after_last = [], [], [], []
+            allowed, waits = np.zeros(len(micros), bool), np.zeros(len(micros), "int64")
+            after_tokens, after_last = np.zeros(len(micros)), np.zeros(len(micros), "int64")
             for low, high in zip(bounds, bounds[1:]):
                 if low == high:
                     continue
                 if (clients[low], chains[low]) != current:
                     current = (clients[low], chains[low])
-                    if math.isnan(start_tokens[low] or 0.0):
-                        tokens, last = float(capacity), micros[low]
+                    if pd.isna(start_tokens[low]):
+                        tokens, last = float(capacity), int(micros[low])
                     else:
                         tokens, last = start_tokens[low], int(start_last[low])
-                took, told, tokens, last = admit(
-                    micros[low:high], tokens, last, capacity, refill
+                part = slice(low, high)
+                allowed[part], waits[part], tokens, last = admit(
+                    micros[part], tokens, last, capacity, refill
                 )
-                allowed += took
-                waits += told
-                after_tokens += [tokens] * (high - low)
-                after_last += [last] * (high - low)
+                after_tokens[part], after_last[part] = tokens, last
             yield batch.assign(
-                allowed=allowed, retry_after=pd.array(waits, dtype="Int64"),
+                allowed=allowed, retry_after=pd.Series(waits, batch.index).where(~allowed),
                 _tokens=after_tokens, _last=after_last,
-            )
+            ).astype({"retry_after": "Int64"})
 
     return run
 
@@ -168,17 +166,21 @@ def decide(
         )
 
     start = state.withColumn("_chain", F.lit(0).cast("bigint"))
+    on = ["_client", "_chain"]
     rounds = slices.agg(F.max("_round")).first()[0] or 0
-    first = placed if rounds == 0 else placed.filter("_round = 0")
-    result = walk(first.join(start, ["_client", "_chain"], "left"))
     if rounds == 0:
-        return result
-
-    done = result = write_once(result, "throttle-round")
+        return walk(placed.join(start, on, "left"))
+
+    # one folder per round: each row is read by its own round only
+    path = new_path(spark, "throttle-placed")
+    placed.write.partitionBy("_round").parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    done = result = write_once(
+        walk(placed.filter("_round = 0").join(start, on, "left")), "throttle-round"
+    )
     for number in range(1, rounds + 1):
         # one row per chain that goes on: the state of its last batch
         rows = placed.filter(F.col("_round") == number)
-        on = ["_client", "_chain"]
         done = write_once(walk(rows.join(_last_state(done, tie, *on), on)), "throttle-round")
         result = result.unionByName(done)
     return result

@@ -49,7 +49,7 @@ def throttle_stream(
         else:
             tokens, last = float(capacity), int(rows["ts_us"].iloc[0])
         allowed, waits, tokens, last = admit(
-            rows["ts_us"].tolist(), tokens, last, capacity, refill_per_minute
+            rows["ts_us"].to_numpy(), tokens, last, capacity, refill_per_minute
         )
         state.update((float(tokens), int(last)))
         yield pd.DataFrame(
@@ -58,7 +58,7 @@ def throttle_stream(
                 "event_id": rows["event_id"].to_numpy(),
                 "ts_us": rows["ts_us"].to_numpy(),
                 "allowed": allowed,
-                "retry_after": pd.array(waits, dtype="Int64"),
+                "retry_after": pd.Series(waits).where(~allowed).astype("Int64"),
             }
         )
 
