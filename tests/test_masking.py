@@ -127,3 +127,41 @@ def test_mask_and_restore(column, texts):
         assert numbers == list(range(1, len(numbers) + 1))
         assert len({(d.type, d.value.lower() if d.type == "EMAIL" else d.value)
                     for d in r.a.detections}) == len(numbers)
+
+
+def test_long_text_full_of_values(column):
+    """Hundreds of kilobytes with thousands of values: exact, across block borders."""
+    places, parts, size = [], [], 0
+    for i in range(3000):
+        lead = "é\U0001F600 " * (i % 5) + f"host{'abcdefg'[i % 7]} "
+        value = f"10.{i % 250}.{i // 250}.7" if i % 3 else f"user{i % 1500}@x.org"
+        places.append(("EMAIL" if i % 3 == 0 else "IP_ADDRESS", value, size + len(lead)))
+        parts += [lead, value, " said " + "hello " * (i % 40)]
+        size += sum(len(p) for p in parts[-3:])
+    text = "".join(parts)
+    (r,) = column(M.analyze_text, [text])
+    assert [(d.type, d.value, d.start) for d in r.detections] == places
+
+    tokens, wanted, end = {}, [], 0
+    for kind, value, start in places:
+        token = tokens.setdefault((kind, value), "{{%s_%03d}}" % (kind, len(tokens) + 1))
+        wanted += [text[end:start], token]
+        end = start + len(value)
+    assert r.masked_text == "".join(wanted) + text[end:]
+    assert [m.token for m in r.mappings] == list(tokens.values())
+
+    (units,) = column(lambda t: D.to_utf16_offsets(t, D.detect(t)), [text])
+    for (_, value, start), s in zip(places, units):
+        assert s.start == len(text[:start].encode("utf-16-be")) // 2
+        assert s.end - s.start == len(value)
+
+
+def test_pieces_across_blocks(spark):
+    from textguard.functions.binding import BLOCK, cut_blocks, cut_piece
+
+    text = "".join(chr(97 + i % 26) for i in range(3 * BLOCK + 5))
+    edges = [0, 1, BLOCK - 1, BLOCK, BLOCK + 1, 2 * BLOCK, 3 * BLOCK, len(text)]
+    pairs = [(a, b) for a in edges for b in edges if a <= b]
+    df = spark.createDataFrame([(a, b, text) for a, b in pairs], "a int, b int, t string")
+    got = df.select("a", "b", cut_piece(cut_blocks(F.col("t")), F.col("a"), F.col("b")).alias("r"))
+    assert all(r.r == text[r.a:r.b] for r in got.collect())

@@ -28,6 +28,78 @@ def attach(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+GROUP = 128
+
+
+def fold_into_array(
+    items: Column,
+    state: Column,
+    empty: Column,
+    step: Callable[[Column, Column], tuple[Column, Column]],
+) -> Column:
+    """Fold over an array with a small state, appending to an output array on the way.
+
+    ``step(state, item)`` gives the next state and the array to append; ``empty`` is an
+    empty output array. Appending copies what is there, so items are taken in groups
+    whose outputs are put together at the end: the cost stays close to linear.
+    """
+
+    def over(values: Column, state: Column) -> Column:
+        def merge(acc: Column, item: Column) -> Column:
+            following, found = step(acc["state"], item)
+            return F.struct(
+                following.alias("state"), F.concat(acc["out"], found).alias("out")
+            )
+
+        return F.aggregate(values, F.struct(state.alias("state"), empty.alias("out")), merge)
+
+    def grouped(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(values), F.lit(GROUP))
+        groups = F.transform(starts, lambda at: F.slice(values, at, F.lit(GROUP)))
+        begin = F.struct(
+            state.alias("state"), F.slice(F.array(empty), 1, 0).alias("outs")
+        )
+
+        def merge(acc: Column, group: Column) -> Column:
+            return bind(
+                over(group, acc["state"]),
+                lambda r: F.struct(
+                    r["state"].alias("state"),
+                    F.concat(acc["outs"], F.array(r["out"])).alias("outs"),
+                ),
+            )
+
+        return F.flatten(F.aggregate(groups, begin, merge, lambda acc: acc["outs"]))
+
+    return bind(
+        items,
+        lambda values: F.when(F.size(values) > GROUP, grouped(values)).otherwise(
+            over(values, state)["out"]
+        ),
+    )
+
+
+BLOCK = 4096
+
+
+def cut_blocks(text: Column) -> Column:
+    """A text as an array of blocks of ``BLOCK`` code points, the last one shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(BLOCK))
+    return F.transform(starts, lambda at: F.substring(text, at, F.lit(BLOCK)))
+
+
+def cut_piece(blocks: Column, begin: Column, end: Column) -> Column:
+    """``text[begin:end]`` out of its blocks, without walking the text from its start."""
+    first, last = F.floor(begin / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    within = F.substring(F.get(blocks, first), begin % BLOCK + 1, end - begin)
+    across = F.concat(
+        F.substring(F.get(blocks, first), begin % BLOCK + 1, F.lit(BLOCK)),
+        F.array_join(F.slice(blocks, first + 2, last - first - 1), ""),
+        F.substring(F.get(blocks, last), F.lit(1), (end - 1) % BLOCK + 1),
+    )
+    return F.when(end <= begin, F.lit("")).when(first == last, within).otherwise(across)
+
+
 def remember(build: Callable[..., Column]) -> Callable[..., Column]:
     """Let a column function take column names, and build each such column only once.
 

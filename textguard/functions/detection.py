@@ -12,11 +12,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
-from textguard.functions.binding import bind, remember
+from textguard.functions.binding import (
+    bind, cut_blocks, cut_piece, fold_into_array, remember,
+)
 
 SPANS = "array<struct<type:string,value:string,start:int,end:int>>"
 _LOCATED = "array<struct<value:string,start:int>>"
 
+# A search walks the text from its start, once or twice per match; beyond this many
+# characters walked a second pass of the pattern is cheaper.
+SEARCH_LIMIT = 1_000_000
+
 
 def no_spans() -> Column:
     return F.array().cast(SPANS)
@@ -26,15 +32,17 @@ def with_offsets(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` with its start: ``array<struct<value,start>>``.
 
     A match whose value occurs only once in the rest of the text is placed by a plain
-    substring search. Only where some value occurs again is the text also split on the
-    pattern, which gives the gaps between the matches. Texts without a match pay for
-    neither.
+    substring search. Where some value occurs again, or a long text holds many matches,
+    the text is also split on the pattern, which gives the gaps between the matches.
+    Texts without a match pay for neither.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def locate(matches: Column) -> Column:
+        few = F.size(matches).cast("bigint") * F.length(text) <= SEARCH_LIMIT
+        searched = F.when(few, _search_each(text, matches))
         return bind(
-            _search_each(text, matches),
+            searched,
             lambda r: F.when(r["exact"], r["found"]).otherwise(
                 _sum_gaps(matches, F.split(text, pattern, -1))
             ),
@@ -80,16 +88,12 @@ def _sum_gaps(matches: Column, gaps: Column) -> Column:
         F.slice(gaps, F.lit(1), F.size(matches)), matches,
         lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")),
     )
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_LOCATED).alias("found"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["pos"] + pair["gap"]
-        return F.struct(
-            (begin + F.length(pair["value"])).alias("pos"),
-            F.concat(acc["found"], _hit(pair["value"], begin)).alias("found"),
-        )
+    def step(pos: Column, pair: Column) -> tuple[Column, Column]:
+        begin = pos + pair["gap"]
+        return begin + F.length(pair["value"]), _hit(pair["value"], begin)
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    return fold_into_array(pairs, F.lit(0), F.array().cast(_LOCATED), step)
 
 
 def _spans(
@@ -250,19 +254,16 @@ def keep_disjoint(ordered: Column) -> Column:
     With spans in start order this equals "overlaps no kept span". A running maximum
     over all spans would be wrong: rejected spans must not block later ones.
     """
-    start = F.struct(F.lit(0).alias("last"), no_spans().alias("kept"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(last: Column, s: Column) -> tuple[Column, Column]:
         item = F.struct(*[s[f].alias(f) for f in ("type", "value", "start", "end")])
-        return F.when(
-            s["start"] >= acc["last"],
-            F.struct(
-                s["end"].alias("last"),
-                F.concat(acc["kept"], F.array(item)).alias("kept"),
-            ),
-        ).otherwise(acc)
+        free = s["start"] >= last
+        return (
+            F.when(free, s["end"]).otherwise(last),
+            F.when(free, F.array(item)).otherwise(no_spans()),
+        )
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
+    return fold_into_array(ordered, F.lit(0), no_spans(), step)
 
 
 def resolve_overlaps(spans: Column, detectors: tuple[Detector, ...] = ()) -> Column:
@@ -300,13 +301,23 @@ def utf16_length(text: Column) -> Column:
 
 
 def to_utf16_offsets(text: Column, spans: Column) -> Column:
-    """The same spans with offsets in UTF-16 units."""
+    """The same spans, sorted and disjoint, with offsets in UTF-16 units."""
 
-    def shift(s: Column) -> Column:
-        start = utf16_length(F.substring(text, F.lit(1), s["start"]))
-        return F.struct(
-            s["type"].alias("type"), s["value"].alias("value"), start.alias("start"),
-            (start + utf16_length(s["value"])).alias("end"),
-        )
+    def shift(blocks: Column) -> Column:
+        def step(state: Column, s: Column) -> tuple[Column, Column]:
+            gap = cut_piece(blocks, state["end"], s["start"])
+
+            def place(start: Column) -> Column:
+                return F.struct(
+                    s["type"].alias("type"), s["value"].alias("value"),
+                    start.alias("start"), (start + utf16_length(s["value"])).alias("end"),
+                )
+
+            moved = bind(state["units"] + utf16_length(gap), place)
+            units = state["units"] + utf16_length(gap) + utf16_length(s["value"])
+            return F.struct(s["end"].alias("end"), units.alias("units")), F.array(moved)
+
+        begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("units"))
+        return fold_into_array(spans, begin, no_spans(), step)
 
-    return F.transform(spans, shift)
+    return F.when(F.size(spans) == 0, no_spans()).otherwise(bind(cut_blocks(text), shift))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
-from textguard.functions.binding import bind, remember
+from textguard.functions.binding import bind, cut_blocks, cut_piece, remember
 from textguard.functions.detection import (
     SPANS, Detector, detect, keep_disjoint,
 )
@@ -91,18 +91,26 @@ def token_mappings(tokens: Column) -> Column:
 def splice(text: Column, tokens: Column) -> Column:
     """Replace each span by its token in one pass; everything else stays as it is."""
 
-    def pieces(kept: Column) -> Column:
+    def pieces(r: Column) -> Column:
+        kept, blocks, length = r["kept"], r["blocks"], r["length"]
+
         def piece(t: Column, i: Column) -> Column:
             before = F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
-            gap = F.substring(text, before + 1, t["start"] - before)
-            return F.concat(gap, t["token"])
+            return F.concat(cut_piece(blocks, before, t["start"]), t["token"])
+
+        tail = cut_piece(blocks, F.element_at(kept, -1)["end"], length)
+        return F.concat(F.array_join(F.transform(kept, piece), ""), tail)
 
-        tail = F.substring(text, F.element_at(kept, -1)["end"] + 1, F.length(text))
-        spliced = F.concat(F.array_join(F.transform(kept, piece), ""), tail)
-        return F.when(F.size(kept) == 0, text).otherwise(spliced)
+    def inside(length: Column) -> Column:
+        kept = F.filter(tokens, lambda t: t["end"] <= length)
+        return bind(
+            F.struct(
+                kept.alias("kept"), cut_blocks(text).alias("blocks"), length.alias("length")
+            ),
+            lambda r: F.when(F.size(r["kept"]) == 0, text).otherwise(pieces(r)),
+        )
 
-    inside = F.filter(tokens, lambda t: t["end"] <= F.length(text))
-    return F.coalesce(bind(inside, pieces), F.lit(""))
+    return F.coalesce(bind(F.length(text), inside), F.lit(""))
 
 
 def mask_text(text: Column, spans: Column) -> Column:
