@@ -79,7 +79,8 @@ def fold_into_array(
     )
 
 
-BLOCK = 4096
+BLOCK_BITS = 12
+BLOCK = 1 << BLOCK_BITS
 
 
 def cut_blocks(text: Column) -> Column:
@@ -90,7 +91,7 @@ def cut_blocks(text: Column) -> Column:
 
 def cut_piece(blocks: Column, begin: Column, end: Column) -> Column:
     """``text[begin:end]`` out of its blocks, without walking the text from its start."""
-    first, last = F.floor(begin / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    first, last = F.shiftright(begin, BLOCK_BITS), F.shiftright(end - 1, BLOCK_BITS)
     within = F.substring(F.get(blocks, first), begin % BLOCK + 1, end - begin)
     across = F.concat(
         F.substring(F.get(blocks, first), begin % BLOCK + 1, F.lit(BLOCK)),
