@@ -160,7 +160,7 @@ def test_vectorised_detector(spark):
         ("SHOUT", "HELLO"), ("EMAIL", "a@b.org")]
 
 
-def _reference(pattern: str, text: str) -> list[tuple[str, int]]:
+def _plain_scan(pattern: str, text: str) -> list[tuple[str, int]]:
     """The same pattern in Python; \\d, \\s and \\w are ASCII in both."""
     return [(m.group(), m.start()) for m in re.finditer(pattern, text, re.ASCII)]
 
@@ -176,7 +176,7 @@ def test_offsets_equal_a_plain_scan(column, texts):
         pattern = getattr(P, name)
         got = column(lambda t, p=pattern: D.with_offsets(t, p), texts)
         for text, hits in zip(texts, got):
-            assert [(h.value, h.start) for h in hits] == _reference(pattern, text), (name, text)
+            assert [(h.value, h.start) for h in hits] == _plain_scan(pattern, text), (name, text)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
