@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ def make_session(cores: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="textguard-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

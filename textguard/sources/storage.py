@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +12,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder of its own.
+    Where it is unset, scratch goes below the warehouse, which every executor can reach too.
     """
     known = spark.conf.get(CHECKPOINT_CONF, None)
     if not known:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"Set {CHECKPOINT_CONF} to a folder all executors can reach.")
-        known = tempfile.mkdtemp(prefix="textguard-")
+        known = f"{spark.conf.get('spark.sql.warehouse.dir')}/textguard-scratch"
         spark.conf.set(CHECKPOINT_CONF, known)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)
