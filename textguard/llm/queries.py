@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import quality_rules, sharding, warc
+from textguard.llm import quality_rules, sharding, simhash, substrings, warc
 from textguard.llm.common import table
 from textguard.sources.storage import new_path
 
@@ -16,6 +16,17 @@ def op1_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parsed(warc.read_archive(spark, path))
 
 
+def op2_bk_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.deduplicated(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -28,5 +39,5 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_content_archive, op9_quality_rules, op10_external_shuffle)}
-ORACLE = {"op1_content_archive": warc.SQL, "op9_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_content_archive, op2_bk_simhash, op5_suffix_trees, op9_quality_rules, op10_external_shuffle)}
+ORACLE = {"op1_content_archive": warc.SQL, "op5_suffix_trees": substrings.SQL, "op9_quality_rules": quality_rules.SQL}
