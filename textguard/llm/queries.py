@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import quality_rules, sharding, simhash, substrings, warc
-from textguard.llm.common import table
+from textguard.llm import language, quality_model, quality_rules, sharding, simhash, substrings, warc
+from textguard.llm.common import stored, table
 from textguard.sources.storage import new_path
 
 
@@ -27,6 +27,22 @@ def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fitted(docs)
+    found = language.identified(docs.select("doc_id", "text"), model)
+    held = language.held_out(F.col("doc_id"), 5, 0)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(quality_model.statistics(table(spark, sf_dir, "documents"), ["doc_id"]), "statistics")
+    held = language.held_out(F.col("doc_id"), 4, 2)
+    model = quality_model.train(*quality_model.training_rows(stats, table(spark, sf_dir, "labels"), ~held))
+    scored = stats.select("doc_id", held.alias("held_out"), model.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -39,5 +55,11 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_content_archive, op2_bk_simhash, op5_suffix_trees, op9_quality_rules, op10_external_shuffle)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_content_archive, op2_bk_simhash, op5_suffix_trees, op6_subword_language, op7_rule_ensemble,
+        op9_quality_rules, op10_external_shuffle,
+    )
+}
 ORACLE = {"op1_content_archive": warc.SQL, "op5_suffix_trees": substrings.SQL, "op9_quality_rules": quality_rules.SQL}
