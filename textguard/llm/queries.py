@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import language, quality_model, quality_rules, sharding, simhash, substrings, warc
+from textguard.llm import language, packing, planes, quality_model, quality_rules, sharding, simhash, substrings, warc
 from textguard.llm.common import stored, table
 from textguard.sources.storage import new_path
 
@@ -21,6 +22,13 @@ def op2_bk_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "llm-planes")
+    planes.write_planes(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    found = planes.read_documents(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return planes.with_starts(found, spark, path)
+
+
 def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substrings.deduplicated(docs)
@@ -43,6 +51,10 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op8_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -58,8 +70,8 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_content_archive, op2_bk_simhash, op5_suffix_trees, op6_subword_language, op7_rule_ensemble,
-        op9_quality_rules, op10_external_shuffle,
+        op1_content_archive, op2_bk_simhash, op3_byte_planes, op5_suffix_trees, op6_subword_language,
+        op7_rule_ensemble, op8_least_squares_packing, op9_quality_rules, op10_external_shuffle,
     )
 }
 ORACLE = {"op1_content_archive": warc.SQL, "op5_suffix_trees": substrings.SQL, "op9_quality_rules": quality_rules.SQL}
