@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import language, packing, planes, quality_model, quality_rules, sharding, simhash, substrings, warc
+from textguard.llm import language, packing, planes, quality_model, quality_rules, sharding, simhash, substrings, tiling, warc
 from textguard.llm.common import stored, table
 from textguard.sources.storage import new_path
 
@@ -29,6 +29,10 @@ def op3_byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.with_starts(found, spark, path)
 
 
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substrings.deduplicated(docs)
@@ -70,8 +74,8 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_content_archive, op2_bk_simhash, op3_byte_planes, op5_suffix_trees, op6_subword_language,
-        op7_rule_ensemble, op8_least_squares_packing, op9_quality_rules, op10_external_shuffle,
+        op1_content_archive, op2_bk_simhash, op3_byte_planes, op4_string_tiling, op5_suffix_trees,
+        op6_subword_language, op7_rule_ensemble, op8_least_squares_packing, op9_quality_rules, op10_external_shuffle,
     )
 }
 ORACLE = {"op1_content_archive": warc.SQL, "op5_suffix_trees": substrings.SQL, "op9_quality_rules": quality_rules.SQL}
