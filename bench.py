@@ -38,6 +38,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
+        .config("spark.textguard.input.partitions", cpus)
         # call-site capture costs several JVM calls for every column function
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

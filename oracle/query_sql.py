@@ -70,12 +70,15 @@ NEWEST = STORED + [
 REQUESTS = TEXTS + [
     (
         "requests",
-        r"""SELECT request_id,
-        CASE WHEN len(text) % 13 = 0 THEN ' ' || chr(10) || chr(9) || ' '
-             WHEN len(text) % 13 = 1 THEN NULL ELSE text END AS text,
-        CASE len(text) % 11 WHEN 0 THEN ' OpenAI ' WHEN 1 THEN 'ANTHROPIC'
-             WHEN 2 THEN 'unknown-provider' WHEN 3 THEN ' ' || chr(9) || ' '
-             ELSE 'mock' END AS provider FROM texts""",
+        r"""SELECT request_id, text, CASE len(text) % 11 WHEN 0 THEN ' OpenAI '
+             WHEN 1 THEN 'ANTHROPIC' ELSE 'mock' END AS provider FROM texts
+        UNION ALL SELECT 'provider-' || request_id, text,
+          CASE len(text) % 11 WHEN 2 THEN 'unknown-provider' ELSE ' ' || chr(9) || ' ' END
+          FROM texts WHERE len(text) % 11 IN (2, 3)
+        UNION ALL SELECT 'text-' || request_id,
+          CASE WHEN len(text) % 13 = 0 THEN ' ' || chr(10) || chr(9) || ' ' END,
+          CASE len(text) % 11 WHEN 0 THEN ' OpenAI ' WHEN 1 THEN 'ANTHROPIC' ELSE 'mock' END
+          FROM texts WHERE len(text) % 13 IN (0, 1)""",
     ),
     (
         "checked",
@@ -94,7 +97,12 @@ REQUESTS = TEXTS + [
         WHEN NOT within_size THEN 'too_large'
         WHEN resolved IS NULL THEN 'unsupported_provider' END AS kind FROM checked""",
     ),
-    ("accepted", "SELECT request_id, text, resolved AS provider FROM kinds WHERE kind IS NULL"),
+    ("within", "SELECT request_id, text, resolved AS provider FROM kinds WHERE kind IS NULL"),
+    (
+        "accepted",
+        "SELECT request_id, text, resolved AS provider FROM kinds "
+        "WHERE has_text AND has_provider AND resolved IS NOT NULL",
+    ),
     (
         "rejected",
         f"""SELECT request_id,
@@ -262,7 +270,7 @@ ORACLE |= {
         f"AS in_text, cast(len(list_distinct({TOKEN_LIST})) as int) AS in_masked FROM msk_texts",
     ),
     "accepted_requests": sql(
-        REQUESTS, "SELECT request_id, provider, cast(len(text) as int) AS text_length FROM accepted"
+        REQUESTS, "SELECT request_id, provider, cast(len(text) as int) AS text_length FROM within"
     ),
     "rejected_requests": sql(REQUESTS, "SELECT * FROM rejected"),
     "reject_summary": sql(
@@ -277,11 +285,16 @@ ORACLE |= {
         "SELECT event_id, kind, status, error, message FROM events JOIN rows "
         f"ON event_id % {len(ERROR_ROWS)} = i"
     ),
-    "sanitized_messages": sql(
-        TEXTS,
-        r"""SELECT request_id, CASE WHEN len(text) % 7 = 0 OR regexp_full_match(text, '\s*')
-        THEN 'Request failed.' ELSE substr(text, 1, 300) END AS message FROM texts""",
-    ),
+    "sanitized_messages": """WITH m AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type
+      || ' failed: ' || coalesce(props, '') || repeat('😀x', cast(event_id % 211 as int)) END AS m FROM events),
+      c AS (SELECT event_id, m, list_sum(list_transform(string_split(m, ''),
+        lambda x: CASE WHEN unicode(x) > 65535 THEN 2 ELSE 1 END)) AS units FROM m),
+      k AS (SELECT event_id, m, list_max(list_filter(range(1, 301), lambda i:
+        list_sum(list_transform(string_split(substr(m, 1, i), ''),
+          lambda x: CASE WHEN unicode(x) > 65535 THEN 2 ELSE 1 END)) <= 300)) AS fits FROM c WHERE units > 300)
+      SELECT event_id, CASE WHEN m = '' THEN 'Request failed.' ELSE m END AS message
+      FROM c WHERE m = '' OR units <= 300
+      UNION ALL SELECT event_id, substr(m, 1, fits) FROM k""",
     "reply_outcomes": """SELECT event_type, CASE event_id % 10 WHEN 0 THEN 'success'
       WHEN 1 THEN 'success' WHEN 2 THEN 'bad-request' WHEN 3 THEN 'unauthorized'
       WHEN 5 THEN 'too-large' WHEN 6 THEN 'rate-limited' WHEN 8 THEN 'provider-error'
@@ -292,7 +305,9 @@ ORACLE |= {
         """SELECT request_id, 'read' AS outcome, cast(len(text) as int) AS n FROM requests
         WHERE len(coalesce(text, '')) % 17 <> 0
         UNION ALL SELECT NULL, 'Invalid request.', cast(count(*) as int) FROM requests
-        WHERE len(coalesce(text, '')) % 17 = 0 HAVING count(*) > 0""",
+        WHERE len(coalesce(text, '')) % 17 = 0 HAVING count(*) > 0
+        UNION ALL SELECT NULL, 'drawn ids', cast(2 * count(*) as int) FROM requests
+        WHERE len(text) % 19 = 0""",
     ),
     "protected_mappings": sql(
         STORED,
@@ -360,9 +375,9 @@ ORACLE |= {
     "parsed_replies": sql(
         OUTBOUND,
         """SELECT request_id, CASE
-        WHEN len(masked_text) % 7 = 0 THEN masked_text || ' End.'
-        WHEN len(masked_text) % 7 = 1 THEN masked_text
-        WHEN len(masked_text) % 7 < 6 THEN '502 LLM provider request failed.'
+        WHEN len(masked_text) % 10 = 0 THEN masked_text || ' End.'
+        WHEN len(masked_text) % 10 IN (1, 7, 8, 9) THEN masked_text
+        WHEN len(masked_text) % 10 < 6 THEN '502 LLM provider request failed.'
         WHEN provider = 'openai' THEN masked_text ELSE ' End.' END AS outcome FROM sent""",
     ),
     "per_text_report": sql(
@@ -387,7 +402,15 @@ ORACLE |= {
     "throttled_stream": DECISIONS,
     "throttled_batches": DECISIONS,
     "analyzed_requests": sql(ANALYZED, "SELECT * FROM results"),
-    "analyzed_stored": sql(ANALYZED, "SELECT * FROM results"),
+    "analyzed_stored": sql(
+        ANALYZED,
+        """SELECT * FROM results WHERE len(processed_text) % 9 <> 0
+        UNION ALL SELECT request_id, NULL, NULL, NULL, '502 LLM provider request failed.', NULL, NULL
+        FROM results WHERE len(processed_text) % 9 = 0
+        UNION ALL SELECT request_id, NULL, NULL, NULL, CASE WHEN has_text AND has_provider
+          THEN '400 Unsupported provider: ' || provider ELSE '400 Invalid request.' END, NULL, NULL
+        FROM kinds WHERE NOT has_text OR NOT has_provider OR resolved IS NULL""",
+    ),
     "results_without_raw": sql(ANALYZED, "SELECT * EXCLUDE (original_text) FROM results"),
     "masked_stream": sql(
         REP,
@@ -399,7 +422,5 @@ ORACLE |= {
         "SELECT request_id, token_count, nullif(token_count, 0) AS stored FROM rep_texts",
     ),
     "rehydrated_stream": sql(RESTORED, RESTORED_ROWS.format(extra=STORED_BEFORE)),
-    "rehydrated_stream_join": sql(
-        RESTORED, RESTORED_ROWS.format(extra=STORED_BEFORE) + " WHERE live" + STORED_BEFORE
-    ),
+    "rehydrated_stream_join": sql(RESTORED, RESTORED_ROWS.format(extra=STORED_BEFORE)),
 }

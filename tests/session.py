@@ -17,6 +17,7 @@ def make_session(cores: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.textguard.input.partitions", str(cores))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="textguard-tests-"))
         .getOrCreate()
     )

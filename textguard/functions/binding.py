@@ -71,12 +71,7 @@ def fold_into_array(
 
         return F.flatten(F.aggregate(groups, begin, merge, lambda acc: acc["outs"]))
 
-    return bind(
-        items,
-        lambda values: F.when(F.size(values) > GROUP, grouped(values)).otherwise(
-            over(values, state)["out"]
-        ),
-    )
+    return bind(items, lambda values: F.when(F.size(values) > 0, grouped(values)).otherwise(empty))
 
 
 BLOCK_BITS = 12

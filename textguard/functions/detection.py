@@ -19,10 +19,6 @@ from textguard.functions.binding import (
 SPANS = "array<struct<type:string,value:string,start:int,end:int>>"
 _LOCATED = "array<struct<value:string,start:int>>"
 
-# A search walks the text from its start, once or twice per match; beyond this many
-# characters walked a second pass of the pattern is cheaper.
-SEARCH_LIMIT = 1_000_000
-
 
 def no_spans() -> Column:
     return F.array().cast(SPANS)
@@ -31,25 +27,15 @@ def no_spans() -> Column:
 def with_offsets(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` with its start: ``array<struct<value,start>>``.
 
-    A match whose value occurs only once in the rest of the text is placed by a plain
-    substring search. Where some value occurs again, or a long text holds many matches,
-    the text is also split on the pattern, which gives the gaps between the matches.
-    Texts without a match pay for neither.
+    The text is also split on the pattern, which gives the gaps between the matches; starts are
+    running sums of both. Texts without a match pay for one pass.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def locate(matches: Column) -> Column:
-        few = F.size(matches).cast("bigint") * F.length(text) <= SEARCH_LIMIT
-        searched = F.when(few, _search_each(text, matches))
-        return bind(
-            searched,
-            lambda r: F.when(r["exact"], r["found"]).otherwise(
-                _sum_gaps(matches, F.split(text, pattern, -1))
-            ),
-        )
-
     return bind(
-        found, lambda m: F.when(F.size(m) > 0, locate(m)).otherwise(F.array().cast(_LOCATED))
+        found,
+        lambda m: F.when(F.size(m) > 0, _sum_gaps(m, F.split(text, pattern, -1))).otherwise(
+            F.array().cast(_LOCATED)
+        ),
     )
 
 
@@ -57,31 +43,6 @@ def _hit(value: Column, start: Column) -> Column:
     return F.array(F.struct(value.alias("value"), start.alias("start")))
 
 
-def _search_each(text: Column, matches: Column) -> Column:
-    """``struct<found, exact>``: first occurrence of each value after the previous match.
-
-    ``exact`` holds while no value occurs a second time further on: the match is one of
-    the occurrences, so a single one must be it.
-    """
-    start = F.struct(
-        F.lit(0).alias("pos"), F.lit(True).alias("exact"),
-        F.array().cast(_LOCATED).alias("found"),
-    )
-
-    def step(acc: Column, value: Column) -> Column:
-        def place(at: Column) -> Column:  # one-based
-            return F.struct(
-                (at - 1 + F.length(value)).alias("pos"),
-                (F.position(value, text, at + 1) == 0).alias("exact"),
-                F.concat(acc["found"], _hit(value, at - 1)).alias("found"),
-            )
-
-        placed = bind(F.position(value, text, acc["pos"] + 1), place)
-        return F.when(acc["exact"], placed).otherwise(acc)
-
-    return F.aggregate(matches, start, step)
-
-
 def _sum_gaps(matches: Column, gaps: Column) -> Column:
     """Starts as running sums of the lengths of gaps and matches."""
     pairs = F.zip_with(

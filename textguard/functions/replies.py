@@ -29,38 +29,42 @@ def anthropic_request(masked: Column, model: str = P.ANTHROPIC_MODEL) -> Column:
     )
 
 
+def _scalar(node: Column, path: str) -> Column:
+    """The text of a string, number or truth value; empty for an object or a list; else null."""
+    kind = F.schema_of_variant(F.try_variant_get(node, path, "variant"))
+    return F.when(kind.rlike("^(OBJECT|ARRAY)"), F.lit("")).otherwise(
+        F.try_variant_get(node, path, "string")
+    )
+
+
+def _parts(node: Column, path: str) -> Column:
+    """The elements of a list, each on its own; none if there is no list."""
+    none = F.array().cast("array<variant>")
+    return F.coalesce(F.try_variant_get(node, path, "array<variant>"), none)
+
+
 def _joined(parts: Column, kind: str) -> Column:
     """Concatenated ``text`` of the parts of one type; null if that is blank."""
-    chosen = F.filter(parts, lambda p: p["type"] == kind)
-    text = F.array_join(F.transform(chosen, lambda p: p["text"]), "")
+    chosen = F.filter(parts, lambda p: _scalar(p, "$.type") == kind)
+    text = F.array_join(F.transform(chosen, lambda p: _scalar(p, "$.text")), "")
     return bind(text, lambda t: F.when(~is_blank(t), t))
 
 
 def extract_openai_text(body: Column) -> Column:
     """Message output parts joined, else the top-level ``output_text``; null = failure.
 
-    The two shapes are read apart, so an odd value in one does not hide the other.
+    Elements are looked at one by one, so an odd one does not hide its neighbours.
     """
-    messages = F.from_json(
-        body,
-        "output array<struct<type:string,content:array<struct<type:string,text:string>>>>",
-    )["output"]
-
-    def from_messages(items: Column) -> Column:
-        contents = F.transform(
-            F.filter(items, lambda m: (m["type"] == "message") & m["content"].isNotNull()),
-            lambda m: m["content"],
-        )
-        return _joined(F.flatten(contents), "output_text")
 
-    convenience = F.from_json(body, "output_text string")["output_text"]
-    return F.coalesce(
-        bind(messages, from_messages),
-        bind(convenience, lambda c: F.when(~is_blank(c), c)),
-    )
+    def text(root: Column) -> Column:
+        messages = F.filter(_parts(root, "$.output"), lambda m: _scalar(m, "$.type") == "message")
+        contents = F.flatten(F.transform(messages, lambda m: _parts(m, "$.content")))
+        convenience = bind(_scalar(root, "$.output_text"), lambda c: F.when(~is_blank(c), c))
+        return F.coalesce(_joined(contents, "output_text"), convenience)
+
+    return bind(F.try_parse_json(body), text)
 
 
 def extract_anthropic_text(body: Column) -> Column:
     """Text blocks of ``content`` joined; null = failure."""
-    content = F.from_json(body, "content array<struct<type:string,text:string>>")["content"]
-    return bind(content, lambda c: _joined(c, "text"))
+    return bind(F.try_parse_json(body), lambda root: _joined(_parts(root, "$.content"), "text"))

@@ -15,6 +15,8 @@ KEY_ENV = "TEXTGUARD_KEY"
 KEY_BYTES = 32
 NONCE_BYTES = 12
 TAG_BYTES = 16
+REDACTION = "spark.sql.redaction.string.regex"
+HEX_KEY = r"(?:0x|0X|X'|x')[0-9a-fA-F]{64}'?"
 
 
 class KeyConfigError(ValueError):
@@ -40,8 +42,13 @@ def key_from_env() -> str | None:
 
 
 def hide_keys(spark: SparkSession) -> None:
-    """Redact 32-byte hex literals from explain output and the event log."""
-    spark.conf.set("spark.sql.redaction.string.regex", r"(?i)(?:0x|X')[0-9a-f]{64}'?")
+    """Redact 32-byte hex literals from explain output and the event log, beside what the user
+    redacts already."""
+    known = spark.conf.get(REDACTION, None) or spark.conf.get("spark.redaction.string.regex", None)
+    if not known:
+        spark.conf.set(REDACTION, HEX_KEY)
+    elif HEX_KEY not in known:
+        spark.conf.set(REDACTION, f"(?:{known})|{HEX_KEY}")
 
 
 def _key(key: str | None) -> Column:

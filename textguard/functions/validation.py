@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
+from textguard.functions.binding import bind
 from textguard.functions.detection import utf16_length
 
 
@@ -16,12 +17,14 @@ def require_non_blank(value: Column) -> Column:
     return value.isNotNull() & value.rlike(r"[^\x00-\x20]")
 
 
-def within_size(text: Column, max_length: int = P.MAX_TEXT_LENGTH) -> Column:
-    """True while the text has at most ``max_length`` UTF-16 units; null passes.
+def within_size(text: Column, max_length: int | None = P.MAX_TEXT_LENGTH) -> Column:
+    """True while the text has at most ``max_length`` UTF-16 units; null passes, None sets no limit.
 
     A code point takes one or two units, so the exact count is only taken where the
     number of code points does not already decide.
     """
+    if max_length is None:
+        return F.lit(True)
     points = F.length(text)
     return (
         text.isNull()
@@ -43,7 +46,7 @@ def reject_kind(
     text: Column,
     provider: Column,
     providers: Iterable[str] = P.PROVIDERS,
-    max_length: int = P.MAX_TEXT_LENGTH,
+    max_length: int | None = None,
 ) -> Column:
     """First failing check (blank, size, provider) or null if the row is accepted."""
     blank = ~require_non_blank(text) | ~require_non_blank(provider)
@@ -61,8 +64,9 @@ def _lookup(kind: Column, position: int) -> Column:
     return chosen
 
 
-def classify_error(kind: Column, max_length: int = P.MAX_TEXT_LENGTH) -> Column:
+def classify_error(kind: Column, max_length: int | None = None) -> Column:
     """``struct<status,error,message>`` for a failure kind; unknown kinds are 500."""
+    max_length = P.MAX_TEXT_LENGTH if max_length is None else max_length
     message = F.when(
         kind == "too_large", F.lit(P.ERRORS["too_large"][2] % max_length)
     ).otherwise(_lookup(kind, 2))
@@ -85,10 +89,25 @@ def is_blank(value: Column) -> Column:
 
 
 def sanitize_message(message: Column) -> Column:
-    """Blank becomes a fixed text; longer ones are cut to 300 characters."""
-    return F.when(is_blank(message), F.lit(P.FALLBACK_MESSAGE)).otherwise(
-        F.substring(message, 1, P.MESSAGE_LIMIT)
+    """Blank becomes a fixed text; longer ones are cut to 300 UTF-16 units.
+
+    A character of two units that would be cut in half goes.
+    """
+    head = F.substring(message, 1, P.MESSAGE_LIMIT)
+
+    def fitting(h: Column) -> Column:
+        points = F.filter(F.split(h, ""), lambda c: c != "")
+        ends = F.transform(
+            F.sequence(F.lit(1), F.size(points)),
+            lambda n: F.struct(utf16_length(F.substring(h, F.lit(1), n)).alias("units"), n.alias("n")),
+        )
+        inside = F.filter(ends, lambda e: e["units"] <= P.MESSAGE_LIMIT)
+        return F.substring(h, F.lit(1), F.element_at(inside, -1)["n"])
+
+    cut = bind(
+        head, lambda h: F.when(utf16_length(h) <= P.MESSAGE_LIMIT, h).otherwise(fitting(h))
     )
+    return F.when(is_blank(message), F.lit(P.FALLBACK_MESSAGE)).otherwise(cut)
 
 
 def reply_outcome(status: Column) -> Column:

@@ -83,10 +83,11 @@ def newest_sets(sets: DataFrame) -> DataFrame:
     """The last stored set of each request: a later store replaces the whole set.
 
     ``row_number() = 1`` is cut to one row per key on the map side before the
-    shuffle, so a request stored very often does not fill one partition.
+    shuffle, so a request stored very often does not fill one partition. Of sets stored at the
+    same instant the one with the least hash is taken, on every run.
     """
     latest = Window.partitionBy("request_id").orderBy(
-        F.col("stored_at").desc(), F.col("expires_at").desc()
+        F.col("stored_at").desc(), F.col("expires_at").desc(), F.xxhash64("mappings")
     )
     ranked = sets.withColumn("_rank", F.row_number().over(latest))
     return ranked.filter("_rank = 1").drop("_rank")

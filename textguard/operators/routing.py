@@ -11,7 +11,7 @@ from textguard.functions import patterns as P
 from textguard.functions import validation as V
 
 
-def _checked(requests: DataFrame, providers: Iterable[str], max_length: int) -> DataFrame:
+def _checked(requests: DataFrame, providers: Iterable[str], max_length: int | None) -> DataFrame:
     kind = V.reject_kind(F.col("text"), F.col("provider"), providers, max_length)
     return requests.withColumn("reject_kind", kind)
 
@@ -19,7 +19,7 @@ def _checked(requests: DataFrame, providers: Iterable[str], max_length: int) ->
 def accepted_requests(
     requests: DataFrame,
     providers: Iterable[str] = P.PROVIDERS,
-    max_length: int = P.MAX_TEXT_LENGTH,
+    max_length: int | None = None,
 ) -> DataFrame:
     """Rows that pass every check, with the provider name made canonical.
 
@@ -33,7 +33,7 @@ def accepted_requests(
 
 
 def error_rows(
-    df: DataFrame, kind: Column, at: Column, max_length: int = P.MAX_TEXT_LENGTH
+    df: DataFrame, kind: Column, at: Column, max_length: int | None = None
 ) -> DataFrame:
     """``request_id, status, error, message, at`` for rows with a failure kind; no text.
 
@@ -54,7 +54,7 @@ def error_rows(
 def rejected_requests(
     requests: DataFrame,
     providers: Iterable[str] = P.PROVIDERS,
-    max_length: int = P.MAX_TEXT_LENGTH,
+    max_length: int | None = None,
     at: Column | None = None,
 ) -> DataFrame:
     """Rows that fail a check. Order of checks: blank 400, size 413, provider 400."""
@@ -67,11 +67,13 @@ def rejected_requests(
 def route_requests(
     requests: DataFrame,
     providers: Iterable[str] = P.PROVIDERS,
-    max_length: int = P.MAX_TEXT_LENGTH,
+    max_length: int | None = None,
     at: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)``: two filters over one input, no shuffle.
 
+    Texts of any length pass unless ``max_length`` asks for the size check.
+
     Each output reads the input on its own; where both are written, the input can be
     persisted by the caller.
     """

@@ -19,7 +19,7 @@ from textguard.operators.routing import route_requests
 from textguard.operators.texts import with_analysis
 from textguard.sources.mappings import write_mappings
 from textguard.sources.providers import mock_replies, outbound
-from textguard.sources.storage import write_once
+from textguard.sources.storage import new_path, remove
 
 ReplyFn = Callable[[DataFrame], DataFrame]
 ANALYZED = "ANALYZED"
@@ -29,6 +29,12 @@ ANALYZED = "ANALYZED"
 class Analysis:
     results: DataFrame
     rejects: DataFrame
+    staged: str | None = None
+
+    def discard(self) -> None:
+        """Remove what was written in between, once results and rejects have been used."""
+        if self.staged:
+            remove(self.results.sparkSession, self.staged)
 
 
 def _result(original: str, provider: str, response: Column) -> list[Column]:
@@ -43,7 +49,7 @@ def _result(original: str, provider: str, response: Column) -> list[Column]:
 def analyze(
     requests: DataFrame,
     providers: Iterable[str] = P.PROVIDERS,
-    max_length: int = P.MAX_TEXT_LENGTH,
+    max_length: int | None = None,
     detectors: Iterable[Detector] = (),
     at: Column | None = None,
 ) -> Analysis:
@@ -70,43 +76,59 @@ def analyze_stored(
     stored_at: Column | None = None,
     ttl: timedelta | None = None,
     providers: Iterable[str] = P.PROVIDERS,
-    max_length: int = P.MAX_TEXT_LENGTH,
+    max_length: int | None = None,
     at: Column | None = None,
+    detectors: Iterable[Detector] = (),
 ) -> Analysis:
     """The same chain with sealed mappings written before any reply is asked for.
 
-    The patterns run once: texts, masked texts and sealed mappings are written to a
-    staging table, from which the mapping table, the outbound columns and the results
-    are read. Replies meet it in one join on ``request_id``. ``reply_fn`` sees
-    ``request_id, provider, masked_text`` only. A reply that cannot be restored becomes
-    a reject row and no result.
+    What is written in between is masked texts and sealed mappings, nothing in the clear: the
+    mapping table and the outbound columns are read from it, replies meet it in one join on
+    ``request_id``, and the texts are masked once more where results are put together.
+    ``discard`` of the outcome removes it. ``reply_fn`` sees ``request_id, provider,
+    masked_text`` only.
+
+    Every accepted request gives a result or a reject row: one without a reply is a provider
+    failure, one whose reply cannot be restored is rejected as a whole. Request ids must be
+    unique among accepted requests.
     """
-    hide_keys(requests.sparkSession)
+    spark = requests.sparkSession
+    hide_keys(spark)
     now = F.current_timestamp() if now is None else now
     stored_at = F.current_timestamp() if stored_at is None else stored_at
+    detectors = tuple(detectors)
+    types = (*P.PRIORITY, *(d.type for d in detectors))
     accepted, rejects = route_requests(requests, providers, max_length, at)
-    staged = with_analysis(accepted).select(
-        "request_id", "text", "provider",
-        F.struct("analysis.masked_text", "analysis.detections").alias("analysis"),
-        seal_mappings(F.col("analysis.mappings"), key).alias("mappings"),
-        stored_at.cast("timestamp").alias("stored_at"),
+    if accepted.groupBy("request_id").count().filter("count > 1").head(1):
+        raise ValueError("Request ids must be unique.")
+    analyzed = with_analysis(accepted, "text", detectors)
+    staged = with_expiry(
+        analyzed.select(
+            "request_id", "provider", F.struct("analysis.masked_text").alias("analysis"),
+            seal_mappings(F.col("analysis.mappings"), key).alias("mappings"),
+            stored_at.cast("timestamp").alias("stored_at"),
+        ), ttl,
     )
-    staged = write_once(with_expiry(staged, ttl), "analyzed")
+    path = new_path(spark, "analyzed")
+    staged.write.parquet(path)
+    staged = spark.read.schema(staged.schema).parquet(path)
     sets = staged.filter(F.size("mappings") > 0)
     write_mappings(sets.select("request_id", "mappings", "stored_at", "expires_at"), mapping_path)
 
-    replies = reply_fn(outbound(staged)).select("request_id", "response_text")
+    replies = reply_fn(outbound(staged)).select("request_id", "response_text", F.lit(True).alias("answered"))
     live = F.when((F.size("mappings") > 0) & (F.col("expires_at") > now), F.col("mappings"))
+    waiting = staged.select("request_id", live.alias("mappings"))
     restored = attach(
-        staged.join(replies, "request_id").withColumn("mappings", live), "restored",
-        rehydration.restore("response_text", "mappings", key),
+        waiting.join(replies, "request_id", "left"), "restored",
+        rehydration.restore("response_text", "mappings", key, types),
+    ).select(
+        "request_id", "restored.response",
+        F.when(F.col("answered").isNull(), F.lit("provider_failure"))
+        .otherwise(F.col("restored.failure_kind")).alias("failure_kind"),
     )
-    good = restored.filter(F.col("restored.failure_kind").isNull())
-    failed = restored.select("request_id", "restored.failure_kind")
+    good = analyzed.join(restored.filter(F.col("failure_kind").isNull()), "request_id")
     return Analysis(
-        good.select(*_result("text", "provider", F.col("restored.response"))),
-        rejects.unionByName(rehydration.failed_replies(failed, at)),
+        good.select(*_result("text", "provider", F.col("response"))),
+        rejects.unionByName(rehydration.failed_replies(restored, at)),
+        path,
     )
-
-
-__all__ = ["ANALYZED", "Analysis", "analyze", "analyze_stored"]

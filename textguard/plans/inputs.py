@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from textguard.functions.binding import attach
 from textguard.functions.sealing import key_from_env
-from textguard.sources.storage import spread
 
 # Values are sealed with the key from the environment, else with one made per process.
 KEY = key_from_env() or base64.b64encode(os.urandom(32)).decode()
 OTHER_KEY = base64.b64encode(os.urandom(32)).decode()
 
+PARTITIONS = "spark.textguard.input.partitions"
 AT_SECONDS = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 NOW_SECONDS = AT_SECONDS + 15 * 60
 
@@ -44,7 +44,11 @@ def now() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+    """The named columns. A session that reads files of one row group can ask for more tasks
+    with ``spark.textguard.input.partitions``; without it a scan stays as it is."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    parts = spark.conf.get(PARTITIONS, None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def _ids(prefix: str, *columns: str) -> Column:
@@ -73,18 +77,26 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``request_id, text, provider``: known, odd-cased, unknown and blank providers, and
-    some texts replaced by null or blanks."""
+    """``request_id, text, provider``: every text with a known, partly odd-cased provider, and
+    beside them requests with an unknown or blank provider or without a text."""
     size = F.length("text")
     provider = (
-        F.when(size % 11 == 0, F.lit(" OpenAI "))
-        .when(size % 11 == 1, F.lit("ANTHROPIC"))
-        .when(size % 11 == 2, F.lit("unknown-provider"))
-        .when(size % 11 == 3, F.lit(" \t "))
+        F.when(size % 11 == 0, F.lit(" OpenAI ")).when(size % 11 == 1, F.lit("ANTHROPIC"))
         .otherwise(F.lit("mock"))
     )
-    text = F.when(size % 13 == 0, F.lit(" \n\t ")).when(size % 13 == 1, F.lit(None)).otherwise(
-        F.col("text")
-    )
-    made = F.struct(text.alias("text"), provider.alias("provider"))
-    return attach(all_texts(spark, sf_dir), "made", made).select("request_id", "made.*")
+    unusable = F.when(size % 11 == 2, F.lit("unknown-provider")).when(size % 11 == 3, F.lit(" \t "))
+
+    def made(prefix: str, text: Column, by: Column) -> Column:
+        name = F.concat(F.lit(prefix), "request_id")
+        return F.struct(name.alias("request_id"), text.alias("text"), by.alias("provider"))
+
+    def only(wanted: Column, row: Column) -> Column:
+        return F.when(wanted, row)
+
+    nothing = F.when(size % 13 == 0, F.lit(" \n\t "))
+    rows = F.array_compact(F.array(
+        made("", F.col("text"), provider),
+        only((size % 11).isin(2, 3), made("provider-", F.col("text"), unusable)),
+        only((size % 13).isin(0, 1), made("text-", nothing, provider)),
+    ))
+    return all_texts(spark, sf_dir).select(F.explode(rows).alias("r")).select("r.*")

@@ -214,19 +214,19 @@ def token_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def accepted_requests(spark: SparkSession, sf: str) -> DataFrame:
-    accepted, _ = routing.route_requests(requests(spark, sf), at=at())
+    accepted, _ = routing.route_requests(requests(spark, sf), max_length=P.MAX_TEXT_LENGTH, at=at())
     return accepted.select("request_id", "provider", F.length("text").alias("text_length"))
 
 
 @query
 def rejected_requests(spark: SparkSession, sf: str) -> DataFrame:
-    _, rejected = routing.route_requests(requests(spark, sf), at=at())
+    _, rejected = routing.route_requests(requests(spark, sf), max_length=P.MAX_TEXT_LENGTH, at=at())
     return _seconds(rejected, "at")
 
 
 @query
 def reject_summary(spark: SparkSession, sf: str) -> DataFrame:
-    _, rejected = routing.route_requests(requests(spark, sf), at=at())
+    _, rejected = routing.route_requests(requests(spark, sf), max_length=P.MAX_TEXT_LENGTH, at=at())
     return reports.reject_summary(rejected)
 
 
@@ -256,11 +256,13 @@ def classified_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sanitized_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Document texts as messages: blank ones replaced, long ones cut."""
-    text = F.when(F.length("text") % 7 == 0, F.lit(" \n ")).otherwise(F.col("text"))
-    return all_texts(spark, sf).select(
-        "request_id", V.sanitize_message(text).alias("message")
+    """Messages of failed events: blank ones replaced, long ones cut, at 300 UTF-16 units."""
+    events = table(spark, sf, "events", "event_id", "event_type", "props")
+    many = F.repeat(F.lit("\U0001F600x"), (F.col("event_id") % 211).cast("int"))
+    message = F.when(F.col("event_id") % 7 == 0, F.lit(" \n ")).otherwise(
+        F.concat("event_type", F.lit(" failed: "), F.coalesce("props", F.lit("")), many)
     )
+    return events.select("event_id", V.sanitize_message(message).alias("message"))
 
 
 @query
@@ -284,9 +286,20 @@ def json_requests(spark: SparkSession, sf: str) -> DataFrame:
         F.when(broken, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
         .alias("value")
     )
-    lines.write.text(path)
+    # requests without an id, each line twice
+    nameless = requests(spark, sf).filter(F.length("text") % 19 == 0).select(
+        F.explode(F.array_repeat(F.to_json(F.struct("text", "provider")), 2)).alias("value")
+    )
+    lines.unionByName(nameless).write.text(path)
     good, bad = text_sources.read_json_requests(spark, path, at())
-    kept = good.select("request_id", F.lit("read").alias("outcome"), F.length("text").alias("n"))
+    drawn = F.col("request_id").rlike("^[0-9a-f]{64}$")
+    kept = good.filter(~drawn).select(
+        "request_id", F.lit("read").alias("outcome"), F.length("text").alias("n")
+    )
+    ids = good.filter(drawn).agg(F.countDistinct("request_id").cast("int").alias("n"))
+    kept = kept.unionByName(
+        ids.select(F.lit(None).cast("string").alias("request_id"), F.lit("drawn ids").alias("outcome"), "n")
+    )
     # rejects carry a digest for an id: compare how many there are
     counted = bad.groupBy("message").agg(F.count("*").cast("int").alias("n"))
     return kept.unionByName(
@@ -457,7 +470,7 @@ def provider_requests(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Reply bodies of all shapes: usable text comes out, anything else is a 502."""
-    masked, shape = F.col("masked_text"), F.length("masked_text") % 7
+    masked, shape = F.col("masked_text"), F.length("masked_text") % 10
     part = F.struct(F.lit("output_text").alias("type"), masked.alias("text"))
     tail = F.struct(F.lit("output_text").alias("type"), F.lit(" End.").alias("text"))
     other = F.struct(F.lit("refusal").alias("type"), F.lit("no").alias("text"))
@@ -467,6 +480,9 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
         item = F.struct(F.lit("message").alias("type"), F.array(*parts).alias("content"))
         return F.to_json(F.struct(F.array(item).alias("output")))
 
+    def around(before: str, value: Column, after: str) -> Column:
+        return F.concat(F.lit(before), F.to_json(value), F.lit(after))
+
     openai = (
         F.when(shape == 0, message(part, other, tail))
         .when(shape == 1, F.to_json(F.struct(masked.alias("output_text"))))
@@ -474,6 +490,9 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
         .when(shape == 3, message(blank))
         .when(shape == 4, F.lit("not json at all{{{"))
         .when(shape == 5, F.lit("{}"))
+        .when(shape == 7, around('{"output":["str",{"type":"message","content":[', part, "]}]}"))
+        .when(shape == 8, around('{"output":[{"type":"message","content":[5,', part, ']}],"output_text":"other"}'))
+        .when(shape == 9, around('{"output":[{"type":"message","content":[{"type":"output_text","text":{"k":1}},', part, "]}]}"))
         .otherwise(message(part))
     )
     block = F.struct(F.lit("text").alias("type"), masked.alias("text"))
@@ -490,6 +509,9 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
         .when(shape == 3, F.lit('{"content":[]}'))
         .when(shape == 4, F.lit("not json at all{{{"))
         .when(shape == 5, F.lit("{}"))
+        .when(shape == 7, around('{"content":[', block, ',"str"]}'))
+        .when(shape == 8, around('{"content":[5,null,', block, "]}"))
+        .when(shape == 9, around('{"content":[{"type":"text","text":[1]},', block, "]}"))
         .otherwise(content(more))
     )
     body = F.when(F.col("provider") == "openai", openai).otherwise(anthropic)
@@ -575,14 +597,22 @@ def analyzed_requests(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(analyze(requests(spark, sf), at=at()).results)
 
 
+def _some_replies(sent: DataFrame) -> DataFrame:
+    """The stand-in provider, which now and then does not answer."""
+    return providers.mock_replies(sent.filter(F.length("masked_text") % 9 > 0))
+
+
 @query
 def analyzed_stored(spark: SparkSession, sf: str) -> DataFrame:
-    """The same rows by way of stored mappings and a join."""
+    """The same chain by way of stored mappings and a join; unanswered requests as rejects."""
     path = new_path(spark, "mappings")
     done = analyze_stored(
-        requests(spark, sf), KEY, path, now=now(), stored_at=now(), at=at()
+        requests(spark, sf), KEY, path, _some_replies, now=now(), stored_at=now(), at=at()
     )
-    return _flat(done.results)
+    failed = done.rejects.select(
+        "request_id", F.concat_ws(" ", F.col("status").cast("string"), "message").alias("status")
+    )
+    return _flat(done.results).unionByName(failed, allowMissingColumns=True)
 
 
 @query
@@ -627,8 +657,11 @@ def masked_and_protected_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rehydrated_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream of replies against the stored mappings."""
-    sets = _stored_sets(spark, sf)
+    """A stream of replies against stored mappings, of which each batch was stored twice."""
+    path = new_path(spark, "mappings")
+    for _ in range(2):
+        mappings.write_mappings(_sets(spark, sf), path)
+    sets = mappings.read_mappings(spark, path)
     replies = _replies(spark, sf).withColumn("reply_ts", now())
     stream = rehydrate_stream(_as_stream(replies, "replies"), sets, KEY)
     path = new_path(spark, "restored")
@@ -637,21 +670,39 @@ def rehydrated_stream(spark: SparkSession, sf: str) -> DataFrame:
     return kept.drop("reply_ts")
 
 
+def _with_end(df: DataFrame, name: str, last: DataFrame) -> DataFrame:
+    """A table as a file stream that ends in a later row, which lets the watermark pass all others."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    end = last.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema])
+    end.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1_000).parquet(path)
+
+
 @query
 def rehydrated_stream_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies and mapping sets both as streams: the replies that got values back.
-
-    Unmatched replies leave a stream-stream join only once the watermark has passed.
-    """
-    sets = _as_stream(_stored_sets(spark, sf).drop("expires_on"), "sets")
+    """Replies and mapping sets both as streams: every reply, matched or not."""
+    end, later = "end of stream", F.timestamp_add("DAY", F.lit(1), now())
+    sets = _stored_sets(spark, sf).drop("expires_on")
+    none = F.array().cast(sets.schema["mappings"].dataType).alias("mappings")
+    one = spark.range(1)
+    last_set = one.select(
+        F.lit(end).alias("request_id"), none, later.alias("stored_at"), later.alias("expires_at")
+    )
     replies = _replies(spark, sf).withColumn("reply_ts", now())
+    last_reply = one.select(
+        F.lit(end).alias("request_id"), F.lit("mock").alias("provider"),
+        F.lit("").alias("response_text"), later.alias("reply_ts"),
+    )
     stream = rehydrate_stream(
-        _as_stream(replies, "replies"), sets, KEY, lateness=timedelta(hours=1)
+        _with_end(replies, "replies", last_reply), _with_end(sets, "sets", last_set), KEY,
+        lateness=timedelta(hours=1),
     )
     path = new_path(spark, "restored")
     to_parquet(stream, path, "rehydrate").awaitTermination()
     kept = spark.read.schema(stream.schema).parquet(path)
-    return kept.filter("token_count > 0").drop("reply_ts")
+    return kept.filter(F.col("request_id") != end).drop("reply_ts")
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:

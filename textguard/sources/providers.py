@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
 from textguard.functions import replies as R
+from textguard.functions.binding import attach
 from textguard.operators.routing import error_rows
 
 
@@ -50,7 +51,7 @@ def _parsed(bodies: DataFrame) -> DataFrame:
     text = F.when(F.col("provider") == "openai", R.extract_openai_text(body)).when(
         F.col("provider") == "anthropic", R.extract_anthropic_text(body)
     )
-    return bodies.select("request_id", "provider", text.alias("response_text"))
+    return attach(bodies, "response_text", text).select("request_id", "provider", "response_text")
 
 
 def parse_replies(

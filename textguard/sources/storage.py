@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and how an input is spread over the cores."""
+"""Where intermediate tables go."""
 
 from __future__ import annotations
 
@@ -40,13 +40,8 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the cluster has cores.
-
-    Pattern scans are CPU-bound, so a small file in one row group would keep one core
-    busy. Large inputs have splits enough and are left alone: no shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``new_path`` named, on whatever store it is."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.operators.routing import error_rows
-from textguard.sources.storage import spread
 
 REQUEST_SCHEMA = "request_id string, text string, provider string"
 RESULT_COLUMNS = (
@@ -31,7 +30,7 @@ def read_texts(
     reader = spark.read.format(fmt)
     rows = (reader.schema(schema) if schema else reader).load(path)
     provider = F.col(provider) if isinstance(provider, str) else provider
-    return spread(rows.select(id_col, text_col, provider.alias("provider"))).select(
+    return rows.select(id_col, text_col, provider.alias("provider")).select(
         F.col(id_col).cast("string").alias("request_id"), F.col(text_col).alias("text"),
         "provider",
     )
@@ -43,7 +42,8 @@ def read_json_requests(
     """JSON-lines requests as ``(requests, rejects)``; unparsable lines are rejected.
 
     Lines are read as text and parsed by a column, so that the corrupt-record marker
-    needs no cache: a request without an id gets a digest of its line and file as id.
+    needs no cache. A request without an id gets a digest of its line, its file and its place in
+    the scan, so equal lines stay apart; the same files give the same ids within a session.
     """
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     spec = REQUEST_SCHEMA + ", _corrupt string"
@@ -53,8 +53,9 @@ def read_json_requests(
             "value", spec, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
         ).alias("r"),
         F.input_file_name().alias("file"),
+        F.monotonically_increasing_id().cast("string").alias("place"),
     )
-    row_id = F.coalesce("r.request_id", F.sha2(F.concat_ws("\0", "file", "value"), 256))
+    row_id = F.coalesce("r.request_id", F.sha2(F.concat_ws("\0", "file", "place", "value"), 256))
     broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
     good = parsed.filter(~broken).select(row_id.alias("request_id"), "r.text", "r.provider")
     bad = parsed.filter(broken).select(row_id.alias("request_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
 from textguard.functions.binding import attach
+from textguard.operators.protection import newest_sets
 from textguard.operators.rehydration import restore
 
 
@@ -24,12 +25,12 @@ def rehydrate_stream(
     ``replies`` is a stream of ``request_id, provider, response_text, reply_ts``. Each
     request has one mapping set (give the newest per request for a stored table).
 
-    Stored ``sets``: a stream-static left join. Streaming ``sets``: a stream-stream
+    Of stored ``sets`` the newest of each request is taken: a stream-static left join. Streaming ``sets``: a stream-stream
     left join over ``stored_at <= reply_ts < expires_at``; both watermarks let Spark
     drop a set from state once it has expired, so state is bounded by one ttl.
     A reply outside the lifetime keeps its tokens.
     """
-    sealed = sets.select(
+    sealed = (sets if sets.isStreaming else newest_sets(sets)).select(
         F.col("request_id").alias("_rid"), "mappings", "stored_at", "expires_at"
     )
     alive = (F.col("reply_ts") >= F.col("stored_at")) & (F.col("reply_ts") < F.col("expires_at"))
