@@ -1,0 +1,49 @@
+"""Language identification on held-out documents and on odd rows."""
+
+import numpy as np
+
+from textguard.llm import language
+from textguard.llm.queries import QUERIES
+
+
+def test_held_out_documents(spark):
+    got = QUERIES["op6_subword_language"](spark, "/root/testdata/sf0.01").collect()
+    truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(truth) and 100 < len(held) < 300
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
+    assert all(0 <= r.score <= 1 for r in got) and np.mean([r.accepted for r in got]) > 0.98
+
+
+def test_odd_rows(spark):
+    rows = [(i, f"der die das und {i}", "de", 1.0) for i in range(60)] + [(100 + i, f"the of and to {i}", "en", 1.0) for i in range(60)]
+    odd = [(300, None, "de", 1.0), (301, "", None, 1.0), (302, "12 $ 3\t!", "en", 1.0), (None, "the of", "en", 1.0),
+           (303, "the of and to " * 300_000, "en", 1.0), (304, "the", None, None), (304, "the", None, None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score double")
+    model = language.fitted(df)
+    out = language.identified(df, model)
+    assert out.columns == ["doc_id", "text", "lang", "score_", "lang_pred", "score", "accepted"]
+    got = out.collect()
+    assert len(got) == len(rows + odd)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].lang_pred == language.UNKNOWN and by[i].score == 0 and not by[i].accepted for i in (300, 301, 302))
+    assert by[303].lang_pred == by[304].lang_pred == by[None].lang_pred == "en"
+    assert language.identified(df.limit(0), model).count() == 0
+    nothing = language.fitted(df.limit(0))
+    assert {r.lang_pred for r in language.identified(df, nothing).collect()} == {language.UNKNOWN}
+
+
+def test_grams_stay_in_words():
+    short = set(language.grams("ab cd").tolist())
+    assert short == set(language.grams("ab").tolist()) | set(language.grams("cd").tolist())
+    long = "ab cd " * 400_000
+    assert set(language.grams(long).tolist()) == short
+
+
+def test_uncertain_texts_score_less():
+    rng = np.random.default_rng(2)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(30))
+    model = language.train([(make("abcdefg"), "x") for _ in range(80)] + [(make("defghij"), "y") for _ in range(80)])
+    assert 0 < model.least <= 0.5
+    sure, open_ = model.predict(make("abc"))[1], model.predict("defg")[1]
+    assert open_ < sure
