@@ -254,6 +254,11 @@ ORACLE |= {
     "token_mappings": sql(MAPPINGS, "SELECT * FROM maps"),
     "masked_texts": sql(MSK, "SELECT request_id, masked_text FROM msk_texts"),
     "mask_given_spans": sql(GIVEN, "SELECT request_id, masked_text FROM msk_given"),
+    "masked_broken_spans": sql(MSK, "SELECT request_id, masked_text FROM msk_texts"),
+    "added_detector": sql(
+        TEXTS,
+        r"SELECT request_id, unnest(regexp_extract_all(text, '\b[0-9a-f]{40}\b')) AS value FROM texts",
+    ),
     "passthrough": sql(
         TEXTS,
         "SELECT request_id, text AS masked_text, 0 AS detection_count, 0 AS token_count, "

@@ -24,18 +24,31 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def with_offsets(text: Column, pattern: str) -> Column:
+def with_offsets(text: Column, pattern: str, group: int = 0) -> Column:
     """Every match of ``pattern`` with its start: ``array<struct<value,start>>``.
 
     The text is also split on the pattern, which gives the gaps between the matches; starts are
-    running sums of both. Texts without a match pay for one pass.
+    running sums of both. Texts without a match pay for one pass. With ``group`` the value is that
+    group of the match, which must reach to its end.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def located(matches: Column) -> Column:
+        places = _sum_gaps(matches, F.split(text, pattern, -1))
+        if not group:
+            return places
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        return F.zip_with(
+            places, values,
+            lambda p, v: F.struct(
+                v.alias("value"),
+                (p["start"] + F.length(p["value"]) - F.length(v)).alias("start"),
+            ),
+        )
+
     return bind(
         found,
-        lambda m: F.when(F.size(m) > 0, _sum_gaps(m, F.split(text, pattern, -1))).otherwise(
-            F.array().cast(_LOCATED)
-        ),
+        lambda m: F.when(F.size(m) > 0, located(m)).otherwise(F.array().cast(_LOCATED)),
     )
 
 
@@ -63,6 +76,7 @@ def _spans(
     pattern: str,
     tail: str | None = None,
     valid: Callable[[Column], Column] | None = None,
+    group: int = 0,
 ) -> Column:
     def span(hit: Column) -> Column:
         value = F.rtrim(hit["value"], F.lit(tail)) if tail else hit["value"]
@@ -73,7 +87,7 @@ def _spans(
             (hit["start"] + F.length(value)).alias("end"),
         )
 
-    spans = F.transform(with_offsets(text, pattern), span)
+    spans = F.transform(with_offsets(text, pattern, group), span)
     return F.filter(spans, lambda s: valid(s["value"])) if valid else spans
 
 
@@ -121,7 +135,7 @@ def is_phone(value: Column) -> Column:
 @remember
 def detect_email(text: Column) -> Column:
     return _guarded(text, F.contains(text, F.lit(P.EMAIL_HINT)),
-                    lambda t: _spans(t, "EMAIL", P.EMAIL))
+                    lambda t: _spans(t, "EMAIL", P.EMAIL_RUN, group=1))
 
 
 @remember

@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
-from textguard.functions.binding import bind, cut_blocks, cut_piece, remember
+from textguard.functions.binding import (
+    bind, cut_blocks, cut_piece, fold_into_array, remember,
+)
 from textguard.functions.detection import (
     SPANS, Detector, detect, keep_disjoint,
 )
@@ -50,42 +52,60 @@ def clean_spans(spans: Column) -> Column:
 def assign_tokens(spans: Column) -> Column:
     """Add ``token`` to sorted disjoint spans.
 
-    One sequence per text across all types, by first occurrence; repeats reuse theirs.
+    One sequence per text across all types, by first occurrence; repeats reuse theirs. Equal
+    values are brought together by sorting, so n spans cost n log n.
     """
+    fields = ("type", "value", "start", "end")
+    first_spec = "array<struct<first:int,i:int>>"
+
+    def to_first(state: Column, x: Column) -> tuple[Column, Column]:
+        same = F.coalesce(state["key"] == x["key"], F.lit(False))
+        first = F.when(same, state["first"]).otherwise(x["i"])
+        following = F.struct(x["key"].alias("key"), first.alias("first"))
+        return following, F.array(F.struct(first.alias("first"), x["i"].alias("i")))
+
+    def to_number(state: Column, x: Column) -> tuple[Column, Column]:
+        number = state["number"] + F.when(x["first"] == state["first"], 0).otherwise(1)
+        following = F.struct(x["first"].alias("first"), number.alias("number"))
+        return following, F.array(F.struct(x["i"].alias("i"), number.alias("number")))
+
+    keyed = F.array_sort(F.transform(
+        spans,
+        lambda s, i: F.struct(value_key(s["type"], s["value"]).alias("key"), i.alias("i")),
+    ))
+    before = F.struct(F.lit(None).cast("string").alias("key"), F.lit(-1).alias("first"))
+    firsts = fold_into_array(keyed, before, F.array().cast(first_spec), to_first)
+    start = F.struct(F.lit(-1).alias("first"), F.lit(0).alias("number"))
+    numbered = fold_into_array(
+        F.array_sort(firsts), start, F.array().cast("array<struct<i:int,number:int>>"), to_number
+    )
+    return F.zip_with(
+        spans, F.array_sort(numbered),
+        lambda s, n: F.struct(
+            *[s[f].alias(f) for f in fields],
+            F.format_string(P.TOKEN_FORMAT, s["type"], n["number"]).alias("token"),
+        ),
+    )
 
-    def number(keys: Column) -> Column:
-        return bind(
-            F.array_distinct(keys),
-            lambda unique: F.zip_with(
-                spans,
-                keys,
-                lambda s, key: F.struct(
-                    *[s[f].alias(f) for f in ("type", "value", "start", "end")],
-                    F.format_string(
-                        P.TOKEN_FORMAT, s["type"], F.array_position(unique, key)
-                    ).alias("token"),
-                ),
-            ),
-        )
 
-    return bind(F.transform(spans, lambda s: value_key(s["type"], s["value"])), number)
+def token_mappings(tokens: Column) -> Column:
+    """One mapping per token with the value and span seen first, in token order.
 
+    Numbers rise by first occurrence, so a token is new exactly if its number is the next one.
+    """
 
-def token_mappings(tokens: Column) -> Column:
-    """One mapping per token with the value and span seen first, in token order."""
-
-    def first_seen(names: Column) -> Column:
-        firsts = F.filter(tokens, lambda t, i: F.array_position(names, t["token"]) == i + 1)
-        return F.transform(
-            firsts,
-            lambda t: F.struct(
-                t["token"].alias("token"), t["type"].alias("type"),
-                t["value"].alias("original_value"), t["start"].alias("start"),
-                t["end"].alias("end"),
-            ),
+    def step(seen: Column, t: Column) -> tuple[Column, Column]:
+        new = F.regexp_extract(t["token"], P.TOKEN_NUMBER, 1).cast("int") > seen
+        mapping = F.struct(
+            t["token"].alias("token"), t["type"].alias("type"),
+            t["value"].alias("original_value"), t["start"].alias("start"), t["end"].alias("end"),
+        )
+        return (
+            F.when(new, seen + 1).otherwise(seen),
+            F.when(new, F.array(mapping)).otherwise(F.array().cast(MAPPINGS)),
         )
 
-    return bind(F.transform(tokens, lambda t: t["token"]), first_seen)
+    return fold_into_array(tokens, F.lit(0), F.array().cast(MAPPINGS), step)
 
 
 def splice(text: Column, tokens: Column) -> Column:

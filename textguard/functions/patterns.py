@@ -25,6 +25,13 @@ EMAIL = (
     r"(?:(?=\w)(?<!\w)|(?=[.%+-])(?<=\w))"
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)"
 )
+# The same matches, found in one try per run of local-part characters: all starts within a run
+# meet the same ``@``, and the first boundary of a run is its first word character, or the place
+# where the match before ended. What stands before that is matched, but not in group 1.
+EMAIL_RUN = (
+    r"(?:(?<![A-Za-z0-9._%+-])[.%+-]*+(?=\w)|\G(?<=\w)(?=[.%+-]))"
+    r"([A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w))"
+)
 URL = r"""https?://[^\s<>"'()\[\]{}]+"""
 IP_ADDRESS = r"(?=\d)(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"
 CREDIT_CARD = r"(?=\d)(?<![A-Za-z0-9])(?:\d[\s.-]?){13,19}(?![A-Za-z0-9])"
@@ -56,6 +63,7 @@ DIGITS_HINT = r"\d[\d\s().-]{5,}\d"
 # --- fixed values: tokens ---
 TOKEN_FORMAT = "{{%s_%03d}}"
 TOKEN_TEMPLATE = r"\{\{(?:%s)_\d{3,}\}\}"  # filled with the known type names
+TOKEN_NUMBER = r"_(\d+)\}\}$"
 TOKEN_HINT = "{{"
 DISPLAY_TOKEN = r"\{\{[A-Z_]+_\d+\}\}"
 

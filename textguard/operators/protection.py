@@ -86,8 +86,9 @@ def newest_sets(sets: DataFrame) -> DataFrame:
     shuffle, so a request stored very often does not fill one partition. Of sets stored at the
     same instant the one with the least hash is taken, on every run.
     """
+    tie = [F.xxhash64("mappings")] if "mappings" in sets.columns else []
     latest = Window.partitionBy("request_id").orderBy(
-        F.col("stored_at").desc(), F.col("expires_at").desc(), F.xxhash64("mappings")
+        F.col("stored_at").desc(), F.col("expires_at").desc(), *tie
     )
     ranked = sets.withColumn("_rank", F.row_number().over(latest))
     return ranked.filter("_rank = 1").drop("_rank")
@@ -101,14 +102,30 @@ def live(df: DataFrame, now: Column) -> DataFrame:
     return df.filter(alive)
 
 
-def live_sets(sets: DataFrame, now: Column, one_ttl: bool = False) -> DataFrame:
+def recent(sets: DataFrame, now: Column, max_ttl: timedelta | None) -> DataFrame:
+    """The days of a stored table that can matter at ``now`` if no set lives longer than ``max_ttl``.
+
+    Whatever replaces a set that is still live was stored after it, so after ``now - max_ttl``,
+    and expires later than that. Older days hold neither live sets nor their successors.
+    """
+    if max_ttl is None or "expires_on" not in sets.columns:
+        return sets
+    earliest = now - F.make_dt_interval(secs=F.lit(max_ttl.total_seconds()).cast("decimal(18,6)"))
+    return sets.filter(F.col("expires_on") >= F.to_date(earliest))
+
+
+def live_sets(
+    sets: DataFrame, now: Column, one_ttl: bool = False, max_ttl: timedelta | None = None
+) -> DataFrame:
     """Newest set per request if it is still live.
 
     A replaced set never comes back, so the newest is chosen before expiry is checked.
     ``one_ttl=True`` states that all sets were stored with the same ttl; then a set
     expires no later than its successor and the expiry filter can prune partitions
-    before the shuffle with the same result.
+    before the shuffle with the same result. ``max_ttl`` states the longest ttl in use and
+    prunes to the days that can matter, see ``recent``.
     """
+    sets = recent(sets, now, max_ttl)
     if one_ttl:
         return newest_sets(live(sets, now))
     return live(newest_sets(sets), now)
@@ -120,13 +137,20 @@ def mapping_rows(sets: DataFrame) -> DataFrame:
     return flat.select("request_id", "m.*", "stored_at", "expires_at")
 
 
-def live_request_count(sets: DataFrame, now: Column, one_ttl: bool = False) -> DataFrame:
-    """Number of requests with a live mapping set."""
-    return live_sets(sets, now, one_ttl).agg(F.count("*").alias("live_requests"))
+def live_request_count(
+    sets: DataFrame, now: Column, one_ttl: bool = False, max_ttl: timedelta | None = None
+) -> DataFrame:
+    """Number of requests with a live mapping set; no sealed value is read."""
+    narrow = recent(sets, now, max_ttl).drop("mappings")
+    return live_sets(narrow, now, one_ttl).agg(F.count("*").alias("live_requests"))
 
 
 def stored_live_sets(
-    sets: DataFrame, now: Column, one_ttl: bool = False, newest: bool = False
+    sets: DataFrame,
+    now: Column,
+    one_ttl: bool = False,
+    newest: bool = False,
+    max_ttl: timedelta | None = None,
 ) -> DataFrame:
     """Live sets ready to be joined: ``request_id, mappings``.
 
@@ -135,6 +159,7 @@ def stored_live_sets(
     rows on the other side over many tasks. ``newest=True`` states that there is one
     set per request already (a purged table); then nothing is written.
     """
+    sets = recent(sets, now, max_ttl)
     if not newest:
         columns = ["request_id", "mappings", "stored_at", "expires_at"]
         chosen = newest_sets(live(sets, now) if one_ttl else sets)
@@ -142,21 +167,25 @@ def stored_live_sets(
     return live(sets, now).select("request_id", "mappings")
 
 
-def _token_side(sets: DataFrame, now: Column) -> DataFrame:
-    flat = newest_sets(sets).select("request_id", F.explode("mappings").alias("m"), "expires_at")
+def _token_side(sets: DataFrame, now: Column, max_ttl: timedelta | None) -> DataFrame:
+    flat = newest_sets(recent(sets, now, max_ttl)).select("request_id", F.explode("mappings").alias("m"), "expires_at")
     rows = write_once(flat.select("request_id", "m.*", "expires_at"), "mapping-rows")
     return live(rows, now).drop("expires_at")
 
 
-def lookup_mappings(tokens: DataFrame, sets: DataFrame, now: Column) -> DataFrame:
+def lookup_mappings(
+    tokens: DataFrame, sets: DataFrame, now: Column, max_ttl: timedelta | None = None
+) -> DataFrame:
     """Left equi-join of ``(request_id, token)`` rows to their live sealed value.
 
     Unknown request, unknown token and expired set all give null.
     """
-    return tokens.join(_token_side(sets, now), ["request_id", "token"], "left")
+    return tokens.join(_token_side(sets, now, max_ttl), ["request_id", "token"], "left")
 
 
-def unresolved_tokens(tokens: DataFrame, sets: DataFrame, now: Column) -> DataFrame:
+def unresolved_tokens(
+    tokens: DataFrame, sets: DataFrame, now: Column, max_ttl: timedelta | None = None
+) -> DataFrame:
     """``(request_id, token)`` rows with no live mapping."""
-    known = _token_side(sets, now).select("request_id", "token")
+    known = _token_side(sets, now, max_ttl).select("request_id", "token")
     return tokens.join(known, ["request_id", "token"], "left_anti")

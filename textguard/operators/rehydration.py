@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,19 +86,20 @@ def rehydrate(
     one_ttl: bool = False,
     newest: bool = False,
     types: Iterable[str] = TYPES,
+    max_ttl: timedelta | None = None,
 ) -> DataFrame:
     """Restore stored replies: ``request_id, provider, response, token_count, failure_kind``.
 
     One equi-join on ``request_id``; opening and splicing are row-local after it.
     Replies without a token never enter the join. Unknown, expired and foreign tokens
-    stay as they are. ``one_ttl`` and ``newest`` say what is known about ``sets``, see
+    stay as they are. ``one_ttl``, ``newest`` and ``max_ttl`` say what is known about ``sets``, see
     ``live_sets`` and ``stored_live_sets``.
     """
     types = tuple(types)
     S.hide_keys(replies.sparkSession)
     text = F.col("response_text")
     with_token = F.coalesce(F.contains(text, F.lit(P.TOKEN_HINT)), F.lit(False))
-    sealed = stored_live_sets(sets, now, one_ttl, newest)
+    sealed = stored_live_sets(sets, now, one_ttl, newest, max_ttl)
 
     joined = attach(
         replies.filter(with_token).join(sealed, "request_id", "left"),

@@ -76,7 +76,9 @@ def segments_table(df: DataFrame, id_col: str, masked_col: str = "masked_text")
     return spans_table(df, id_col, M.segment_masked(masked_col))
 
 
-def leaks(masked_col: str, mappings_col: str) -> Column:
+def leaks(
+    masked_col: str, mappings_col: str, detectors: Iterable[Detector] = ()
+) -> Column:
     """``array<struct<type,reason>>``: what an outbound text still gives away.
 
     Two row-local tests: an original value standing in the text, and anything a fresh
@@ -90,7 +92,7 @@ def leaks(masked_col: str, mappings_col: str) -> Column:
     kept = F.filter(mappings_col, lambda m: F.contains(masked, m["original_value"]))
     return F.concat(
         F.transform(kept, reason("original_value")),
-        F.transform(detect(masked_col), reason("detected")),
+        F.transform(detect(masked_col, tuple(detectors)), reason("detected")),
     )
 
 
@@ -99,6 +101,7 @@ def leak_check(
     id_col: str = "request_id",
     masked_col: str = "masked_text",
     mappings_col: str = "mappings",
+    detectors: Iterable[Detector] = (),
 ) -> DataFrame:
     """One row per leak of an outbound table; empty when the boundary holds."""
-    return spans_table(df, id_col, leaks(masked_col, mappings_col))
+    return spans_table(df, id_col, leaks(masked_col, mappings_col, detectors))

@@ -30,11 +30,11 @@ ROWS_PER_TASK = 50_000_000
 STATE_SCHEMA = "_client string, _tokens double, _last bigint"
 
 
-def _micros(df: DataFrame, ts: str) -> Column:
+def micros(df: DataFrame, ts: str) -> Column:
     """Microseconds since the epoch; a timestamp without zone is read as UTC."""
     if dict(df.dtypes)[ts] == "timestamp_ntz":
         return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
-    return F.unix_micros(F.col(ts))
+    return F.unixmicros(F.col(ts))
 
 
 def _slices(
@@ -144,7 +144,7 @@ def decide(
     """
     spark = events.sparkSession
     fill_micros = -(-capacity * 60_000_000 // refill_per_minute) + 1
-    us = _micros(events, ts)
+    us = micros(events, ts)
     keyed = events.select(
         client, ts, tie, F.coalesce(F.col(client).cast("string"), F.lit("")).alias("_client"),
         us.alias("_us"), F.floor(us / fill_micros).alias("_slice"),

@@ -28,6 +28,7 @@ from textguard.streaming.rehydrate import rehydrate_stream
 from textguard.streaming.sinks import to_parquet
 from textguard.streaming.throttle import throttle_batches, throttle_stream
 
+TTL = timedelta(seconds=P.MAPPING_TTL_SECONDS)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -189,6 +190,46 @@ def mask_given_spans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def masked_broken_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Masking with broken spans among the good ones: they are left out."""
+
+    def broken(kind: str | None, value: str | None, start: int | None, end: int | None) -> Column:
+        return F.struct(
+            F.lit(kind).alias("type"), F.lit(value).alias("value"), F.lit(start).alias("start"),
+            F.lit(end).alias("end"),
+        )
+
+    bad = F.array(
+        broken(None, "x", 0, 1), broken("EMAIL", None, 0, 1), broken("PHONE", "x", -1, 2),
+        broken("SSN", "x", 3, 3), broken("URL", "x", 5, 2), broken("URL", "x", None, 2),
+    ).cast(D.SPANS)
+    spans = F.concat(bad, D.detect("text"))
+    return all_texts(spark, sf).select(
+        "request_id", M.mask_text(F.col("text"), spans).alias("masked_text")
+    )
+
+
+def _digests(text: Column) -> Column:
+    found = D.with_offsets(text, "\\b[0-9a-f]{40}\\b")
+    return F.transform(
+        found,
+        lambda h: F.struct(
+            F.lit("DIGEST").alias("type"), h["value"].alias("value"), h["start"].alias("start"),
+            (h["start"] + F.length(h["value"])).alias("end"),
+        ),
+    )
+
+
+@query
+def added_detector(spark: SparkSession, sf: str) -> DataFrame:
+    """Hexadecimal digests as a seventh type, found by an added detector."""
+    found = texts.detections_table(
+        all_texts(spark, sf), detectors=[D.Detector("DIGEST", 5, _digests)]
+    )
+    return found.filter("type = 'DIGEST'").select("request_id", "value")
+
+
 @query
 def passthrough(spark: SparkSession, sf: str) -> DataFrame:
     return texts.masked_table(texts.with_passthrough(all_texts(spark, sf)))
@@ -365,7 +406,7 @@ def newest_sets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def live_mappings(spark: SparkSession, sf: str) -> DataFrame:
     """What is still live of a table in which some sets were replaced."""
-    return PR.live_sets(_twice_stored(spark, sf), now()).select(
+    return PR.live_sets(_twice_stored(spark, sf), now(), max_ttl=TTL).select(
         "request_id", F.size("mappings").alias("tokens"),
         F.unix_seconds("expires_at").alias("expires_at"),
     )
@@ -373,7 +414,7 @@ def live_mappings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def live_request_count(spark: SparkSession, sf: str) -> DataFrame:
-    return PR.live_request_count(_twice_stored(spark, sf), now())
+    return PR.live_request_count(_twice_stored(spark, sf), now(), max_ttl=TTL)
 
 
 @query
@@ -388,7 +429,7 @@ def purged_mappings(spark: SparkSession, sf: str) -> DataFrame:
 def looked_up_mappings(spark: SparkSession, sf: str) -> DataFrame:
     """The value behind each reply token; null where nothing live is stored."""
     tokens = RH.reply_tokens(_replies(spark, sf))
-    found = PR.lookup_mappings(tokens, _twice_stored(spark, sf), now())
+    found = PR.lookup_mappings(tokens, _twice_stored(spark, sf), now(), TTL)
     return found.select(
         "request_id", "token", "type", "start", "end",
         S.try_open(F.col("sealed"), KEY).alias("value"),
@@ -398,7 +439,7 @@ def looked_up_mappings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def unresolved_tokens(spark: SparkSession, sf: str) -> DataFrame:
     tokens = RH.reply_tokens(_replies(spark, sf))
-    return PR.unresolved_tokens(tokens, _twice_stored(spark, sf), now())
+    return PR.unresolved_tokens(tokens, _twice_stored(spark, sf), now(), TTL)
 
 
 # --- replies ----------------------------------------------------------------------
@@ -417,7 +458,7 @@ def mock_replies(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rehydrated_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Stored replies joined to stored mappings; expired ones keep their tokens."""
-    return RH.rehydrate(_replies(spark, sf), _stored_sets(spark, sf), KEY, now())
+    return RH.rehydrate(_replies(spark, sf), _stored_sets(spark, sf), KEY, now(), max_ttl=TTL)
 
 
 @query
@@ -430,7 +471,7 @@ def rehydrated_locally(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def failed_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Under a wrong key every reply that holds a live token fails as a whole."""
-    restored = RH.rehydrate(_replies(spark, sf), _stored_sets(spark, sf), OTHER_KEY, now())
+    restored = RH.rehydrate(_replies(spark, sf), _stored_sets(spark, sf), OTHER_KEY, now(), max_ttl=TTL)
     return _seconds(RH.failed_replies(restored, at()), "at")
 
 
@@ -534,7 +575,7 @@ def per_text_report(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rehydrate_report(spark: SparkSession, sf: str) -> DataFrame:
     """Replies by number of tokens put back."""
-    restored = RH.rehydrate(_replies(spark, sf), _stored_sets(spark, sf), KEY, now())
+    restored = RH.rehydrate(_replies(spark, sf), _stored_sets(spark, sf), KEY, now(), max_ttl=TTL)
     return RH.restored_replies(restored).groupBy("token_count").agg(
         F.count("*").alias("replies")
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from textguard.functions.detection import Detector
 from textguard.operators.protection import protect
 from textguard.operators.texts import masked_table, with_analysis
 from textguard.sources.mappings import write_mappings
@@ -18,9 +20,9 @@ MASKED_SCHEMA = (
 )
 
 
-def mask_stream(texts: DataFrame) -> DataFrame:
+def mask_stream(texts: DataFrame, detectors: Iterable[Detector] = ()) -> DataFrame:
     """Masked rows of a stream of ``request_id, text``; stateless."""
-    return masked_table(with_analysis(texts))
+    return masked_table(with_analysis(texts, "text", detectors))
 
 
 def mask_and_protect(
@@ -31,6 +33,7 @@ def mask_and_protect(
     ttl: timedelta | None = None,
     checkpoint: str | None = None,
     available_now: bool = True,
+    detectors: Iterable[Detector] = (),
 ) -> StreamingQuery:
     """Write each micro-batch's masked texts and its sealed mapping sets.
 
@@ -40,8 +43,11 @@ def mask_and_protect(
     from one analysis, kept for the length of the batch.
     """
 
+    detectors = tuple(detectors)
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        analyzed = with_analysis(batch.select("request_id", "text")).drop("text").persist()
+        rows = batch.select("request_id", "text")
+        analyzed = with_analysis(rows, "text", detectors).drop("text").persist()
         try:
             write_mappings(protect(analyzed, key, ttl=ttl), mapping_path)
             masked = masked_table(analyzed)

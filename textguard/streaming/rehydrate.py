@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from textguard.functions import patterns as P
 from textguard.functions.binding import attach
 from textguard.operators.protection import newest_sets
-from textguard.operators.rehydration import restore
+from textguard.operators.rehydration import TYPES, restore
 
 
 def rehydrate_stream(
@@ -19,6 +20,7 @@ def rehydrate_stream(
     key: str | None,
     ttl: timedelta = timedelta(seconds=P.MAPPING_TTL_SECONDS),
     lateness: timedelta = timedelta(0),
+    types: Iterable[str] = TYPES,
 ) -> DataFrame:
     """``request_id, provider, reply_ts, response, token_count, failure_kind``.
 
@@ -45,5 +47,5 @@ def rehydrate_stream(
             F.col("reply_ts") < F.col("stored_at") + F.expr(f"INTERVAL {seconds} SECONDS")
         )
     joined = replies.join(sealed, on, "left")
-    restored = attach(joined, "restored", restore("response_text", "mappings", key))
+    restored = attach(joined, "restored", restore("response_text", "mappings", key, tuple(types)))
     return restored.select("request_id", "provider", "reply_ts", "restored.*")

@@ -12,13 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textguard.functions import patterns as P
 from textguard.functions.bucket import admit, check_rate
-from textguard.operators.throttle import STATE_SCHEMA, decide, next_state
-from textguard.sources.storage import write_once
+from textguard.operators.throttle import STATE_SCHEMA, decide, micros, next_state
+from textguard.sources.storage import remove, write_once
 from textguard.streaming.sinks import start
 
-OUTPUT = "client string, event_id bigint, ts_us bigint, allowed boolean, retry_after bigint"
+OUTPUT = "client string, event_id %s, ts_us bigint, allowed boolean, retry_after bigint"
 STATE = "tokens double, last bigint"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def throttle_stream(
@@ -31,7 +30,8 @@ def throttle_stream(
 ) -> DataFrame:
     """``client, event_id, ts_us, allowed, retry_after`` for a stream of events.
 
-    State is two numbers per client. Events of one micro-batch are taken in time order;
+    State is two numbers per client; times without zone are read as UTC and events without a
+    client share the bucket of "", as in the batch operator. Events of one micro-batch are taken in time order;
     one that is older than the last refill refills nothing and still consumes.
 
     One client's share of a micro-batch is sorted in memory, so bound it by the source's
@@ -63,12 +63,11 @@ def throttle_stream(
         )
 
     keyed = events.select(
-        F.col(client).cast("string").alias("client"),
-        F.col(event_id).cast("bigint").alias("event_id"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
+        F.coalesce(F.col(client).cast("string"), F.lit("")).alias("client"),
+        F.col(event_id).alias("event_id"), micros(events, ts).alias("ts_us"),
     )
     return keyed.groupBy("client").applyInPandasWithState(
-        take, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+        take, OUTPUT % dict(events.dtypes)[event_id], STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -104,5 +103,7 @@ def throttle_batches(
         after.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
         kept = decided.select(client, ts, tie, "allowed", "retry_after")
         kept.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        if batch_id > 1:  # only the last state is read again
+            remove(spark, f"{state_path}/batch={batch_id - 2}")
 
     return start(events, write_batch, "throttle", checkpoint, available_now)
