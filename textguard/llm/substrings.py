@@ -7,11 +7,12 @@ also starts in a document with a smaller id.
    its windows: the 5-word gram with the least hash in each window, the same wherever the same
    window stands. Anchors that two documents have are kept; only windows with such an anchor can
    repeat, so all others stay where they are.
-2. Of the remaining windows a shard sends each distinct one once, with its smallest document,
-   to the group of its prefix. The prefix takes in as many words as it needs to be rare enough
-   for a memory-sized group, by word frequencies counted over all documents.
-3. A group sorts its suffixes into a suffix tree, given by their common prefix lengths. Nodes of
-   depth ``length`` or more are the repeats; each gives its smallest document back to the shards.
+2. Of the remaining windows a shard sends each distinct one once, with its smallest document, to
+   the group of the suffix that begins at its anchor. The prefix that decides takes in as many
+   words as it needs to be rare enough for a memory-sized group, by word frequencies counted over
+   all documents. Windows one after another that go to one group travel as one run of words.
+3. A group sorts its suffixes into a suffix tree, given by where neighbours part. Nodes of depth
+   ``length`` are the repeats; each gives its smallest document back to the shards.
 4. The shards remove what is covered.
 
 A passage that a third of all documents share is sent once per shard. Shards, groups and replies
@@ -20,6 +21,7 @@ hold a bounded number of words; the texts are shuffled once and that exchange is
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ GRAM = 5
 SHARD_BYTES = 8 << 20
 GROUP_SHARE = 1e-7  # share of all windows that a prefix may be expected to start
 HEAVY = 1e-3  # word frequencies below count as this
+COUNTED = 500_000  # words counted at once; rare ones make room
 LATE = np.iinfo(np.int64).max  # rows without an id come after all others
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -62,30 +65,33 @@ def _runs(words: np.ndarray, size: int) -> np.ndarray:
 
 
 class Shard:
-    """The words of some documents, one after another, and hashes of their windows."""
+    """The words of some documents, in order of id and text one after another, and their windows."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, length: int):
+    def __init__(self, table: pa.Table, length: int):
         known = _Hashes()
         self.length = length
-        self.words = [(t or "").encode().split() for t in texts.to_pylist()]
+        ids = table["doc_id"].combine_chunks().fill_null(LATE).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = [(t or "").encode() for t in table["text"].to_pylist()]
+        self.order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+        self.words = [texts[i].split() for i in self.order]
         counts = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.r_[0, np.cumsum(counts)]
         self.hash = np.fromiter((known[x] for w in self.words for x in w), np.uint64, int(self.starts[-1]))
-        self.ids = ids.fill_null(LATE).to_numpy(zero_copy_only=False).astype(np.int64)
-        windows = np.zeros(int(self.starts[-1]) + 1, np.int64)  # places where a window starts
-        fits = counts >= length
-        np.add.at(windows, self.starts[:-1][fits], 1)
-        np.add.at(windows, self.starts[1:][fits] - length + 1, -1)
-        self.at = np.flatnonzero(np.cumsum(windows)[:-1] > 0)
-        self.row = np.repeat(np.arange(len(counts)), np.where(fits, counts - length + 1, 0))
-        self.document = self.ids[self.row]
+        fits = np.maximum(counts - length + 1, 0)
+        row = np.repeat(np.arange(len(counts)), fits)
+        self.at = np.arange(len(row)) - np.repeat(np.cumsum(fits) - fits, fits) + self.starts[row]
+        self.document = ids[self.order][row] if len(row) else np.empty(0, np.int64)
+
+    def _grams(self) -> np.ndarray:
+        return sliding_window_view(_runs(self.hash, GRAM), self.length - GRAM + 1)
 
     def anchors(self) -> np.ndarray:
         """The anchor of each window."""
-        if not len(self.at):
-            return np.empty(0, np.uint64)
-        grams = _runs(self.hash, GRAM)
-        return sliding_window_view(grams, self.length - GRAM + 1).min(axis=1)[self.at]
+        return self._grams().min(axis=1)[self.at] if len(self.at) else np.empty(0, np.uint64)
+
+    def anchored(self, at: np.ndarray) -> np.ndarray:
+        """Where the anchors of the windows that start at ``at`` begin."""
+        return at + self._grams()[at].argmin(axis=1)
 
     def windows(self) -> np.ndarray:
         """A hash of each window."""
@@ -93,51 +99,108 @@ class Shard:
 
 
 def _least(keys: np.ndarray, values: np.ndarray):
-    """Distinct keys, one place of each, and the least and greatest of their values."""
+    """Distinct keys, the first place of each, least and greatest of their values, and for every
+    place the number of its key."""
     order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    new = np.r_[True, np.diff(keys[order]) != 0] if len(keys) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
     if not len(first):
-        return keys, order, values, values
-    return keys[first], order[first], np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
+        return keys, order, values, values, number
+    values = values[order]
+    return keys[order][first], order[first], np.minimum.reduceat(values, first), np.maximum.reduceat(values, first), number
 
 
-def _dealt(keys: np.ndarray, groups: int):
-    """For each of ``groups`` groups that has any, its number and the places of its keys."""
-    of = (keys % np.uint64(groups)).astype(np.int64)
+def _dealt(of: np.ndarray):
+    """Each group number and the places that hold it."""
     order = np.argsort(of, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0]) if len(of) else np.empty(0, np.int64)
     for a, b in zip(cuts, np.r_[cuts[1:], len(of)]):
         yield int(of[order[a]]), order[a:b]
 
 
-def _pack(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(a).tobytes() for a in arrays]
+def _pack(array: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(array).tobytes(), 1)
+
 
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
 
-def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table[column].to_pylist()), kind)
+
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds.items())})
 
 
 def deep_nodes(suffixes: list[bytes], depth: int) -> np.ndarray:
     """The node of each suffix at ``depth`` words, numbered in sorted order.
 
-    ``suffixes`` are runs of words joined by spaces. Neighbours in sorted order whose common
-    prefix has ``depth`` words or more lie below the same node of that depth of the suffix tree.
+    Suffixes are words joined by single spaces. Neighbours in sorted order that part only after
+    ``depth`` words lie below the same node of that depth of the suffix tree.
     """
-    cut = [s if s.count(b" ") < depth else b" ".join(s.split(b" ", depth)[:depth]) for s in suffixes]
-    order = sorted(range(len(cut)), key=cut.__getitem__)
-    node = np.zeros(len(cut), np.int64)
-    number = -1
-    before = None
-    for i in order:
-        if cut[i] != before:
-            number += 1
-            before = cut[i]
+    node = np.zeros(len(suffixes), np.int64)
+    number, before = -1, None
+    for i in sorted(range(len(suffixes)), key=suffixes.__getitem__):
+        head = suffixes[i]
+        if head.count(b" ") >= depth:
+            head = b" ".join(head.split(b" ", depth)[:depth])
+        if head != before:
+            number, before = number + 1, head
         node[i] = number
     return node
 
 
+def _prefixes(words: np.ndarray, at: np.ndarray, room: np.ndarray, heavy, limit: float) -> np.ndarray:
+    """A hash of the shortest prefix of each suffix (at ``at``, of ``room`` words) whose expected
+    share of all suffixes is within ``limit``; of the whole suffix if there is none."""
+    keys, logs = heavy
+    share = np.zeros(len(at))
+    prefix = np.zeros(len(at), np.uint64)
+    open_ = np.ones(len(at), bool)
+    for i in range(int(room.max()) if len(room) else 0):
+        open_ &= (share > limit) & (i < room) | (i == 0)
+        word = words[at[open_] + i]
+        prefix[open_] = (prefix[open_] + word) * _M1
+        if len(keys):
+            spot = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+            share[open_] += np.where(keys[spot] == word, logs[spot], np.log(HEAVY))
+        else:
+            share[open_] += np.log(HEAVY)
+    return _mixed(prefix)
+
+
+def _frequencies(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """Bytes of all texts, and sorted hashes and log frequencies of the words that make up
+    ``HEAVY`` or more of all words: at most 1 / HEAVY words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        size = total = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = (text or "").encode().split()
+                size += len((text or "").encode())
+                total += len(words)
+                counts.update(words)
+                if len(counts) > COUNTED:
+                    counts = Counter({w: n for w, n in counts.items() if n > HEAVY * total / 4})
+        rows = [(1, xxhash.xxh64_intdigest(w) - 2**63, n) for w, n in counts.items() if n > HEAVY * total / 4]
+        rows += [(0, 0, size), (0, 1, total)]
+        kind, key, n = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "words")
+    totals = {r["key"]: r["n"] for r in counted.filter("kind = 0").collect()}
+    size, total = totals.get(0, 0), totals.get(1, 0)
+    rows = counted.filter((F.col("kind") == 1) & (F.col("n") >= HEAVY * total)).collect()
+    keys = np.array([r["key"] + 2**63 for r in rows], np.uint64)
+    logs = np.log(np.array([r["n"] for r in rows], float) / max(1, total))
+    order = np.argsort(keys)
+    return size, (keys[order], logs[order])
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with ``kept_text`` (the words left, joined by one space), ``n_words`` and
     ``n_removed``; input columns of these names get a trailing underscore.
@@ -148,147 +211,113 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     new = ("kept_text", "n_words", "n_removed")
     docs = docs.withColumnsRenamed({c: f"{c}_" for c in docs.columns if c in new})
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
+    size, heavy = _frequencies(docs)
     shards = max(1, -(-size // SHARD_BYTES))
     shard = private("shard")
     dealt = docs.withColumn(shard, F.expr(f"cast(pmod(xxhash64(doc_id), {shards}) as int)")).repartition(shards, shard)
     limit = np.log(GROUP_SHARE)
 
     def anchors(table: pa.Table) -> pa.Table:
-        own = Shard(table["doc_id"].combine_chunks(), table["text"].combine_chunks(), length)
-        rows = []
-        found, _, low, high = _least(own.anchors(), own.document)
-        for group, at in _dealt(found, shards):
-            rows.append((group, *_pack(found[at], (low[at] < high[at]).astype(np.uint8))))
-        words, counts = np.unique(own.hash, return_counts=True)
-        heavy = counts >= HEAVY * max(1, len(own.hash))
-        rows.append((-1, *_pack(words[heavy], counts[heavy].astype(np.int64))))
-        of = table[shard][0].as_py() if table.num_rows else 0
-        return pa.table({
-            "grp": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([of] * len(rows), pa.int32()),
-            "n": pa.array([len(own.hash)] * len(rows), pa.int64()),
-            "keys": pa.array([r[1] for r in rows], pa.binary()), "flags": pa.array([r[2] for r in rows], pa.binary()),
-        })
-
-    named = dealt.groupBy(shard).applyInArrow(anchors, "grp int, shard int, n long, keys binary, flags binary")
-    named = stored(named, "anchors")
-    heavy = _heavy_words(named.filter("grp = -1"))
-
-    def shared(table: pa.Table) -> pa.Table:
-        keys = _joined(table, "keys", np.uint64)
-        distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        own = Shard(table, length)
+        found, _, low, high, _ = _least(own.anchors(), own.document)
+        of, shared = table[shard][0].as_py(), low < high
+        rows = [
+            (group, of, found[at].tobytes(), shared[at].tobytes())
+            for group, at in _dealt((found % np.uint64(shards)).astype(np.int64))
+        ]
+        return _table(rows, grp=pa.int32(), shard=pa.int32(), anchors=pa.binary(), shared=pa.binary())
+
+    def known(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
+        inside = np.concatenate([np.frombuffer(x, bool) for x in table["shared"].to_pylist()])
+        distinct, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         twice = counts > 1
-        np.logical_or.at(twice, inverse, _joined(table, "flags", np.uint8) > 0)
-        cuts = np.cumsum([len(k) // 8 for k in table["keys"].to_pylist()])[:-1]
-        kept = [k[t] for k, t in zip(np.split(keys, cuts), np.split(twice[inverse], cuts))]
-        return pa.table({"shard": table["shard"], "known": pa.array([k.tobytes() for k in kept], pa.binary())})
-
-    back = named.filter("grp >= 0").groupBy("grp").applyInArrow(shared, "shard int, known binary")
+        np.logical_or.at(twice, inverse, inside)
+        kept = np.split(twice[inverse], np.cumsum([len(p) for p in parts])[:-1])
+        rows = [(s, p[k].tobytes()) for s, p, k in zip(table["shard"].to_pylist(), parts, kept) if k.any()]
+        return _table(rows, shard=pa.int32(), anchors=pa.binary())
 
     def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        known = np.unique(_joined(right, "known", np.uint64))
-        if left.num_rows and len(known):
-            own = Shard(left["doc_id"].combine_chunks(), left["text"].combine_chunks(), length)
-            asked = np.isin(own.anchors(), known, kind="sort")
-            window, at, document = own.windows()[asked], own.at[asked], own.document[asked]
-            key, place, low, _ = _least(window, document)
+        asked_for = [np.frombuffer(x, np.uint64) for x in right["anchors"].to_pylist()]
+        if left.num_rows and asked_for:
+            own = Shard(left, length)
+            asked = np.isin(own.anchors(), np.concatenate(asked_for), kind="sort")
+            at = own.at[asked]
+            _, first, low, _, _ = _least(own.windows()[asked], own.document[asked])
+            by = np.argsort(first)
+            at, low = at[first[by]], low[by]
+            anchor = own.anchored(at)
+            prefix = _prefixes(own.hash, anchor, at + length - anchor, heavy, limit)
+            group = (prefix % np.uint64(shards)).astype(np.int64)
+            begins = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(group) != 0)])
+            counts = np.diff(np.r_[begins, len(at)])
             flat = [w for words in own.words for w in words]
-            spot = at[place]
-            prefix = _prefixes(own.hash, spot, length, heavy, limit)
             of = left[shard][0].as_py()
-            for group, part in _dealt(prefix, shards):
-                text = b"\n".join([b" ".join(flat[i : i + length]) for i in spot[part].tolist()])
-                rows.append((group, of, *_pack(key[part], low[part]), zstandard.compress(text, 1)))
-        return pa.table({
-            "grp": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()),
-            "keys": pa.array([r[2] for r in rows], pa.binary()), "low": pa.array([r[3] for r in rows], pa.binary()),
-            "words": pa.array([r[4] for r in rows], pa.binary()),
-        })
-
-    sent = dealt.groupBy(shard).cogroup(back.groupBy("shard")).applyInArrow(
-        suffixes, "grp int, shard int, keys binary, low binary, words binary"
-    )
+            for number, runs in _dealt(group[begins]):
+                start, count = at[begins[runs]], counts[runs]
+                text = b"\n".join([b" ".join(flat[a : a + n + length - 1]) for a, n in zip(start.tolist(), count.tolist())])
+                lows = np.concatenate([low[b : b + n] for b, n in zip(begins[runs].tolist(), count.tolist())])
+                rows.append((number, of, _pack(start), _pack(count), _pack(lows), zstandard.compress(text, 1)))
+        return _table(
+            rows, grp=pa.int32(), shard=pa.int32(), starts=pa.binary(), counts=pa.binary(), low=pa.binary(), words=pa.binary()
+        )
 
     def tree(table: pa.Table) -> pa.Table:
         paths: list[bytes] = []
-        for part in table["words"].to_pylist():
-            paths += zstandard.decompress(part).split(b"\n")
-        node = deep_nodes(paths, length)
-        low = _joined(table, "low", np.int64)
+        lows, places = [], []
+        for row in table.to_pylist():
+            count = _unpack(row["counts"], np.int64)
+            for text, n in zip(zstandard.decompress(row["words"]).split(b"\n"), count.tolist()):
+                words = text.split(b" ")
+                paths += [b" ".join(words[i : i + length]) for i in range(n)]
+            begin = np.cumsum(count) - count
+            places.append(np.repeat(_unpack(row["starts"], np.int64) - begin, count) + np.arange(count.sum()))
+            lows.append(_unpack(row["low"], np.int64))
+        node, low = deep_nodes(paths, length), np.concatenate(lows)
         least = np.full(int(node.max()) + 1, LATE)
         np.minimum.at(least, node, low)
-        keys = _joined(table, "keys", np.uint64)
-        cuts = np.cumsum([len(k) // 8 for k in table["keys"].to_pylist()])[:-1]
-        parts = zip(np.split(keys, cuts), np.split(least[node], cuts))
-        packed = [_pack(k, d) for k, d in parts]
-        return pa.table({
-            "shard": table["shard"], "keys": pa.array([p[0] for p in packed], pa.binary()),
-            "low": pa.array([p[1] for p in packed], pa.binary()),
-        })
-
-    repeats = sent.groupBy("grp").applyInArrow(tree, "shard int, keys binary, low binary")
-    outer = [c for c in dealt.columns if c != shard]
+        earlier = np.split(least[node], np.cumsum([len(p) for p in places])[:-1])
+        rows = []
+        for s, place, own, other in zip(table["shard"].to_pylist(), places, lows, earlier):
+            hit = other < own
+            if hit.any():
+                rows.append((s, _pack(place[hit]), _pack(other[hit])))
+        return _table(rows, shard=pa.int32(), places=pa.binary(), low=pa.binary())
+
+    outer = docs.columns
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Shard(left["doc_id"].combine_chunks(), left["text"].combine_chunks(), length)
+        own = Shard(left, length)
         gone = np.zeros(len(own.hash) + 1, np.int64)
-        if right.num_rows and len(own.at):
-            keys, _, low, _ = _least(_joined(right, "keys", np.uint64), _joined(right, "low", np.int64))
-            window = own.windows()
-            spot = np.minimum(np.searchsorted(keys, window), len(keys) - 1)
-            hit = own.at[(keys[spot] == window) & (low[spot] < own.document)]
+        if len(own.at):
+            _, first, low, _, number = _least(own.windows(), own.document)
+            if right.num_rows:
+                place = np.concatenate([_unpack(x, np.int64) for x in right["places"].to_pylist()])
+                other = np.concatenate([_unpack(x, np.int64) for x in right["low"].to_pylist()])
+                np.minimum.at(low, number[np.searchsorted(own.at, place)], other)
+            hit = own.at[low[number] < own.document]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + length, -1)
         kept = np.cumsum(gone)[:-1] == 0
         texts, counts = [], []
         for words, a, b in zip(own.words, own.starts[:-1].tolist(), own.starts[1:].tolist()):
-            stay = kept[a:b]
-            counts.append(int(b - a - np.count_nonzero(stay)))
-            texts.append(b" ".join(words if not counts[-1] else [words[i] for i in np.flatnonzero(stay).tolist()]).decode())
-        out = left.select(outer)
-        n = np.diff(own.starts)
-        for name, values in zip(new, (pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(counts, pa.int64()))):
+            stay = np.flatnonzero(kept[a:b])
+            counts.append(int(b - a - len(stay)))
+            texts.append(b" ".join([words[i] for i in stay.tolist()] if counts[-1] else words).decode())
+        out = left.select(outer).take(pa.array(own.order, pa.int64()))
+        for name, values in zip(new, (pa.array(texts, pa.string()), pa.array(np.diff(own.starts)), pa.array(counts, pa.int64()))):
             out = out.append_column(name, values)
         return out
 
-    schema = docs.select(*outer).withColumns({
-        "kept_text": F.lit(""), "n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")
-    }).schema
-    return dealt.groupBy(shard).cogroup(repeats.groupBy("shard")).applyInArrow(removed, schema)
-
-
-def _heavy_words(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and log frequencies of the words that make up ``HEAVY`` or more of all words: at
-    most 1 / HEAVY of them. Each shard has counted those that reach that share in it."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.concatenate([np.frombuffer(k, np.int64) for k in batch["keys"].to_pylist()] or [np.empty(0, np.int64)])
-            counts = np.concatenate([np.frombuffer(k, np.int64) for k in batch["flags"].to_pylist()] or [np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["word", "n"])
-
-    total = named.agg(F.sum("n").alias("n")).head()["n"] or 0
-    counted = named.mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = sorted((r.word, r.n) for r in counted.filter(F.col("n") >= HEAVY * total).collect())
-    return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.log(np.array([r[1] for r in rows], float) / max(1, total))
-
-
-def _prefixes(words: np.ndarray, at: np.ndarray, length: int, heavy, limit: float) -> np.ndarray:
-    """A hash of the shortest prefix of each suffix whose expected share is within the limit."""
-    by = np.argsort(heavy[0])
-    keys, logs = heavy[0][by], heavy[1][by]
-    share = np.zeros(len(at))
-    prefix = np.zeros(len(at), np.uint64)
-    open_ = np.ones(len(at), bool)
-    for i in range(length):
-        word = words[at + i]
-        prefix[open_] = (prefix[open_] + word[open_]) * _M1
-        spot = np.minimum(np.searchsorted(keys, word), max(0, len(keys) - 1))
-        known = (keys[spot] == word) if len(keys) else np.zeros(len(at), bool)
-        share += np.where(known, logs[spot] if len(keys) else 0.0, np.log(HEAVY))
-        open_ &= share > limit
-    return _mixed(prefix)
+    named = dealt.groupBy(shard).applyInArrow(anchors, "grp int, shard int, anchors binary, shared binary")
+    back = named.groupBy("grp").applyInArrow(known, "shard int, anchors binary")
+    sent = dealt.groupBy(shard).cogroup(back.groupBy("shard")).applyInArrow(
+        suffixes, "grp int, shard int, starts binary, counts binary, low binary, words binary"
+    )
+    repeats = sent.groupBy("grp").applyInArrow(tree, "shard int, places binary, low binary")
+    added = {"kept_text": F.lit(""), "n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}
+    return dealt.groupBy(shard).cogroup(repeats.groupBy("shard")).applyInArrow(removed, docs.withColumns(added).schema)
 
 
 SQL = """
