@@ -115,6 +115,41 @@ def test_hot_client_in_several_rounds(spark):
     assert _run(df, 5, 120, max_rows_per_task=700) == _expected(df, 5, 120)
 
 
+def test_hot_slice_is_cut(spark):
+    from textguard.operators import throttle as T
+
+    events = _events(spark, ("hot", [0.7 * i for i in range(1000)]), ("cold", [0, 5000]))
+    assert _run(events, 100, 1, max_rows_per_task=200) == _run(events, 100, 1)
+    uneven = _events(spark, ("hot", [0.0] * 500 + [60.0 * i for i in range(1, 90)]))
+    assert _run(uneven, 100, 1, max_rows_per_task=50) == _run(uneven, 100, 1)
+    fill = 100 * 60_000_000 + 1
+    keyed = events.select(F.col("client").alias("_client"), T.micros(events, "ts").alias("_us")).withColumn(
+        "_slice", F.expr(f"(_us - pmod(_us, {fill})) div {fill}")
+    )
+    split = T._split_hot(keyed, 100)
+    state = spark.createDataFrame([], T.STATE_SCHEMA)
+    placed = split.join(T._slices(split, state, fill, 100), ["_client", "_slice", "_sub"])
+    rounds = placed.groupBy("_client", "_chain", "_round").count().collect()
+    assert sum(r["count"] for r in rounds) == 1002 and max(r["count"] for r in rounds) <= 200
+
+
+def test_stream_reads_times_without_zone_as_utc(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql(
+            "SELECT 'c' AS client, timestamp_ntz'2024-03-10 01:59:50' AS ts, 1L AS id "
+            "UNION ALL SELECT 'c', timestamp_ntz'2024-03-10 03:00:00', 2L UNION ALL SELECT null, timestamp_ntz'2024-03-10 03:00:00', 3L"
+        ).coalesce(1)
+        df.write.parquet(f"{tmp_path}/in")
+        stream = throttle_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "client", "ts", "id", 1, 1)
+        stream.writeStream.format("memory").queryName("zoneless").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        got = {r.event_id: (r.client, r.allowed) for r in spark.table("zoneless").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == {1: ("c", True), 2: ("c", True), 3: ("", True)}
+
+
 def test_timestamp_without_zone(spark):
     df = _events(spark, ("c", [0, 0, 61])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert [a for a, _ in _run(df, 1, 1)] == [True, False, True]

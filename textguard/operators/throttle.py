@@ -7,6 +7,7 @@ order. What is walked by one task is kept small:
   such a pause the bucket is full whatever happened before, so the parts ("chains") are
   independent and spread over the cluster. The pauses are found on counts per client and
   time slice, which are aggregated before the shuffle.
+* A slice with more rows than that is cut further by time.
 * A chain with more rows than ``max_rows_per_task`` is walked in several rounds, each
   starting from the state the round before it wrote. A task never holds or sorts an
   unbounded share of a hot client.
@@ -34,32 +35,56 @@ def micros(df: DataFrame, ts: str) -> Column:
     """Microseconds since the epoch; a timestamp without zone is read as UTC."""
     if dict(df.dtypes)[ts] == "timestamp_ntz":
         return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
-    return F.unixmicros(F.col(ts))
+    return F.unix_micros(F.col(ts))
+
+
+def _split_hot(keyed: DataFrame, rows_per_task: int) -> DataFrame:
+    """Add ``_sub``: slices with more rows than a task may walk are cut by time, between their first
+    and last event, into twice as many parts as they would fill tasks; all others are one part."""
+    whole = keyed.withColumn("_sub", F.lit(0).cast("bigint"))
+    sizes = keyed.groupBy("_client", "_slice").agg(
+        F.count("*").alias("n"), F.min("_us").alias("_from"), F.max("_us").alias("_to")
+    )
+    hot = write_once(
+        sizes.filter(F.col("n") > rows_per_task).select(
+            "_client", "_slice", "_from", "_to",
+            F.ceil(2 * F.col("n") / rows_per_task).alias("_parts"),
+        ), "throttle-hot",
+    )
+    if not hot.head(1):
+        return whole
+    part = F.coalesce(F.expr("(_us - _from) * _parts div (_to - _from + 1)"), F.lit(0))
+    marked = keyed.join(hot, ["_client", "_slice"], "left").withColumn("_sub", part)
+    return marked.drop("_from", "_to", "_parts")
 
 
 def _slices(
     keyed: DataFrame, state: DataFrame, fill_micros: int, rows_per_task: int
 ) -> DataFrame:
-    """``_client, _slice, _chain, _round`` from row counts per client and time slice.
+    """``_client, _slice, _sub, _chain, _round`` from row counts per client and time slice.
 
     Slices are as long as the bucket takes to fill, so a long enough pause always has
-    a slice boundary in it. One row per slice, however many events fall into it. Chain 0
-    goes on from a known state; every other chain starts with a full bucket.
+    a slice boundary in it. One row per slice or part of a slice, however many events fall into
+    it. Chain 0 goes on from a known state; every other chain starts with a full bucket.
     """
-    counted = keyed.groupBy("_client", "_slice").agg(
+    counted = keyed.groupBy("_client", "_slice", "_sub").agg(
         F.count("*").alias("n"), F.min("_us").alias("first"), F.max("_us").alias("last")
     )
     counted = counted.join(state.select("_client", F.col("_last").alias("seen")), "_client", "left")
-    by_time = Window.partitionBy("_client").orderBy("_slice")
+    by_time = Window.partitionBy("_client").orderBy("_slice", "_sub")
     pause = F.col("first") - F.greatest(F.lag("last").over(by_time), F.col("seen"))
     opens = F.when(F.coalesce(pause >= fill_micros, F.lit(True)), 1).otherwise(0)
     chains = counted.withColumn("_opens", opens).withColumn(
         "_chain", F.sum("_opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
     )
-    in_chain = Window.partitionBy("_client", "_chain").orderBy("_slice")
+    in_chain = Window.partitionBy("_client", "_chain").orderBy("_slice", "_sub")
     before = F.sum("n").over(in_chain.rowsBetween(Window.unboundedPreceding, -1))
-    rounds = F.floor(F.coalesce(before, F.lit(0)) / rows_per_task).cast("int")
-    return chains.select("_client", "_slice", "_chain", rounds.alias("_round"))
+    filled = F.floor(F.coalesce(before, F.lit(0)) / rows_per_task)
+    # a part with more rows than a task takes skips numbers: count the rounds that there are
+    rounds = F.dense_rank().over(Window.partitionBy("_client", "_chain").orderBy("_filled")) - 1
+    return chains.withColumn("_filled", filled).select(
+        "_client", "_slice", "_sub", "_chain", rounds.cast("int").alias("_round")
+    )
 
 
 def _walk(capacity: int, refill: int):
@@ -147,14 +172,15 @@ def decide(
     us = micros(events, ts)
     keyed = events.select(
         client, ts, tie, F.coalesce(F.col(client).cast("string"), F.lit("")).alias("_client"),
-        us.alias("_us"), F.floor(us / fill_micros).alias("_slice"),
-    )
+        us.alias("_us"),
+    ).withColumn("_slice", F.expr(f"(_us - pmod(_us, {fill_micros})) div {fill_micros}"))
+    keyed = _split_hot(keyed, max_rows_per_task)
     if state is None:
         state = spark.createDataFrame([], STATE_SCHEMA)
     slices = write_once(
         _slices(keyed, state, fill_micros, max_rows_per_task), "throttle-slices"
     )
-    placed = keyed.join(slices, ["_client", "_slice"])
+    placed = keyed.join(slices, ["_client", "_slice", "_sub"])
 
     def walk(rows: DataFrame) -> DataFrame:
         spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
