@@ -63,7 +63,7 @@ def test_planes_round_trip(spark):
 
 
 def test_no_documents(spark):
-    _, df = some_docs(spark, 3)
+    _, df = some_docs(spark, 9)
     path = new_path(spark, "planes")
     planes.write_planes(df.limit(0), path, public_tokenizers.path(FILES[0]), end_id=2)
     assert planes.with_starts(planes.read_documents(spark, path), spark, path).count() == 0
