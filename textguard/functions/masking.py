@@ -190,6 +190,47 @@ def find_tokens(text: Column, types: tuple[str, ...] = tuple(P.PRIORITY)) -> Col
     )
 
 
+def look_up(names: Column, entries: Column, kind: str = "string") -> Column:
+    """The value of each name out of ``array<struct<key,value>>``, null where there is none.
+
+    Names and entries are sorted together, so n names and m entries cost (n + m) log (n + m)
+    instead of a search through the entries for each name. Of equal keys the first counts.
+    """
+    asked = f"array<struct<name:string,asked:int,i:int,value:{kind}>>"
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        same = F.coalesce(state["name"] == x["name"], F.lit(False))
+        keep = same | (x["asked"] == 1)
+        following = F.struct(
+            F.when(keep, state["name"]).otherwise(x["name"]).alias("name"),
+            F.when(keep, state["value"]).otherwise(x["value"]).alias("value"),
+        )
+        hit = F.struct(x["i"].alias("i"), F.when(same, state["value"]).alias("value"))
+        none = F.array().cast(f"array<struct<i:int,value:{kind}>>")
+        return following, F.when(x["asked"] == 1, F.array(hit)).otherwise(none)
+
+    known = F.transform(
+        entries,
+        lambda e, i: F.struct(
+            e["key"].alias("name"), F.lit(0).alias("asked"), i.alias("i"), e["value"].alias("value")
+        ),
+    ).cast(asked)
+    wanted = F.transform(
+        names,
+        lambda n, i: F.struct(
+            n.alias("name"), F.lit(1).alias("asked"), i.alias("i"), F.lit(None).cast(kind).alias("value")
+        ),
+    ).cast(asked)
+    before = F.struct(
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast(kind).alias("value")
+    )
+    found = fold_into_array(
+        F.array_sort(F.concat(known, wanted)), before,
+        F.array().cast(f"array<struct<i:int,value:{kind}>>"), step,
+    )
+    return F.transform(F.array_sort(found), lambda h: h["value"])
+
+
 def splice_tokens(
     text: Column, values: Column, types: Iterable[str] = tuple(P.PRIORITY)
 ) -> Column:
@@ -202,10 +243,10 @@ def splice_tokens(
 
     def weave(found: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        woven = F.zip_with(
-            gaps, found,
-            lambda gap, t: F.concat(gap, F.coalesce(values[t], t, F.lit(""))),
-        )
+        none = F.array().cast("array<struct<key:string,value:string>>")
+        entries = F.coalesce(F.map_entries(values), none)
+        put = F.zip_with(look_up(found, entries), found, lambda v, t: F.coalesce(v, t))
+        woven = F.zip_with(gaps, put, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit(""))))
         return F.array_join(woven, "")
 
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -28,10 +28,6 @@ def reply_tokens(
     return hit.select("request_id", tokens).filter(F.col("token").isNotNull())
 
 
-def _first_of_each(entries: Column, names: Column) -> Column:
-    return F.filter(entries, lambda e, i: F.array_position(names, e["token"]) == i + 1)
-
-
 @remember
 def restore(
     text: Column, mappings: Column | str, key: str | None, types: tuple[str, ...] = TYPES
@@ -58,12 +54,18 @@ def restore(
         return F.when(failed, bad).otherwise(good)
 
     def opened(tokens: Column) -> Column:
-        wanted = F.filter(mappings, lambda m: F.array_contains(tokens, m["token"]))
-        single = bind(
-            wanted, lambda w: _first_of_each(w, F.transform(w, lambda m: m["token"]))
+        entries = F.transform(
+            mappings,
+            lambda m: F.struct(
+                m["token"].alias("key"), F.coalesce(m["sealed"], F.lit(b"")).alias("value")
+            ),
+        )
+        sealed = F.zip_with(
+            tokens, M.look_up(tokens, entries, "binary"),
+            lambda t, s: F.struct(t.alias("token"), s.alias("sealed")),
         )
         return F.transform(
-            single,
+            F.filter(sealed, lambda m: m["sealed"].isNotNull()),
             lambda m: F.struct(
                 m["token"].alias("token"), S.try_open(m["sealed"], key).alias("plain")
             ),
