@@ -1,10 +1,11 @@
 """Near-duplicates by SimHash fingerprints, searched in BK-trees.
 
 A fingerprint is one or more 64-bit words. Equal fingerprints are one node. A shard is what
-agrees in one pair of bit blocks of one word: each shard has a tree of its own, which only the
-fingerprints of the shard are searched in. With one word and ``radius + 2`` blocks any two
-fingerprints within the radius agree in two blocks, so no link is missed; with more words the
-radius holds for all bits together and the shards find near copies with high probability.
+agrees in some blocks of bits: each shard has a tree of its own, which only the fingerprints of
+the shard are searched in. With one word and ``radius + 2`` blocks any two fingerprints within the
+radius agree in two blocks, so no link is missed; with more words the radius holds for all bits
+together and the shards find near copies with high probability. Blocks that must agree hold 24
+bits or more, so fingerprints that are not alike hardly ever meet, however many there are.
 
 The trees travel to their queries by the shard key: sending every tree to every task would grow
 with the corpus. A shard with more than ``TREE`` fingerprints has several trees, and its
@@ -38,12 +39,16 @@ BLOCK = 1 << 16
 
 @dataclass(frozen=True)
 class Settings:
-    """Words per shingle, words per fingerprint, differing bits allowed, bit blocks per word."""
+    """Words per shingle, words per fingerprint, differing bits allowed, bit blocks per word, and
+    how many blocks agree in a shard: all choices of blocks whose numbers add up to a multiple of
+    ``every``."""
 
     shingle: int = 3
     words: int = 1
     radius: int = 3
     blocks: int = 5
+    agree: int = 2
+    every: int = 1
 
     @property
     def columns(self) -> list[str]:
@@ -53,7 +58,7 @@ class Settings:
 #: Links at 3 bits, all of them.
 EXACT = Settings()
 #: Near copies: five-word shingles of which 0.8 agree differ in 0.15 of the bits.
-SIMILAR = Settings(shingle=5, words=3, radius=34, blocks=7)
+SIMILAR = Settings(shingle=5, words=3, radius=34, blocks=8, agree=3, every=13)
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -108,26 +113,28 @@ def fingerprints(docs: DataFrame, settings: Settings = EXACT) -> DataFrame:
 
 
 def shard_keys(settings: Settings) -> Column:
-    """One key per word and pair of its blocks."""
+    """One key per choice of blocks."""
     bounds = [64 * i // settings.blocks for i in range(settings.blocks + 1)]
-    keys = []
-    for c in settings.columns:
-        value = [F.shiftrightunsigned(F.shiftleft(c, 64 - b), 64 - b + a) for a, b in zip(bounds, bounds[1:])]
-        keys += [F.xxhash64(F.lit(c), F.lit(i), F.lit(j), value[i], value[j]) for i, j in combinations(range(settings.blocks), 2)]
-    return F.array(*keys)
+    value = [
+        F.shiftrightunsigned(F.shiftleft(c, 64 - b), 64 - b + a)
+        for c in settings.columns for a, b in zip(bounds, bounds[1:])
+    ]
+    chosen = [c for c in combinations(range(len(value)), settings.agree) if sum(c) % settings.every == 0]
+    return F.array(*[F.xxhash64(F.lit(n), *[value[i] for i in c]) for n, c in enumerate(chosen)])
 
 
 def links(prints: DataFrame, settings: Settings = EXACT, tree: int = TREE) -> DataFrame:
     """(a, b): links between the nodes of ``prints`` (node and the words of the fingerprint)
     which connect all that lie within the radius of each other."""
     names = ["node", *settings.columns]
-    keyed = prints.select(*names, F.explode(shard_keys(settings)).alias("key"))
+    keyed = prints.select("node", F.explode(shard_keys(settings)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     chunk = F.expr(f"cast(pmod(xxhash64(node), (n + {tree} - 1) div {tree}) as int)")
     cells = (
         keyed.join(sizes, "key").withColumn("chunk", chunk)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {tree} as int)"))))
-        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", *names)
+        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node")
+        .join(prints.select(*names), "node")  # only what is not alone in a shard needs its words
     )
     radius, columns = settings.radius, settings.columns
 
