@@ -114,19 +114,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = from_planes(row["planes"])
-                docs = row["docs"]
-                ends = np.cumsum([d["count"] for d in docs]).tolist()
-                begins = [0, *ends[:-1]]
+            place = {name: batch.schema.get_field_index(name) for name in batch.schema.names}
+            for n in range(batch.num_rows):
+                ids = from_planes(batch.column(place["planes"])[n].as_py())
+                docs = pa.RecordBatch.from_struct_array(batch.column(place["docs"])[n].values)
+                count, before = docs.column("count").to_numpy(), docs.column("before").to_numpy()
+                ends = np.cumsum(count.astype(np.int64))
+                begins = ends - count
+                start = batch.column(place["start"])[n].as_py()
                 yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([row["part"]] * len(docs), pa.int32()),
-                    "ordinal": pa.array([d["ordinal"] for d in docs], pa.int64()),
-                    "doc_id": pa.array([d["doc_id"] for d in docs], pa.int64()),
-                    "start_in_part": pa.array([row["start"] + b - d["before"] for b, d in zip(begins, docs)], pa.int64()),
-                    "n_tokens": pa.array([d["total"] for d in docs], pa.int64()),
-                    "before": pa.array([d["before"] for d in docs], pa.int64()),
-                    "ids": pa.array([ids[WIDTH * a : WIDTH * b] for a, b in zip(begins, ends)], pa.binary()),
+                    "part": pa.array(np.full(len(ends), batch.column(place["part"])[n].as_py(), np.int32)),
+                    "ordinal": docs.column("ordinal"), "doc_id": docs.column("doc_id"),
+                    "start_in_part": pa.array(start + begins - before), "n_tokens": docs.column("total"),
+                    "before": docs.column("before"),
+                    "ids": pa.array([ids[a:b] for a, b in zip((WIDTH * begins).tolist(), (WIDTH * ends).tolist())], pa.binary()),
                 })
 
     pieces = spark.read.schema(SCHEMA).parquet(path).mapInArrow(

@@ -10,6 +10,7 @@ when normalised, are encoded whole.
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 
 import numpy as np
@@ -17,59 +18,77 @@ from tokenizers import Tokenizer
 
 #: White space other than blank and line end; what lower-casing or normalising may move.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　İΣ]")
-_TAIL = re.compile(r"(.*?[^\W_])((?:[^\w]|_)+)", re.DOTALL)
-REMEMBERED = 700_000
+REMEMBERED = 800_000
 SHORT = 7
 TOGETHER = 2_000
 
 
+def _odd(piece: str) -> bool:
+    return bool(_ODD.search(piece)) or not (piece.isascii() or unicodedata.is_normalized("NFC", piece))
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Remember the ids of pieces, each with the blank before it unless it starts a line. Words
-        of letters go through the library many at a time: each is one word to it, as is checked."""
+        of letters go through the library many at a time, as they are words to it, too; punctuation
+        behind a word is encoded apart from it."""
         known = self.known
-        plain, split = [], []
+        heads: tuple[list[str], list[str]] = ([], [])  # behind a blank, at the start of a line
+        split = []
         for piece in pieces:
-            if piece.isalpha():
-                plain.append(piece)
-            elif (m := _TAIL.fullmatch(piece)) and m[1].isalpha():
-                split.append((piece, m[1], m[2]))
+            if _odd(piece):
+                known[piece] = None
+            elif piece.isalpha():
+                heads[0].append(piece)
             else:
-                known[piece] = self._whole(piece if piece[0] == "\n" else " " + piece)
-        plain += {head for _, head, _ in split if head not in known}.difference(plain)
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            done = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+                head = piece.rstrip(string.punctuation)
+                starts_line = piece[0] == "\n"
+                if not head[starts_line:].isalpha():
+                    known[piece] = self._whole(piece if starts_line else " " + piece)
+                elif head == piece:
+                    heads[1].append(piece)
+                else:
+                    split.append((piece, head, piece[len(head) :]))
+        behind = {head for _, head, _ in split if head not in known}
+        heads[0].extend({h for h in behind if h[0] != "\n"}.difference(heads[0]))
+        heads[1].extend({h for h in behind if h[0] == "\n"}.difference(heads[1]))
+        self._together(heads[0], " ")
+        self._together(heads[1], "")
+        tails = {tail: self._whole(tail) for tail in {tail for _, _, tail in split}}
+        for piece, head, tail in split:
+            known[piece] = known[head] + tails[tail]
+
+    def _together(self, heads: list[str], before: str) -> None:
+        for i in range(0, len(heads), TOGETHER):
+            part = heads[i : i + TOGETHER]
+            done = self.tokenizer.encode("".join([before + p for p in part]), add_special_tokens=False)
             words = np.array(done.word_ids, np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(words)]
-            if len(cuts) == len(part) + 1:
+            each = (len(cuts) - 1) // len(part)  # a line end may be a word of its own
+            if each in (1, 2) and each * len(part) == len(cuts) - 1:
+                cuts = cuts[::each]
                 flat = np.array(done.ids, "<u4").tobytes()
-                known.update((p, flat[4 * a : 4 * b]) for p, a, b in zip(part, cuts, cuts[1:]))
+                self.known.update((p, flat[4 * a : 4 * b]) for p, a, b in zip(part, cuts, cuts[1:]))
             else:
-                known.update((p, self._whole(" " + p)) for p in part)
-        tails = {tail: self._whole(tail) for tail in {tail for _, _, tail in split}}
-        for piece, head, tail in split:
-            known[piece] = known[head] + tails[tail]
+                self.known.update((p, self._whole(before + p)) for p in part)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; of null and empty texts, none."""
         cut: list[list[str] | None] = []
         for text in texts:
             flat = (text or "").replace("\n", " \n")
-            simple = not (
-                not flat or flat[0] == " " or flat[-1] in " \n" or "  " in flat or "\n " in flat or _ODD.search(flat)
-            )
-            cut.append(flat.split(" ") if simple and unicodedata.is_normalized("NFC", flat) else None)
+            simple = flat and flat[0] != " " and flat[-1] not in " \n" and "  " not in flat and "\n " not in flat
+            cut.append(flat.split(" ") if simple else None)
         if len(self.known) > REMEMBERED:
             self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}  # the frequent ones
         wanted: set[str] = set()
@@ -80,12 +99,12 @@ class Encoder:
         ids, first = self.known.__getitem__, {}
         out = []
         for text, pieces in zip(texts, cut):
-            if not pieces:
+            if pieces and pieces[0] not in first:
+                first[pieces[0]] = None if _odd(pieces[0]) else self._whole(pieces[0])
+            try:
+                out.append(first[pieces[0]] + b"".join(map(ids, pieces[1:])))
+            except TypeError:  # not cut, or with an odd piece
                 out.append(self._whole(text) if text else b"")
-                continue
-            if pieces[0] not in first:
-                first[pieces[0]] = self._whole(pieces[0])
-            out.append(first[pieces[0]] + b"".join(map(ids, pieces[1:])))
         return out
 
 
