@@ -1,0 +1,125 @@
+"""Pairs of shingle sets of which four fifths or more agree (Jaccard), all of them, without error.
+
+A set is sorted by one order of all shingles, frequent ones last. Two sets that agree in four
+fifths share one of the first shingles of both: of n, the first n - ceil(4n / 5) + 1. Sets meet
+by these, and the place of the shared shingle bounds what they can still have in common. The
+order only decides how many meet, so it may come from a bounded sample; what is found does not
+depend on it. Sets that meet are candidates until ``verified`` has compared them whole.
+
+A shingle that more than ``TREE`` sets begin with is dealt to cells of two chunks, as in
+``simhash``. Sets known to be connected are not compared again, so a large group of copies does
+not list its pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from textguard.llm.common import partitions
+from textguard.llm.groups import whole_groups
+
+SAMPLE = 8_192  # texts that the order of shingles is taken from
+FREQUENT = 50_000  # shingles that it holds at most
+BLOCK = 1 << 16
+TREE = 16_384
+
+
+def alike(n: np.ndarray, m: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with ``common`` shared ones agree in four fifths of their union."""
+    return 9 * common >= 4 * (n + m)
+
+
+def frequent(texts: DataFrame, sets) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that stand in many texts of a sample, and how many; ``sets`` gives the
+    shingles of a text."""
+    every = max(1, texts.count() // SAMPLE)
+    sample = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sets(t) for t in batch.column(0).to_pylist()]
+            key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    counted = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2")
+    top = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    key, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def prefix(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles that a sorted set meets others by, in order."""
+    key, n = order
+    many = np.zeros(len(shingles), np.int64)
+    if len(key) and len(shingles):
+        at = np.minimum(np.searchsorted(key, shingles), len(key) - 1)
+        many = np.where(key[at] == shingles, n[at], 0)
+    first = len(shingles) - -(-4 * len(shingles) // 5) + 1 if len(shingles) else 0
+    return shingles[np.argsort(many, kind="stable")[:first]]
+
+
+def candidates(sets: DataFrame, tree: int = TREE) -> DataFrame:
+    """(a, b): all pairs of ``sets`` (node, label, size, prefix) that may be alike, but for those
+    of one label."""
+    keyed = sets.select("node", "label", "size", F.posexplode("prefix").alias("place", "key"))
+    sizes = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).filter("low <> high").select("key", "n")
+    chunk = F.expr(f"cast(pmod(xxhash64(node), (n + {tree} - 1) div {tree}) as int)")
+    names = ["key", "i", "j", "chunk", "node", "label", "size", "place"]
+    cells = (
+        keyed.join(sizes, "key").withColumn("chunk", chunk)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {tree} as int)"))))
+        .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).select(names)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key", "i", "j"], BLOCK):
+            key, i, j, chunk, node, label, size, place = (table[c].to_numpy().astype(np.int64) for c in names)
+            new = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+            end = np.repeat(np.r_[new[1:], len(key)], np.diff(np.r_[new, len(key)]))
+            at, step = np.arange(len(key)), 0
+            while True:
+                step += 1
+                at = at[at + step < end[at]]
+                if not len(at):
+                    break
+                to = at + step
+                n, m = size[at], size[to]
+                left = np.minimum(n - place[at], m - place[to])  # what both have from here on
+                near = (label[at] != label[to]) & ((i[at] == j[at]) | (chunk[at] != chunk[to])) & alike(n, m, left)
+                if near.any():
+                    x, y = node[at[near]], node[to[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    dealt = cells.repartition(partitions(sets), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sets) -> DataFrame:
+    """The pairs (a, b) of ``texts`` (node, text) whose sets are alike."""
+    both = (
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = None, np.empty(0, np.uint64)
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for row in range(batch.num_rows):
+                if number != (b := batch.column(1)[row].as_py()):  # a join by sorting gives the rows of one b together
+                    number, held = b, sets(batch.column(3)[row].as_py())
+                other = sets(batch.column(2)[row].as_py())
+                common = len(np.intersect1d(held, other, assume_unique=True))
+                keep[row] = alike(len(held), len(other), common)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm import shingles
 from textguard.llm.bktree import Forest, union
 from textguard.llm.common import stored
 from textguard.llm.components import components
@@ -57,7 +58,8 @@ class Settings:
 
 #: Links at 3 bits, all of them.
 EXACT = Settings()
-#: Near copies: five-word shingles of which 0.8 agree differ in 0.15 of the bits.
+#: Near copies: five-word shingles of which 0.8 agree differ in 0.15 of the bits. Not every pair
+#: shares a shard; ``similar`` compares shingles and finds the others by them.
 SIMILAR = Settings(shingle=5, words=3, radius=34, blocks=8, agree=3, every=13)
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -177,12 +179,63 @@ def near_duplicates(docs: DataFrame, settings: Settings = EXACT) -> DataFrame:
     return each.join(known, "node").select("doc_id", *fp, "component_id")
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    return np.unique(shingle_hashes((text or "").encode().lower().split(), size))
+
+
+def classes(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
+    """A row for each distinct set of shingles: node, the smallest doc_id, a text, the number of
+    shingles, their prefix and the words of a fingerprint."""
+    sets = partial(shingle_set, size=settings.shingle)
+    order = shingles.frequent(docs, sets)
+    fp = settings.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = [sets(t) for t in texts]
+            node = np.array([_hash(x.tobytes()) for x in found], np.uint64).view(np.int64)
+            size = pa.array([len(x) for x in found], pa.int64())
+            first = pa.array([shingles.prefix(x, order).view(np.int64) for x in found], pa.list_(pa.int64()))
+            prints = np.array([fingerprint(t, settings) for t in texts], np.uint64).reshape(len(texts), len(fp)).view(np.int64)
+            columns = [pa.array(node), batch.column(0), batch.column(1), size, first, *map(pa.array, prints.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "text", "size", "prefix", *fp])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = docs.select("doc_id", "text").mapInArrow(
+        run, f"node bigint, doc_id {kind}, text string, size bigint, prefix array<bigint>, " + ", ".join(f"{c} bigint" for c in fp)
+    )
+    one = F.first(F.struct("text", "size", "prefix", *fp)).alias("one")
+    return each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), one).select("node", "doc_id", "one.*")
+
+
+def similar(found: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
+    """(a, b): links between the nodes of ``found`` (as ``classes`` gives it), which connect all
+    pairs of sets of shingles with a Jaccard similarity of 0.8 or more.
+
+    Fingerprints link what is much alike first; then shingles find every pair that is left
+    between two groups.
+    """
+    sets = partial(shingle_set, size=settings.shingle)
+    near = stored(links(found.select("node", *settings.columns), settings), "near")
+    groups = components(near)
+    labelled = found.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "prefix")
+    return near.unionAll(stored(shingles.verified(shingles.candidates(labelled), found, sets), "near"))
+
+
 def deduplicated(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
     """The rows of ``docs`` of which no other document of their group has a smaller id.
 
-    Of rows with equal ids one stays; rows without an id stay.
+    A group connects at least all pairs of texts whose sets of shingles have a Jaccard similarity
+    of 0.8 or more. Texts without words are one group. Of rows with equal ids one stays; rows
+    without an id stay.
     """
-    found = near_duplicates(docs, settings)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    found = stored(classes(docs, settings), "classes")
+    roots = components(similar(found, settings))
+    first = (
+        found.select("node", "doc_id").join(roots, "node", "left")
+        .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    )
     kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionAll(docs.filter(F.col("doc_id").isNull()))
