@@ -150,6 +150,13 @@ def copies_on_both_sides(pairs=250):
     return rows
 
 
+def test_links_lie_at_or_above_the_bound(spark):
+    rows = copies_on_both_sides()
+    wanted = naive_kept(rows)
+    got = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not wanted - got  # nothing below the bound leaves
+
+
 def test_search_is_complete(spark):
     rows = copies_on_both_sides()
     wanted = naive_kept(rows)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from textguard.llm import shingles
 from textguard.llm.bktree import Forest, union
-from textguard.llm.common import stored
+from textguard.llm.common import released, stored
 from textguard.llm.components import components
 from textguard.llm.groups import whole_groups
 
@@ -125,9 +125,10 @@ def shard_keys(settings: Settings) -> Column:
     return F.array(*[F.xxhash64(F.lit(n), *[value[i] for i in c]) for n, c in enumerate(chosen)])
 
 
-def links(prints: DataFrame, settings: Settings = EXACT, tree: int = TREE) -> DataFrame:
+def links(prints: DataFrame, settings: Settings = EXACT, tree: int = TREE, direct: bool = False) -> DataFrame:
     """(a, b): links between the nodes of ``prints`` (node and the words of the fingerprint)
-    which connect all that lie within the radius of each other."""
+    which connect all that lie within the radius of each other. With ``direct`` each is a pair
+    within the radius: of every fingerprint and the first one near it in a cell."""
     names = ["node", *settings.columns]
     keyed = prints.select("node", F.explode(shard_keys(settings)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -151,7 +152,10 @@ def links(prints: DataFrame, settings: Settings = EXACT, tree: int = TREE) -> Da
             label = np.arange(len(node))
             forest = Forest(group[trees], prints[trees])
             for query, found in forest.within(group[asked], prints[asked], radius):
-                label = union(label, asked[query], trees[found])
+                if direct:
+                    np.minimum.at(label, asked[query], trees[found])
+                else:
+                    label = union(label, asked[query], trees[found])
             linked = np.flatnonzero(label != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
 
@@ -211,27 +215,31 @@ def classes(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
 
 
 def similar(found: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
-    """(a, b): links between the nodes of ``found`` (as ``classes`` gives it), which connect all
-    pairs of sets of shingles with a Jaccard similarity of 0.8 or more.
+    """(a, b): links between the nodes of ``found`` (as ``classes`` gives it), each a pair of
+    sets of shingles with a Jaccard similarity of 0.8 or more, which connect all such pairs.
 
     Fingerprints link what is much alike first; then shingles find every pair that is left
     between two groups.
     """
     sets = partial(shingle_set, size=settings.shingle)
-    near = stored(links(found.select("node", *settings.columns), settings), "near")
+    near = links(found.select("node", *settings.columns), settings, direct=True)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = released(stored(near, "pairs"))
+    near = released(stored(shingles.verified(near, found, sets), "near"))
     groups = components(near)
     labelled = found.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "prefix")
-    return near.unionAll(stored(shingles.verified(shingles.candidates(labelled), found, sets), "near"))
+    pairs = released(stored(shingles.candidates(labelled), "pairs"))
+    return near.unionAll(released(stored(shingles.verified(pairs, found, sets), "near")))
 
 
 def deduplicated(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
     """The rows of ``docs`` of which no other document of their group has a smaller id.
 
-    A group connects at least all pairs of texts whose sets of shingles have a Jaccard similarity
-    of 0.8 or more. Texts without words are one group. Of rows with equal ids one stays; rows
+    A group is what pairs of texts whose sets of shingles have a Jaccard similarity of 0.8 or
+    more connect. Texts without words are one group. Of rows with equal ids one stays; rows
     without an id stay.
     """
-    found = stored(classes(docs, settings), "classes")
+    found = released(stored(classes(docs, settings), "classes"))
     roots = components(similar(found, settings))
     first = (
         found.select("node", "doc_id").join(roots, "node", "left")
