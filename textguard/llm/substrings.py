@@ -1,4 +1,4 @@
-"""Removal of repeated passages, by prefix-partitioned suffix trees over words.
+"""Removal of repeated passages, by prefix-partitioned sorting of windows of words.
 
 A window is ``length`` consecutive words of one document. A word goes if a window that covers it
 also starts in a document with a smaller id.
@@ -11,8 +11,8 @@ also starts in a document with a smaller id.
    the group of the suffix that begins at its anchor. The prefix that decides takes in as many
    words as it needs to be rare enough for a memory-sized group, by word frequencies counted over
    all documents. Windows one after another that go to one group travel as one run of words.
-3. A group sorts its suffixes into a suffix tree, given by where neighbours part. Nodes of depth
-   ``length`` are the repeats; each gives its smallest document back to the shards.
+3. A group sorts its windows; equal ones are the repeats, and each gives its smallest document
+   back to the shards. No suffix tree is built: there are no other depths, no maximal repeats.
 4. The shards remove what is covered.
 
 A passage that a third of all documents share is sent once per shard. Shards, groups and replies
