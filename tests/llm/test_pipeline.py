@@ -15,10 +15,8 @@ def test_stages(spark, tmp_path):
     body = dict((d, t) for d, t, _ in rows)
     item = text(english, 40)
     passage = text(english, 60)
-    edited = body[1].split()
-    edited[70] = "other"
     special = [
-        (200, body[1], "en"), (201, " ".join(edited), "en"), (202, None, "en"), (203, "12345 $$$", "en"),
+        (200, body[1], "en"), (201, body[1].replace(" ", "  ").title(), "en"), (202, None, "en"), (203, "12345 $$$", "en"),
         (204, f"{text(english, 80)} {item} {text(english, 30)}", "en"),
         (205, f"{text(english, 80)} {passage}", "en"), (206, f"{passage} {text(english, 90)}", "en"),
     ]
@@ -52,4 +50,4 @@ def test_registered():
     import __spark_entry__
 
     assert {"pipeline", *(n for n in __spark_entry__.queries() if n.startswith("op"))} >= {"pipeline"}
-    assert sorted(int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op")) == list(range(1, 14))

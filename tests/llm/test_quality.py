@@ -88,3 +88,25 @@ def test_classifier_on_odd_rows(spark):
     assert len(scores) == len(ROWS) and all(0 <= r.s <= 1 for r in scores)
     none = quality_model.train(*quality_model.training_rows(stats, labels.limit(0), F.lit(True)))
     assert stats.limit(0).select(none.column().alias("s")).count() == 0
+
+
+def test_few_and_equal_rows_give_the_share(spark):
+    width = len(quality_model.FEATURES)
+    rng = np.random.default_rng(2)
+    for n in (2, 10, 39, 60):
+        y = (np.arange(n) % 2).astype(float)
+        for x in (rng.random((n, width)), np.ones((n, width)), np.zeros((n, width))):
+            model = quality_model.train(x, y)
+            df = spark.createDataFrame([tuple(map(float, x[0]))], ", ".join(f"{f} double" for f in quality_model.FEATURES))
+            score = df.select(model.column().alias("s")).head().s
+            assert 0 <= score <= 1 and (model.rules or abs(score - y.mean()) < 1e-9)
+
+
+def test_sample_is_the_first_by_hash(spark):
+    rows = [(d, *[float(d)] * len(quality_model.FEATURES)) for d in range(300)]
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{f} double" for f in quality_model.FEATURES))
+    labels = spark.createDataFrame([(d, d % 2) for d in range(300)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    order = [r.doc_id for r in stats.orderBy(F.xxhash64(F.lit(quality_model.SEED), "doc_id")).select("doc_id").collect()]
+    for sample in (20, 150, 1000):
+        x, y = quality_model.training_rows(stats, labels, F.lit(True), sample)
+        assert x[:, 0].tolist() == order[:sample] and y.tolist() == [d % 2 for d in order[:sample]]

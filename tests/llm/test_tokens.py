@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from textguard.llm import packing, planes
 from textguard.llm.tokens import Encoder
@@ -16,6 +17,7 @@ from textguard.sources.storage import new_path
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 ENCODERS = {name: Encoder(public_tokenizers.path(name)) for name in FILES}
+LIBRARY = {name: Tokenizer.from_file(public_tokenizers.path(name)) for name in FILES}  # as it comes
 PIECES = st.lists(st.sampled_from([
     "word", "Word,", "it's", "I'LL", "_x_", "é", "é", "İ", "ΑΣ", "x²", "3.14", "…", "—", "日本", "''s", "<|endoftext|>",
     " ", "  ", "\n", "\n\n", "\t", "\x1c", " ", "　", ".", "!?", "a_b", "ﬁ", "‍", "🙂", "naïve",
@@ -26,18 +28,26 @@ PIECES = st.lists(st.sampled_from([
 @settings(max_examples=400, deadline=None)
 @given(PIECES)
 def test_pieces_encode_like_whole_texts(name, text):
-    own = ENCODERS[name]
-    assert own.encode([text]) == [own._whole(text) if text else b""]
+    ids = LIBRARY[name].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENCODERS[name].encode([text])[0], "<u4").tolist() == ids
+
+
+def test_strings_of_added_tokens():
+    for text in ("hello <|endoftext|> world", "a<|startoftext|>b", "<|ENDOFTEXT|> x", "x <|endoftext|>\ny", "<|end", "a <|endof text|>"):
+        for name in FILES:
+            ids = LIBRARY[name].encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ENCODERS[name].encode([text])[0], "<u4").tolist() == ids
 
 
 def naive(name, text, end):
-    return [*ENCODERS[name].tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+    return [*LIBRARY[name].encode(text or "", add_special_tokens=False).ids, end]
 
 
 def some_docs(spark, n=300):
     rng = random.Random(4)
     vocabulary = ["alpha", "beta", "gamma.", "delta,", "it's", "é", "Ω", "x1"]
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 20, 400]))), "e") for i in range(n)]
+    rows += [(n + 3, "alpha <|endoftext|> beta", "f"), (n + 4, "<|startoftext|>gamma.", "g")]
     rows += [(n, None, "a"), (n + 1, "", "b"), (n + 2, " ".join(rng.choices(vocabulary, k=60_000)), "c"), (None, "no id", "d"), (5, rows[5][1], "e")]
     rng.shuffle(rows)
     return rows, spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)

@@ -34,12 +34,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(df: DataFrame) -> DataFrame:
-    """A stored table, after shuffles that only led up to it are let go: Spark deletes their files
-    once the driver's heap is collected, which by itself happens too seldom for large ones."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -165,12 +165,13 @@ def lasso(held: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int
 
 
 def train(x: np.ndarray, y: np.ndarray) -> Model:
-    """Fit statistics (a column per feature) to labels 0 and 1. Without rows of both labels the
-    score is the same everywhere: the share of label 1, or a half without rows."""
-    if len(np.unique(y)) < 2:
+    """Fit statistics (a column per feature) to labels 0 and 1. Without rows of both labels, or
+    where no split separates ``LEAF`` rows from the others (few rows, equal statistics), the score
+    is the same everywhere: the share of label 1, or a half without rows."""
+    rules = tree_rules(x, y) if len(np.unique(y)) == 2 else []
+    if not rules:
         share = min(0.99, max(0.01, y.mean() if len(y) else 0.5))
         return Model([], np.empty(0), float(np.log(share / (1 - share))))
-    rules = tree_rules(x, y)
     columns = dict(zip(FEATURES, x.T))
     held = np.stack([np.logical_and.reduce([c.holds(columns) for c in r]) for r in rules], axis=1).astype(float)
     held, first = np.unique(held, axis=1, return_index=True)
@@ -180,9 +181,19 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and quality of at most ``sample`` labelled rows, the first by a hash of doc_id."""
-    named = labels.select(F.col("doc_id").alias("of"), "quality").filter(F.col("quality").isin(0, 1))
+    """Statistics and quality of at most ``sample`` labelled rows, the first by a hash of doc_id.
+
+    A task sends the driver only rows whose hash lies below a share that holds the sample and a
+    half more of all labels, so what is sent does not grow with the number of tasks. Labels without an
+    id count for no row; a row labelled twice counts twice.
+    """
+    named = labels.select(F.col("doc_id").alias("of"), "quality").filter(F.col("quality").isin(0, 1) & F.col("of").isNotNull())
     fit = stats.filter(learn).join(named, F.col("doc_id") == F.col("of"))
-    rows = fit.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "quality", *FEATURES).limit(sample).select(*FEATURES, "quality").collect()
+    place = F.xxhash64(F.lit(SEED), "doc_id")
+    share = 1.5 * sample / max(1, fit.count())
+    if share < 1:
+        near = fit.filter(place < int(share * 2**64) - 2**63)
+        fit = near if near.limit(sample).count() >= sample else fit  # one id may hold very many rows
+    rows = fit.orderBy(place, "quality", *FEATURES).limit(sample).select(*FEATURES, "quality").collect()
     data = np.array([tuple(r) for r in rows], float).reshape(len(rows), len(FEATURES) + 1)
     return data[:, :-1], data[:, -1]

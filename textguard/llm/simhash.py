@@ -4,8 +4,8 @@ A fingerprint is one or more 64-bit words. Equal fingerprints are one node. A sh
 agrees in some blocks of bits: each shard has a tree of its own, which only the fingerprints of
 the shard are searched in. With one word and ``radius + 2`` blocks any two fingerprints within the
 radius agree in two blocks, so no link is missed; with more words the radius holds for all bits
-together and the shards find near copies with high probability. Blocks that must agree hold 24
-bits or more, so fingerprints that are not alike hardly ever meet, however many there are.
+together. Blocks that must agree hold 24 bits or more, so fingerprints that are not alike hardly
+ever meet, however many there are.
 
 The trees travel to their queries by the shard key: sending every tree to every task would grow
 with the corpus. A shard with more than ``TREE`` fingerprints has several trees, and its
@@ -27,9 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm import shingles
 from textguard.llm.bktree import Forest, union
-from textguard.llm.common import released, stored
+from textguard.llm.common import private, stored
 from textguard.llm.components import components
 from textguard.llm.groups import whole_groups
 
@@ -41,15 +40,13 @@ BLOCK = 1 << 16
 @dataclass(frozen=True)
 class Settings:
     """Words per shingle, words per fingerprint, differing bits allowed, bit blocks per word, and
-    how many blocks agree in a shard: all choices of blocks whose numbers add up to a multiple of
-    ``every``."""
+    how many blocks agree in a shard."""
 
     shingle: int = 3
     words: int = 1
     radius: int = 3
     blocks: int = 5
     agree: int = 2
-    every: int = 1
 
     @property
     def columns(self) -> list[str]:
@@ -58,9 +55,6 @@ class Settings:
 
 #: Links at 3 bits, all of them.
 EXACT = Settings()
-#: Near copies: five-word shingles of which 0.8 agree differ in 0.15 of the bits. Not every pair
-#: shares a shard; ``similar`` compares shingles and finds the others by them.
-SIMILAR = Settings(shingle=5, words=3, radius=34, blocks=8, agree=3, every=13)
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -121,14 +115,13 @@ def shard_keys(settings: Settings) -> Column:
         F.shiftrightunsigned(F.shiftleft(c, 64 - b), 64 - b + a)
         for c in settings.columns for a, b in zip(bounds, bounds[1:])
     ]
-    chosen = [c for c in combinations(range(len(value)), settings.agree) if sum(c) % settings.every == 0]
+    chosen = [c for c in combinations(range(len(value)), settings.agree)]
     return F.array(*[F.xxhash64(F.lit(n), *[value[i] for i in c]) for n, c in enumerate(chosen)])
 
 
-def links(prints: DataFrame, settings: Settings = EXACT, tree: int = TREE, direct: bool = False) -> DataFrame:
+def links(prints: DataFrame, settings: Settings = EXACT, tree: int = TREE) -> DataFrame:
     """(a, b): links between the nodes of ``prints`` (node and the words of the fingerprint)
-    which connect all that lie within the radius of each other. With ``direct`` each is a pair
-    within the radius: of every fingerprint and the first one near it in a cell."""
+    which connect all that lie within the radius of each other."""
     names = ["node", *settings.columns]
     keyed = prints.select("node", F.explode(shard_keys(settings)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -152,10 +145,7 @@ def links(prints: DataFrame, settings: Settings = EXACT, tree: int = TREE, direc
             label = np.arange(len(node))
             forest = Forest(group[trees], prints[trees])
             for query, found in forest.within(group[asked], prints[asked], radius):
-                if direct:
-                    np.minimum.at(label, asked[query], trees[found])
-                else:
-                    label = union(label, asked[query], trees[found])
+                label = union(label, asked[query], trees[found])
             linked = np.flatnonzero(label != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
 
@@ -183,67 +173,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = EXACT) -> DataFrame:
     return each.join(known, "node").select("doc_id", *fp, "component_id")
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles of a text, sorted."""
-    return np.unique(shingle_hashes((text or "").encode().lower().split(), size))
-
-
-def classes(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
-    """A row for each distinct set of shingles: node, the smallest doc_id, a text, the number of
-    shingles, their prefix and the words of a fingerprint."""
-    sets = partial(shingle_set, size=settings.shingle)
-    order = shingles.frequent(docs, sets)
-    fp = settings.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [sets(t) for t in texts]
-            node = np.array([_hash(x.tobytes()) for x in found], np.uint64).view(np.int64)
-            size = pa.array([len(x) for x in found], pa.int64())
-            first = pa.array([shingles.prefix(x, order).view(np.int64) for x in found], pa.list_(pa.int64()))
-            prints = np.array([fingerprint(t, settings) for t in texts], np.uint64).reshape(len(texts), len(fp)).view(np.int64)
-            columns = [pa.array(node), batch.column(0), batch.column(1), size, first, *map(pa.array, prints.T)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "text", "size", "prefix", *fp])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    each = docs.select("doc_id", "text").mapInArrow(
-        run, f"node bigint, doc_id {kind}, text string, size bigint, prefix array<bigint>, " + ", ".join(f"{c} bigint" for c in fp)
-    )
-    one = F.first(F.struct("text", "size", "prefix", *fp)).alias("one")
-    return each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), one).select("node", "doc_id", "one.*")
-
-
-def similar(found: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
-    """(a, b): links between the nodes of ``found`` (as ``classes`` gives it), each a pair of
-    sets of shingles with a Jaccard similarity of 0.8 or more, which connect all such pairs.
-
-    Fingerprints link what is much alike first; then shingles find every pair that is left
-    between two groups.
-    """
-    sets = partial(shingle_set, size=settings.shingle)
-    near = links(found.select("node", *settings.columns), settings, direct=True)
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = released(stored(near, "pairs"))
-    near = released(stored(shingles.verified(near, found, sets), "near"))
-    groups = components(near)
-    labelled = found.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "prefix")
-    pairs = released(stored(shingles.candidates(labelled), "pairs"))
-    return near.unionAll(released(stored(shingles.verified(pairs, found, sets), "near")))
-
-
-def deduplicated(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
+def deduplicated(docs: DataFrame, settings: Settings = EXACT) -> DataFrame:
     """The rows of ``docs`` of which no other document of their group has a smaller id.
 
-    A group is what pairs of texts whose sets of shingles have a Jaccard similarity of 0.8 or
-    more connect. Texts without words are one group. Of rows with equal ids one stays; rows
-    without an id stay.
+    A group is what links of fingerprints connect, see ``near_duplicates``. Of rows with equal ids
+    one stays; rows without an id stay.
     """
-    found = released(stored(classes(docs, settings), "classes"))
-    roots = components(similar(found, settings))
-    first = (
-        found.select("node", "doc_id").join(roots, "node", "left")
-        .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    )
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.filter(F.col("doc_id").isNull()))
+    found = near_duplicates(docs, settings)
+    first = private("first")
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(first)).distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(first), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionAll(docs.filter(F.col("doc_id").isNull()))

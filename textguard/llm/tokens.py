@@ -4,7 +4,8 @@ The tokenizers used here cut a text before they look up ids, and never across a
 space follows something else. Between such places a text is made of pieces whose ids do not
 depend on their surroundings; they are encoded by the library and remembered. Texts in which that
 would not hold, for white space other than single blanks and line ends or for letters that change
-when normalised, are encoded whole.
+when normalised, are encoded whole. So are texts that hold the string of an added token, such as
+``<|endoftext|>``, which the library finds before it cuts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 
 #: White space other than blank and line end; what lower-casing or normalising may move.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　İΣ]")
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 SHORT = 7
 TOGETHER = 2_000
 
@@ -32,7 +33,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.known: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -88,6 +90,7 @@ class Encoder:
         for text in texts:
             flat = (text or "").replace("\n", " \n")
             simple = flat and flat[0] != " " and flat[-1] not in " \n" and "  " not in flat and "\n " not in flat
+            simple = simple and not self.added.search(flat)
             cut.append(flat.split(" ") if simple else None)
         if len(self.known) > REMEMBERED:
             self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}  # the frequent ones
