@@ -1,0 +1,112 @@
+"""Trie nodes beside a dictionary of all prefixes."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from textguard.llm import prefix_trie
+from textguard.llm.prefix_trie import Parentheses, trie
+
+
+def naive(rows):
+    """Nodes of rows (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest(), (role, text)))
+    own = {c: [x[3] for x in sorted(v)] for c, v in own.items()}
+    full = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        full[c] = tuple(own.get(c - c % 20, [])[:h] + turns[h:])
+    members = defaultdict(list)
+    for c in sorted(full):
+        for d in range(len(full[c]) + 1):
+            members[full[c][:d]].append(c)
+    out = []
+    for path, held in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        children = [p for p in below if len(p) == len(path) + 1]
+        leaves = [p for p in below if not any(q[: len(p)] == p and len(q) > len(p) for q in below)]
+        saved = sum((len(members[p]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) for p in below if p)
+        ends = ",".join(str(c) for c in held if len(full[c]) == len(path))
+        parent = members[path[:-1]][0] if path else None
+        out.append((held[0], len(path), parent, len(held), len(children), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def rows_of(seed, n=150):
+    rng = random.Random(seed)
+    text = lambda d: f"t{rng.randint(0, 1 + d % 3)} " * rng.randint(1, 3)
+    rows = []
+    for c in range(n):
+        depth = rng.choice([1, 1, 2, 3, 5, 6])
+        rows += [(3 * c, d if d else rng.choice([0, None]), rng.choice(["user", "user", None]), rng.choice([text(d), text(d), None, ""])) for d in range(depth)]
+    rng.shuffle(rows)
+    return rows
+
+
+def seen(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("shards", [None, 1, 3, 40])
+def test_nodes(spark, shards):
+    rows = rows_of(7)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, node string")
+    assert seen(trie(df, shards)) == naive(rows)
+
+
+def test_shared_first_turn_and_equal_conversations(spark):
+    """One deep conversation, a first turn of most, and copies, over many shards."""
+    rows = [(c, 0, "user", "hello there") for c in range(5, 205)] + [(c, 1, "user", f"{c % 40}") for c in range(5, 165)]
+    rows += [(1000, d, "user", f"word {d}") for d in range(300)] + [(1001, d, "user", f"word {d}") for d in range(290)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for shards in (2, 25):
+        assert seen(trie(df, shards)) == naive(rows)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (None, 0, "user", "nobody"), (20, None, None, None), (21, 0, "user", "a b"), (21, 0, "user", "a b"), (21, 0, "user", "c"), (7, 0, "", ""),
+        (-3, 1, "user", "x" * 500_000), (45, 0, "user", "a"), (47, 0, "user", "b"), (40, None, "user", "first"), (40, 0, "user", "second"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = seen(trie(df.filter("conv_id is null or conv_id >= 0")))
+    assert got == naive([r for r in rows if r[0] is None or r[0] >= 0])
+    assert trie(df).filter("depth = 0").head().conv_id == -3
+    assert trie(df.limit(0)).count() == 0 and trie(df.filter("conv_id is null")).count() == 0
+
+
+def test_ids_are_joined_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "IDS", 7)
+    members = spark.range(1000).selectExpr("case when id % 3 = 0 then 'a' else 'b' end AS end", "id AS conv_id")
+    wanted = {e: hashlib.sha256(",".join(str(i) for i in range(1000) if (i % 3 == 0) == (e == "a")).encode()).hexdigest() for e in "ab"}
+    assert {r.end: r.ends_sha256 for r in prefix_trie.end_digests(members).collect()} == wanted
+
+
+def test_findclose():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 31, 32, 33, 500, 6000):
+        bits, depth = [], 0
+        while len(bits) < 2 * n or depth:
+            up = depth == 0 or (rng.random() < 0.52 and len(bits) + depth < 2 * n)
+            bits.append(int(up))
+            depth += 1 if up else -1
+            if depth == 0 and len(bits) >= 2 * n:
+                break
+        tree = Parentheses(np.array(bits, np.int8))
+        stack, wanted = [], {}
+        for i, b in enumerate(bits):
+            if b:
+                stack.append(i)
+            else:
+                wanted[stack.pop()] = i
+        opens = np.array(sorted(wanted))
+        assert tree.findclose(opens).tolist() == [wanted[i] for i in opens.tolist()]

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import language, packing, planes, quality_model, quality_rules, sharding, simhash, substrings, tiling, warc
+from textguard.llm import (
+    language, ngram_join, packing, planes, prefix_trie, quality_model, quality_rules, sharding, simhash, source_audit, substrings, tiling, warc,
+)
 from textguard.llm.common import stored, table
 from textguard.sources.storage import new_path
 
@@ -71,11 +73,27 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_content_archive, op2_bk_simhash, op3_byte_planes, op4_string_tiling, op5_suffix_trees,
         op6_subword_language, op7_rule_ensemble, op8_least_squares_packing, op9_quality_rules, op10_external_shuffle,
+        op11_ngram_join, op12_source_audit, op13_prefix_trie,
     )
 }
-ORACLE = {"op1_content_archive": warc.SQL, "op5_suffix_trees": substrings.SQL, "op9_quality_rules": quality_rules.SQL}
+ORACLE = {
+    "op1_content_archive": warc.SQL, "op5_suffix_trees": substrings.SQL, "op9_quality_rules": quality_rules.SQL,
+    "op11_ngram_join": ngram_join.SQL, "op12_source_audit": source_audit.SQL, "op13_prefix_trie": prefix_trie.SQL,
+}
