@@ -78,7 +78,7 @@ def test_a_large_group_does_not_make_all_pairs(spark):
     sets = ngram_join.ordered(df, classes)
     grams = sets.selectExpr("node", "n", "rarity", "0L AS place", "node AS label", "explode(slice(transform(shared, x -> x.gram), 1, 40)) AS gram")
     hubs = ngram_join._with_hub(grams, 0, 90)
-    assert hubs.count() == 399  # one pair for each copy, of 79,800
+    assert 399 <= hubs.count() < 450  # about one pair for each copy, of 79,800
     assert {r.component_id for r in joined(df).collect()} == {0}
 
 
