@@ -1,5 +1,7 @@
 import math
+import random
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -7,10 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textguard.functions.bucket import admit
+from textguard.functions.bucket import FREE, TOKEN, Coupled, admit, exit_from
 from textguard.operators import reports
 from textguard.operators.throttle import token_bucket
-from textguard.sources.storage import new_path
+from textguard.sources.storage import Scratch, new_path
 from textguard.streaming.throttle import throttle_batches, throttle_stream
 
 START = datetime(2024, 1, 1)
@@ -61,19 +63,19 @@ def _busy(spark, n=4000):
     return _events(spark, ("hot", sorted(hot)), ("burst", bursts), ("rare", rare), (None, [0, 1, 2]))
 
 
-def _plain(micros, tokens, last, capacity, refill):
-    """One event after the other."""
-    rate, decided = refill / 60.0, []
+def _plain(micros, level, last, capacity, refill):
+    """One event after the other, in whole units of which a token has 60,000,000."""
+    decided = []
     for now in micros:
         if now > last:
-            tokens = min(capacity, tokens + (now - last) * 1000 / 1e9 * rate)
+            level = min(capacity * TOKEN, level + (now - last) * refill)
             last = now
-        if tokens >= 1:
-            tokens -= 1
+        if level >= TOKEN:
+            level -= TOKEN
             decided.append((True, None))
         else:
-            decided.append((False, max(1, math.ceil((1 - tokens) / rate))))
-    return decided, tokens, last
+            decided.append((False, max(1, math.ceil(Fraction(TOKEN - level, 1_000_000 * refill)))))
+    return decided, level, last
 
 
 @settings(max_examples=60, deadline=None)
@@ -82,12 +84,12 @@ def _plain(micros, tokens, last, capacity, refill):
     dense=st.integers(1, 60), capacity=st.integers(1, 5), refill=st.integers(1, 200),
 )
 def test_stretches_equal_single_steps(gaps, dense, capacity, refill):
-    """Bit for bit, with long refused stretches and clocks that go backwards."""
+    """With long refused stretches and clocks that go backwards."""
     micros = np.cumsum(np.repeat(gaps, dense) // dense).astype("int64")
-    decided, tokens, last = _plain(micros.tolist(), float(capacity), int(micros[0]), capacity, refill)
-    allowed, waits, got_tokens, got_last = admit(micros, float(capacity), int(micros[0]), capacity, refill)
+    decided, level, last = _plain(micros.tolist(), capacity * TOKEN, int(micros[0]), capacity, refill)
+    allowed, waits, got_level, got_last = admit(micros, capacity * TOKEN, int(micros[0]), capacity, refill)
     assert [(bool(a), None if a else int(w)) for a, w in zip(allowed, waits)] == decided
-    assert (got_tokens, got_last) == (tokens, last)
+    assert (got_level, got_last) == (level, last)
 
 
 def _expected(df, capacity, refill):
@@ -98,7 +100,7 @@ def _expected(df, capacity, refill):
     out = {}
     for group in by_client.values():
         micros = [round((r.ts - START).total_seconds() * 1e6) for r in group]
-        decided, _, _ = _plain(micros, float(capacity), micros[0], capacity, refill)
+        decided, _, _ = _plain(micros, capacity * TOKEN, micros[0], capacity, refill)
         out |= {r.id: d for r, d in zip(group, decided)}
     return [out[i] for i in sorted(out)]
 
@@ -109,12 +111,87 @@ def test_equals_a_plain_loop(spark, capacity, refill):
     assert _run(df, capacity, refill) == _expected(df, capacity, refill)
 
 
-def test_hot_client_in_several_rounds(spark):
-    """With few rows allowed per task the hot chain is walked in rounds; same decisions."""
+def test_hot_client_in_several_parts(spark):
+    """With few rows allowed per task the hot chain is cut into parts; same decisions."""
     df = _busy(spark)
     assert _run(df, 5, 120, max_rows_per_task=700) == _expected(df, 5, 120)
 
 
+@settings(max_examples=150, deadline=None)
+@given(
+    seed=st.integers(0, 10**6), capacity=st.sampled_from([1, 2, 5, 30]), refill=st.sampled_from([1, 7, 60, 600]),
+    pace=st.sampled_from([0.05, 0.5, 0.95, 1.0, 1.1, 3.0]), patience=st.sampled_from([0, 5, 1000]),
+)
+def test_known_exits_hold_from_every_entry(seed, capacity, refill, pace, patience):
+    rng = random.Random(seed)
+    mean = TOKEN / refill * pace
+    micros = np.cumsum([int(rng.expovariate(1 / mean)) - (rng.random() < 0.02) * int(mean) for _ in range(150)]).astype("int64")
+    last = int(micros[0]) - rng.randrange(int(mean) + 1)
+    fraction = rng.randrange(TOKEN)
+    paths = Coupled(fraction, last, capacity, refill)
+    paths.patience = patience
+    for part in np.array_split(micros, 4):
+        paths.feed(part)
+    kind, one, *table = paths.exits()
+    for entry in range(fraction, max(1, (capacity - 1) * TOKEN + 1), TOKEN):
+        wanted = _plain(micros.tolist(), entry, last, capacity, refill)[1]
+        assert exit_from(entry, fraction, *table) == wanted and one in (None, wanted)
+    if kind == FREE:
+        assert one == _plain(micros.tolist(), rng.randrange(max(1, (capacity - 1) * TOKEN)), last, capacity, refill)[1]
+
+
+def _paced(spark, seed, pace, n, capacity=4, refill=60):
+    """A client that never pauses: mean gap of ``pace`` refills of a token."""
+    rng, at, seconds = random.Random(seed), 0.0, []
+    for _ in range(n):
+        at += min(capacity * 60 / refill * 0.9, rng.expovariate(1 / (pace * 60 / refill)))
+        seconds.append(round(at, 6))
+    return seconds
+
+
+@pytest.mark.parametrize("pace", [0.2, 0.9, 1.0, 1.6])
+def test_parts_of_clients_that_never_pause(spark, pace):
+    """Over, about and under the rate, and one that changes; parts of 150 rows."""
+    mixed = _paced(spark, 1, 0.3, 700)
+    mixed += [mixed[-1] + s for s in _paced(spark, 2, 1.5, 700)]
+    df = _events(spark, ("a", _paced(spark, 3, pace, 1500)), ("mixed", mixed), ("few", [0, 1, 50]))
+    assert _run(df, 4, 60, max_rows_per_task=150) == _expected(df, 4, 60)
+
+
+def test_many_parts_take_one_round(spark):
+    """A chain of 100 parts that meet: as many jobs as one of ten, and nothing is left behind."""
+    def jobs(n):
+        df = _events(spark, ("hot", _paced(spark, 5, 0.4, n)))
+        scratch = Scratch(spark)
+        decided = token_bucket(df, "client", "ts", "id", 4, 60, max_rows_per_task=80, scratch=scratch)
+        walked = [p for p in scratch.paths if "throttle-walked" in p]
+        got = [(r.allowed, r.retry_after) for r in sorted(decided.collect(), key=lambda r: r.id)]
+        assert got == _expected(df, 4, 60)
+        parts = spark.read.parquet([p for p in scratch.paths if "throttle-parts" in p][-1]).count()
+        kept = list(scratch.paths)
+        scratch.discard()
+        for path in kept:
+            with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+                spark.read.parquet(path).count()
+        return len(walked), parts
+
+    few, many = jobs(900), jobs(8000)
+    assert few[0] <= 2 and many[0] <= 3  # one, and one more behind a bucket that was full
+    assert many[1] >= 100
+
+
+def test_equals_one_walk_on_the_given_events(spark):
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_type", "ts", "event_id")
+    decided = token_bucket(events, "event_type", "ts", "event_id", 3, 2, max_rows_per_task=300)
+    got = {r.event_id: (r.allowed, r.retry_after) for r in decided.collect()}
+    wanted = {}
+    for _, rows in events.toPandas().sort_values(["ts", "event_id"]).groupby("event_type"):
+        micros = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        allowed, waits, _, _ = admit(micros, 3 * TOKEN, int(micros[0]), 3, 2)
+        wanted |= {i: (bool(a), None if a else int(w)) for i, a, w in zip(rows["event_id"], allowed, waits)}
+    assert got == wanted
+
+
 def test_hot_slice_is_cut(spark):
     from textguard.operators import throttle as T
 
@@ -126,10 +203,10 @@ def test_hot_slice_is_cut(spark):
     keyed = events.select(F.col("client").alias("_client"), T.micros(events, "ts").alias("_us")).withColumn(
         "_slice", F.expr(f"(_us - pmod(_us, {fill})) div {fill}")
     )
-    split = T._split_hot(keyed, 100)
+    split = T._split_hot(keyed, 100, Scratch(spark))
     state = spark.createDataFrame([], T.STATE_SCHEMA)
     placed = split.join(T._slices(split, state, fill, 100), ["_client", "_slice", "_sub"])
-    rounds = placed.groupBy("_client", "_chain", "_round").count().collect()
+    rounds = placed.groupBy("_client", "_chain", "_part").count().collect()
     assert sum(r["count"] for r in rounds) == 1002 and max(r["count"] for r in rounds) <= 200
 
 

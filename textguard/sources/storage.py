@@ -45,3 +45,32 @@ def remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """The intermediate tables behind one result. Results are read lazily, so whoever has used one
+    for the last time discards them; nothing else removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def path(self, name: str) -> str:
+        self.paths.append(new_path(self.spark, name))
+        return self.paths[-1]
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``write_once``, remembered."""
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *problem: object) -> None:
+        self.discard()

@@ -11,13 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textguard.functions import patterns as P
-from textguard.functions.bucket import admit, check_rate
+from textguard.functions.bucket import TOKEN, admit, check_rate
 from textguard.operators.throttle import STATE_SCHEMA, decide, micros, next_state
 from textguard.sources.storage import remove, write_once
 from textguard.streaming.sinks import start
 
 OUTPUT = "client string, event_id %s, ts_us bigint, allowed boolean, retry_after bigint"
-STATE = "tokens double, last bigint"
+STATE = "level bigint, last bigint"
 
 
 def throttle_stream(
@@ -45,13 +45,13 @@ def throttle_stream(
     ) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
         if state.exists:
-            tokens, last = state.get
+            level, last = state.get
         else:
-            tokens, last = float(capacity), int(rows["ts_us"].iloc[0])
-        allowed, waits, tokens, last = admit(
-            rows["ts_us"].to_numpy(), tokens, last, capacity, refill_per_minute
+            level, last = capacity * TOKEN, int(rows["ts_us"].iloc[0])
+        allowed, waits, level, last = admit(
+            rows["ts_us"].to_numpy(), level, last, capacity, refill_per_minute
         )
-        state.update((float(tokens), int(last)))
+        state.update((int(level), int(last)))
         yield pd.DataFrame(
             {
                 "client": key[0],
