@@ -189,6 +189,19 @@ walk AS (
     FROM walk w JOIN ev e ON e.event_type = w.event_type AND e.n = w.n + 1))
 """
 DECISIONS = BUCKET + "SELECT event_type, event_id, allowed, retry_after FROM walk"
+#: The same where events come in five batches by time and every fiftieth one batch late: batches follow
+#: one another and a late event finds the clock where the one before it has left it.
+IN_TURN = (
+    BUCKET.replace(
+        "row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)",
+        "row_number() OVER (PARTITION BY event_type ORDER BY batch, ts, event_id) AS n FROM (SELECT *, (epoch_us(ts) "
+        "- min(epoch_us(ts)) OVER ()) * 5 // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) "
+        "+ CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS batch FROM events))",
+    )
+    .replace("SELECT event_type, event_id, n, us,\n    CASE", "SELECT event_type, event_id, n, clock,\n    CASE")
+    .replace("FROM (SELECT e.*,", "FROM (SELECT e.*, greatest(e.us, w.us) AS clock,")
+    + "SELECT event_type, event_id, allowed, retry_after FROM walk"
+)
 
 TOKEN_LIST = f"regexp_extract_all(masked_text, '{TOKEN}')"
 SEGMENTS = MSK + [
@@ -348,6 +361,10 @@ ORACLE |= {
     "purged_mappings": sql(
         STORED, f"SELECT DISTINCT request_id, expires_at FROM sets WHERE expires_at > {NOW}"
     ),
+    "kept_mappings": sql(
+        STORED,
+        f"SELECT request_id, count(*) AS values, expires_at FROM sets WHERE expires_at > {NOW} GROUP BY request_id, expires_at",
+    ),
     "looked_up_mappings": sql(
         NEWEST,
         'SELECT m.request_id, m.token, l.type, l.start, l."end", l.original_value AS value '
@@ -404,8 +421,8 @@ ORACLE |= {
     "throttle_summary": BUCKET + """SELECT event_type,
       count(*) FILTER (WHERE allowed) AS admitted, count(*) FILTER (WHERE NOT allowed) AS rejected,
       max(retry_after) AS max_retry_after FROM walk GROUP BY event_type""",
-    "throttled_stream": DECISIONS,
-    "throttled_batches": DECISIONS,
+    "throttled_stream": IN_TURN,
+    "throttled_batches": IN_TURN,
     "analyzed_requests": sql(ANALYZED, "SELECT * FROM results"),
     "analyzed_stored": sql(
         ANALYZED,
@@ -427,5 +444,6 @@ ORACLE |= {
         "SELECT request_id, token_count, nullif(token_count, 0) AS stored FROM rep_texts",
     ),
     "rehydrated_stream": sql(RESTORED, RESTORED_ROWS.format(extra=STORED_BEFORE)),
+    "rehydrated_stream_batches": sql(RESTORED, RESTORED_ROWS.format(extra=STORED_BEFORE)),
     "rehydrated_stream_join": sql(RESTORED, RESTORED_ROWS.format(extra=STORED_BEFORE)),
 }

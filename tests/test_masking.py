@@ -1,3 +1,6 @@
+import random
+import time
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -5,6 +8,7 @@ from pyspark.sql import functions as F
 from textguard.functions import detection as D
 from textguard.functions import masking as M
 from textguard.operators import rehydration, texts
+from textguard.sources.storage import write_once
 
 GOLDEN = {
     "Customer email is john@example.com, phone is +91 9876543210, SSN is 123-45-6789.":
@@ -97,6 +101,29 @@ def test_leak_check(spark):
     assert got == {("a", "EMAIL", "original_value"), ("a", "EMAIL", "detected")}
 
 
+def test_leak_check_in_one_pass(spark):
+    """Many values in a long text: as the plain form, and fast."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdé1-@ ", k=rng.randint(1, 14)))
+    rows = []
+    for i in range(60):
+        values = [*[word() for _ in range(30)], "", None, "x\U0001F600y", "aa", "aaa"]
+        text = None if i == 7 else "" if i == 8 else "".join(rng.choices(["aa", "a", "x\U0001F600y", "b", "c1", "é-", "@", " "], k=60))
+        rows.append((str(i), text, [("t", f"T{n}", v, 0, 1) for n, v in enumerate(values)] if i % 9 else None))
+    df = spark.createDataFrame(rows, f"request_id string, masked_text string, mappings {M.MAPPINGS}")
+    got = [sorted(map(tuple, texts.leak_check(df, apart=apart).collect())) for apart in (-1, 10**12)]
+    assert got[0] == got[1] and len(got[0]) > 100
+
+    values = [f"user{i}@example.com" for i in range(100_000)]
+    body = " ".join(["filler word"] * 80_000 + values[99_999:0:-5000])  # none begins another
+    long = spark.createDataFrame([("a", body, [("t", "EMAIL", v, 0, 1) for v in values])], f"request_id string, masked_text string, mappings {M.MAPPINGS}")
+    long = write_once(long, "long")
+    started = time.perf_counter()
+    found = texts.leak_check(long).groupBy("reason").count().collect()
+    assert {r["reason"]: r["count"] for r in found}["original_value"] == 20
+    assert time.perf_counter() - started < 10
+
+
 def test_passthrough(spark):
     df = spark.createDataFrame([("1", "a@b.org"), ("2", None)], "request_id string, text string")
     rows = texts.masked_table(texts.with_passthrough(df)).orderBy("request_id").collect()

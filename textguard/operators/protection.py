@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
 from textguard.functions import sealing as S
-from textguard.sources.storage import write_once
+from textguard.sources.storage import Scratch
 
 SET_SCHEMA = (
     "request_id string, mappings array<struct<token:string,type:string,sealed:binary,"
@@ -151,41 +151,46 @@ def stored_live_sets(
     one_ttl: bool = False,
     newest: bool = False,
     max_ttl: timedelta | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Live sets ready to be joined: ``request_id, mappings``.
 
     The newest sets are written before the join. That leaves a plain scan under the
     join's shuffle, which is what adaptive execution needs to split a hot request's
     rows on the other side over many tasks. ``newest=True`` states that there is one
-    set per request already (a purged table); then nothing is written.
+    set per request already (a purged table); then nothing is written. What is written goes to
+    ``scratch``: sealed values are copied there, so discard it once the result has been used.
     """
     sets = recent(sets, now, max_ttl)
     if not newest:
         columns = ["request_id", "mappings", "stored_at", "expires_at"]
         chosen = newest_sets(live(sets, now) if one_ttl else sets)
-        sets = write_once(chosen.select(*columns), "newest-sets")
+        scratch = Scratch(sets.sparkSession) if scratch is None else scratch
+        sets = scratch.write(chosen.select(*columns), "newest-sets")
     return live(sets, now).select("request_id", "mappings")
 
 
-def _token_side(sets: DataFrame, now: Column, max_ttl: timedelta | None) -> DataFrame:
+def _token_side(sets: DataFrame, now: Column, max_ttl: timedelta | None, scratch: Scratch | None) -> DataFrame:
+    scratch = Scratch(sets.sparkSession) if scratch is None else scratch
     flat = newest_sets(recent(sets, now, max_ttl)).select("request_id", F.explode("mappings").alias("m"), "expires_at")
-    rows = write_once(flat.select("request_id", "m.*", "expires_at"), "mapping-rows")
+    rows = scratch.write(flat.select("request_id", "m.*", "expires_at"), "mapping-rows")
     return live(rows, now).drop("expires_at")
 
 
 def lookup_mappings(
-    tokens: DataFrame, sets: DataFrame, now: Column, max_ttl: timedelta | None = None
+    tokens: DataFrame, sets: DataFrame, now: Column, max_ttl: timedelta | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
     """Left equi-join of ``(request_id, token)`` rows to their live sealed value.
 
-    Unknown request, unknown token and expired set all give null.
+    Unknown request, unknown token and expired set all give null. The sets are flattened to
+    ``scratch``; discard it once the result has been used.
     """
-    return tokens.join(_token_side(sets, now, max_ttl), ["request_id", "token"], "left")
+    return tokens.join(_token_side(sets, now, max_ttl, scratch), ["request_id", "token"], "left")
 
 
 def unresolved_tokens(
-    tokens: DataFrame, sets: DataFrame, now: Column, max_ttl: timedelta | None = None
+    tokens: DataFrame, sets: DataFrame, now: Column, max_ttl: timedelta | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
     """``(request_id, token)`` rows with no live mapping."""
-    known = _token_side(sets, now, max_ttl).select("request_id", "token")
+    known = _token_side(sets, now, max_ttl, scratch).select("request_id", "token")
     return tokens.join(known, ["request_id", "token"], "left_anti")

@@ -14,6 +14,7 @@ from textguard.functions import sealing as S
 from textguard.functions.binding import attach, bind, remember
 from textguard.operators.protection import stored_live_sets
 from textguard.operators.routing import error_rows
+from textguard.sources.storage import Scratch
 
 TYPES = tuple(P.PRIORITY)
 RESTORED = "struct<response:string,token_count:int,failure_kind:string>"
@@ -89,19 +90,21 @@ def rehydrate(
     newest: bool = False,
     types: Iterable[str] = TYPES,
     max_ttl: timedelta | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Restore stored replies: ``request_id, provider, response, token_count, failure_kind``.
 
     One equi-join on ``request_id``; opening and splicing are row-local after it.
     Replies without a token never enter the join. Unknown, expired and foreign tokens
     stay as they are. ``one_ttl``, ``newest`` and ``max_ttl`` say what is known about ``sets``, see
-    ``live_sets`` and ``stored_live_sets``.
+    ``live_sets`` and ``stored_live_sets``. The newest sets are copied to ``scratch``; discard it once
+    the result has been used.
     """
     types = tuple(types)
     S.hide_keys(replies.sparkSession)
     text = F.col("response_text")
     with_token = F.coalesce(F.contains(text, F.lit(P.TOKEN_HINT)), F.lit(False))
-    sealed = stored_live_sets(sets, now, one_ttl, newest, max_ttl)
+    sealed = stored_live_sets(sets, now, one_ttl, newest, max_ttl, scratch)
 
     joined = attach(
         replies.filter(with_token).join(sealed, "request_id", "left"),

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import ahocorasick
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from textguard.functions import masking as M
 from textguard.functions.binding import attach
@@ -76,20 +80,54 @@ def segments_table(df: DataFrame, id_col: str, masked_col: str = "masked_text")
     return spans_table(df, id_col, M.segment_masked(masked_col))
 
 
+#: Values times characters up to which a text is searched for one value after the other.
+SEARCHED_APART = 4_000_000
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _standing(texts: pd.Series, values: pd.Series) -> pd.Series:
+    """For each text the positions of those values that stand in it, found in one pass over the text."""
+
+    def found(text: str | None, wanted: np.ndarray | None) -> list[int] | None:
+        if text is None or wanted is None:
+            return None
+        at: dict[str, list[int]] = {}
+        for i, value in enumerate(wanted):
+            if value is not None:
+                at.setdefault(value, []).append(i)
+        known = set(at.pop("", []))
+        if at:
+            search = ahocorasick.Automaton()
+            for value, places in at.items():
+                search.add_word(value, places)
+            search.make_automaton()
+            for _, places in search.iter(text):
+                known.update(places)
+        return sorted(known)
+
+    return pd.Series([found(t, v) for t, v in zip(texts, values)], dtype=object)
+
+
 def leaks(
-    masked_col: str, mappings_col: str, detectors: Iterable[Detector] = ()
+    masked_col: str, mappings_col: str, detectors: Iterable[Detector] = (), apart: int = SEARCHED_APART
 ) -> Column:
     """``array<struct<type,reason>>``: what an outbound text still gives away.
 
     Two row-local tests: an original value standing in the text, and anything a fresh
-    detection pass finds in it. No values come out, only types and the reason.
+    detection pass finds in it. No values come out, only types and the reason. Where values times
+    length exceed ``apart``, an automaton of all values goes over the text once, in Arrow batches.
     """
 
     def reason(name: str):
         return lambda s: F.struct(s["type"].alias("type"), F.lit(name).alias("reason"))
 
-    masked = F.col(masked_col)
-    kept = F.filter(mappings_col, lambda m: F.contains(masked, m["original_value"]))
+    masked, mappings = F.col(masked_col), F.col(mappings_col) if isinstance(mappings_col, str) else mappings_col
+    many = F.size(mappings).cast("bigint") * F.length(masked) > apart
+    values = F.transform(mappings, lambda m: m["original_value"])
+    standing = _standing(F.when(many, masked), F.when(many, values))
+    kept = F.when(many, F.transform(standing, lambda i: F.get(mappings, i))).otherwise(
+        F.filter(mappings, lambda m: F.contains(masked, m["original_value"]))
+    )
     return F.concat(
         F.transform(kept, reason("original_value")),
         F.transform(detect(masked_col, tuple(detectors)), reason("detected")),
@@ -102,6 +140,7 @@ def leak_check(
     masked_col: str = "masked_text",
     mappings_col: str = "mappings",
     detectors: Iterable[Detector] = (),
+    apart: int = SEARCHED_APART,
 ) -> DataFrame:
     """One row per leak of an outbound table; empty when the boundary holds."""
-    return spans_table(df, id_col, leaks(masked_col, mappings_col, detectors))
+    return spans_table(df, id_col, leaks(masked_col, mappings_col, detectors, apart))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from textguard.functions import detection as D
 from textguard.functions import masking as M
@@ -19,12 +20,12 @@ from textguard.operators import rehydration as RH
 from textguard.operators import reports, routing, texts
 from textguard.operators.throttle import token_bucket
 from textguard.plans.analyze import analyze, analyze_stored
-from textguard.plans.inputs import KEY, OTHER_KEY, all_texts, at, now, requests, table
+from textguard.plans.inputs import KEY, NOW_SECONDS, OTHER_KEY, all_texts, at, now, requests, table
 from textguard.sources import mappings, providers
 from textguard.sources import texts as text_sources
 from textguard.sources.storage import new_path, write_once
 from textguard.streaming.mask import MASKED_SCHEMA, mask_and_protect, mask_stream
-from textguard.streaming.rehydrate import rehydrate_stream
+from textguard.streaming.rehydrate import rehydrate_batches, rehydrate_stream
 from textguard.streaming.sinks import to_parquet
 from textguard.streaming.throttle import throttle_batches, throttle_stream
 
@@ -425,6 +426,22 @@ def purged_mappings(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("request_id", F.unix_seconds("expires_at").alias("expires_at"))
 
 
+@query
+def kept_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    """A kept table whose sets were stored in parts and again, merged and purged: what is live then."""
+    kept = mappings.MappingTable(spark, new_path(spark, "table"))
+    sets = _sets(spark, sf)
+    for part in range(3):
+        kept.store(sets.filter(F.pmod(F.xxhash64("request_id"), F.lit(3)) == part), "texts", part)
+    kept.store(sets.filter(F.pmod(F.xxhash64("request_id"), F.lit(3)) == 2), "texts", 2)
+    kept.compact()
+    moment = datetime.fromtimestamp(NOW_SECONDS, timezone.utc)
+    kept.purge(moment, TTL)
+    kept.vacuum(timedelta(0))
+    live = PR.live_sets(kept.read(mappings.day_of(moment - TTL)), now(), max_ttl=TTL)
+    return live.select("request_id", F.size("mappings").alias("values"), F.unix_seconds("expires_at").alias("expires_at"))
+
+
 @query
 def looked_up_mappings(spark: SparkSession, sf: str) -> DataFrame:
     """The value behind each reply token; null where nothing live is stored."""
@@ -691,7 +708,7 @@ def masked_and_protected_stream(spark: SparkSession, sf: str) -> DataFrame:
     stream = _as_stream(all_texts(spark, sf), "texts")
     mask_and_protect(stream, KEY, masked_path, mapping_path).awaitTermination()
     masked = spark.read.schema(MASKED_SCHEMA).parquet(f"{masked_path}/batch=*")
-    sets = PR.newest_sets(mappings.read_mappings(spark, mapping_path))
+    sets = PR.newest_sets(mappings.MappingTable(spark, mapping_path).read())
     stored = sets.select("request_id", F.size("mappings").alias("stored"))
     return masked.select("request_id", "token_count").join(stored, "request_id", "left")
 
@@ -711,6 +728,20 @@ def rehydrated_stream(spark: SparkSession, sf: str) -> DataFrame:
     return kept.drop("reply_ts")
 
 
+@query
+def rehydrated_stream_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of replies in several batches against a kept table that was stored twice and merged."""
+    path, out = new_path(spark, "table"), new_path(spark, "restored")
+    kept = mappings.MappingTable(spark, path)
+    for _ in range(2):
+        kept.store(_sets(spark, sf))
+    kept.compact()
+    replies = _replies(spark, sf).withColumn("reply_ts", now())
+    rehydrate_batches(_as_stream(replies, "replies", files=2), path, KEY, out, TTL).awaitTermination()
+    spec = "request_id string, provider string, response string, token_count int, failure_kind string"
+    return spark.read.schema(spec).parquet(f"{out}/batch=*")
+
+
 def _with_end(df: DataFrame, name: str, last: DataFrame) -> DataFrame:
     """A table as a file stream that ends in a later row, which lets the watermark pass all others."""
     spark = df.sparkSession
@@ -723,9 +754,12 @@ def _with_end(df: DataFrame, name: str, last: DataFrame) -> DataFrame:
 
 @query
 def rehydrated_stream_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies and mapping sets both as streams: every reply, matched or not."""
+    """Replies and mapping sets both as streams, each set stored twice: every reply once, matched or not."""
     end, later = "end of stream", F.timestamp_add("DAY", F.lit(1), now())
-    sets = _stored_sets(spark, sf).drop("expires_on")
+    stored = new_path(spark, "mappings")
+    for _ in range(2):
+        mappings.write_mappings(_sets(spark, sf), stored)
+    sets = mappings.read_mappings(spark, stored).drop("expires_on")
     none = F.array().cast(sets.schema["mappings"].dataType).alias("mappings")
     one = spark.range(1)
     last_set = one.select(
@@ -746,30 +780,47 @@ def rehydrated_stream_join(spark: SparkSession, sf: str) -> DataFrame:
     return kept.filter(F.col("request_id") != end).drop("reply_ts")
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """All events at once: files written together have no order among them."""
+BATCHES = 5
+
+
+def _in_turn(spark: SparkSession, sf: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """All events in batches that follow one another, by ranges of time; every fiftieth event comes a
+    batch late. ``run`` goes on from its checkpoint each time."""
     events = table(spark, sf, "events", "event_id", "ts", "event_type")
-    return _as_stream(events, "events", files=1_000_000)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(us), F.max(us)).head()
+    batch = F.expr(f"(us - {low or 0}) * {BATCHES} div {(high or 0) - (low or 0) + 1} + if(event_id % 50 = 0, 1, 0)")
+    dealt = write_once(events.withColumn("us", us).withColumn("batch", batch).drop("us"), "batches")
+    path = new_path(spark, "events")
+    for number in range(BATCHES + 1):
+        dealt.filter(F.col("batch") == number).drop("batch").write.mode("append").parquet(path)
+        run(spark.readStream.schema(events.schema).parquet(path)).awaitTermination()
 
 
 @query
 def throttled_stream(spark: SparkSession, sf: str) -> DataFrame:
-    stream = throttle_stream(
-        _event_stream(spark, sf), "event_type", "ts", "event_id",
-        capacity=1, refill_per_minute=1,
-    )
-    path = new_path(spark, "decisions")
-    to_parquet(stream, path, "throttle").awaitTermination()
-    decided = spark.read.schema(stream.schema).parquet(path)
-    return decided.select(F.col("client").alias("event_type"), "event_id", "allowed", "retry_after")
+    """State carried over batches, one of which brings late events."""
+    path, checkpoint = new_path(spark, "decisions"), new_path(spark, "throttle-offsets")
+
+    def run(events: DataFrame) -> StreamingQuery:
+        stream = throttle_stream(events, "event_type", "ts", "event_id", capacity=1, refill_per_minute=1)
+        return to_parquet(stream, path, "throttle", checkpoint)
+
+    _in_turn(spark, sf, run)
+    spec = "client string, event_id bigint, allowed boolean, retry_after bigint"
+    return spark.read.schema(spec).parquet(path).withColumnRenamed("client", "event_type")
 
 
 @query
 def throttled_batches(spark: SparkSession, sf: str) -> DataFrame:
-    out, state = new_path(spark, "decisions"), new_path(spark, "buckets")
-    stream = _event_stream(spark, sf)
-    throttle_batches(
-        stream, "event_type", "ts", "event_id", out, state, capacity=1, refill_per_minute=1
-    ).awaitTermination()
+    """The same by way of the batch operator."""
+    out, state, checkpoint = new_path(spark, "decisions"), new_path(spark, "buckets"), new_path(spark, "throttle-offsets")
+
+    def run(events: DataFrame) -> StreamingQuery:
+        return throttle_batches(
+            events, "event_type", "ts", "event_id", out, state, capacity=1, refill_per_minute=1, checkpoint=checkpoint
+        )
+
+    _in_turn(spark, sf, run)
     spec = "event_type string, event_id bigint, allowed boolean, retry_after bigint"
     return spark.read.schema(spec).parquet(f"{out}/batch=*")

@@ -6,12 +6,15 @@ from collections.abc import Iterable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textguard.functions.detection import Detector
-from textguard.operators.protection import protect
-from textguard.operators.texts import masked_table, with_analysis
-from textguard.sources.mappings import write_mappings
+from textguard.functions.sealing import hide_keys
+from textguard.operators.protection import seal_mappings, with_expiry
+from textguard.operators.texts import masked_table, report_columns, with_analysis
+from textguard.sources.mappings import MappingTable
+from textguard.sources.storage import Scratch
 from textguard.streaming.sinks import start
 
 MASKED_SCHEMA = (
@@ -37,22 +40,28 @@ def mask_and_protect(
 ) -> StreamingQuery:
     """Write each micro-batch's masked texts and its sealed mapping sets.
 
-    Masked rows go to one folder per batch, so a batch that runs again after a failure
-    replaces its own rows. Mapping sets are appended first: a text run again seals its
-    mappings again and the newer set takes the place of the older. Both are written
-    from one analysis, kept for the length of the batch.
+    Both come from one analysis, which is staged with its values sealed: no plain value is kept
+    anywhere, and a lost executor seals nothing anew. Masked rows go to one folder per batch,
+    sets to a ``MappingTable`` under the name of ``masked_path`` and the batch. So a batch that
+    runs again after a failure replaces its own rows in both.
     """
-
     detectors = tuple(detectors)
+    hide_keys(texts.sparkSession)
+    masked_columns = ["request_id", "masked_text", "detection_count", "token_count", "detection_types"]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("request_id", "text")
-        analyzed = with_analysis(rows, "text", detectors).drop("text").persist()
-        try:
-            write_mappings(protect(analyzed, key, ttl=ttl), mapping_path)
-            masked = masked_table(analyzed)
-            masked.write.mode("overwrite").parquet(f"{masked_path}/batch={batch_id}")
-        finally:
-            analyzed.unpersist()
+        spark = batch.sparkSession
+        analyzed = with_analysis(batch.select("request_id", "text"), "text", detectors)
+        sealed = seal_mappings(F.col("analysis.mappings"), key).alias("mappings")
+        staged = analyzed.select(
+            F.col("request_id"), F.col("analysis.masked_text").alias("masked_text"), *report_columns(),
+            F.when(F.size("analysis.mappings") > 0, sealed).alias("mappings"), F.current_timestamp().alias("stored_at"),
+        )
+        with Scratch(spark) as scratch:
+            staged = scratch.write(staged, "masked-and-sealed")
+            sets = staged.filter(F.col("mappings").isNotNull())
+            sets = with_expiry(sets.select(F.col("request_id").cast("string").alias("request_id"), "mappings", "stored_at"), ttl)
+            MappingTable(spark, mapping_path).store(sets, masked_path, batch_id)
+            staged.select(*masked_columns).write.mode("overwrite").parquet(f"{masked_path}/batch={batch_id}")
 
     return start(texts, write_batch, "mask", checkpoint, available_now)

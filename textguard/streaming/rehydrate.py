@@ -2,50 +2,195 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from datetime import timedelta
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textguard.functions import patterns as P
 from textguard.functions.binding import attach
+from textguard.functions.sealing import hide_keys
 from textguard.operators.protection import newest_sets
 from textguard.operators.rehydration import TYPES, restore
+from textguard.sources.mappings import MappingTable, day_of
+from textguard.streaming.sinks import start, use_rocksdb
+
+MAPPINGS = "array<struct<token:string,type:string,sealed:binary,start:int,end:int>>"
+JOINED = f"provider string, response_text string, reply_us bigint, request_id string, mappings {MAPPINGS}"
+STATE = (
+    f"sets array<struct<stored:bigint,expires:bigint,tie:bigint,mappings:{MAPPINGS}>>, "
+    "replies array<struct<provider:string,response_text:string,us:bigint>>"
+)
+
+
+class RequestState:
+    """One request: the sets that may still matter and the replies that wait for them.
+
+    A reply takes the newest set stored up to its time, if that is still alive then. What was
+    stored up to a time is complete once the watermark has reached it, so replies wait until then. Of the sets stored up to
+    the watermark only the newest is kept, and that only until it expires: a later store replaces
+    a set as a whole, so an older one never comes back.
+    """
+
+    def __init__(self, sets: list[dict], replies: list[dict]):
+        self.sets, self.replies = sets, replies
+
+    def settle(self, now: int) -> list[tuple]:
+        """Replies that can be answered at watermark ``now`` (microseconds), with their mappings."""
+        out, waiting = [], []
+        self.sets.sort(key=lambda s: (s["stored"], s["expires"], -s["tie"]))
+        for reply in self.replies:
+            if reply["us"] > now:
+                waiting.append(reply)
+                continue
+            known = [s for s in self.sets if s["stored"] <= reply["us"]]
+            alive = known and reply["us"] < known[-1]["expires"]
+            out.append((reply["provider"], reply["response_text"], reply["us"], known[-1]["mappings"] if alive else None))
+        self.replies = waiting
+        old = [s for s in self.sets if s["stored"] <= now]
+        if old:
+            self.sets = [s for s in old[-1:] if s["expires"] > now] + self.sets[len(old) :]
+        return out
+
+    def next_time(self) -> int | None:
+        """When something changes without further rows: a reply is due or a set expires."""
+        times = [r["us"] for r in self.replies] + [max(s["stored"], s["expires"]) for s in self.sets]
+        return min(times, default=None)
+
+
+def _take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held = RequestState(*[[dict(x.asDict(True)) for x in part] for part in state.get]) if state.exists else RequestState([], [])
+    for batch in batches:
+        for row in batch.to_dict("records"):
+            if row["is_set"]:
+                mappings = [dict(m) for m in row["mappings"]]
+                held.sets.append({"stored": row["us"], "expires": int(row["expires_us"]), "tie": int(row["tie"]), "mappings": mappings})
+            else:
+                held.replies.append({"provider": row["provider"], "response_text": row["response_text"], "us": row["us"]})
+    watermark = state.getCurrentWatermarkMs()
+    done = held.settle(watermark * 1000)
+    due = held.next_time()
+    if due is None:
+        if state.exists:
+            state.remove()
+    else:
+        sets = [(s["stored"], s["expires"], s["tie"], [tuple(m[c] for c in ("token", "type", "sealed", "start", "end")) for m in s["mappings"]]) for s in held.sets]
+        state.update((sets, [(r["provider"], r["response_text"], r["us"]) for r in held.replies]))
+        state.setTimeoutTimestamp(max(-(-due // 1000), watermark + 1))
+    if done:
+        yield pd.DataFrame(
+            {
+                "provider": [d[0] for d in done], "response_text": [d[1] for d in done], "reply_us": [d[2] for d in done],
+                "request_id": key[0], "mappings": [d[3] for d in done],
+            }
+        )
+
+
+def _matched(replies: DataFrame, sets: DataFrame, lateness: timedelta, spread: int) -> DataFrame:
+    """Every reply with the mappings of its request, both from streams."""
+    use_rocksdb(replies.sparkSession)
+    delay = f"{int(lateness.total_seconds())} seconds"
+
+    def none(kind: str):
+        return F.lit(None).cast(kind)
+
+    asked = replies.withWatermark("reply_ts", delay).select(
+        F.col("request_id").cast("string").alias("request_id"), F.pmod(F.xxhash64("provider", "response_text", "reply_ts"), F.lit(spread)).alias("part"),
+        F.col("reply_ts").alias("at"), F.lit(False).alias("is_set"), F.unix_micros("reply_ts").alias("us"), "provider", "response_text",
+        none("bigint").alias("expires_us"), none("bigint").alias("tie"), none(MAPPINGS).alias("mappings"),
+    )
+    stored = sets.withWatermark("stored_at", delay).select(
+        F.col("request_id").cast("string").alias("request_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("part"),
+        F.col("stored_at").alias("at"), F.lit(True).alias("is_set"), F.unix_micros("stored_at").alias("us"), none("string").alias("provider"),
+        none("string").alias("response_text"), F.unix_micros("expires_at").alias("expires_us"), F.xxhash64("mappings").alias("tie"),
+        F.col("mappings").cast(MAPPINGS).alias("mappings"),
+    )
+    keyed = asked.unionByName(stored).groupBy("request_id", "part")
+    return keyed.applyInPandasWithState(_take, JOINED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rehydrate_stream(
     replies: DataFrame,
     sets: DataFrame,
     key: str | None,
-    ttl: timedelta = timedelta(seconds=P.MAPPING_TTL_SECONDS),
     lateness: timedelta = timedelta(0),
     types: Iterable[str] = TYPES,
+    spread: int = 1,
 ) -> DataFrame:
     """``request_id, provider, reply_ts, response, token_count, failure_kind``.
 
-    ``replies`` is a stream of ``request_id, provider, response_text, reply_ts``. Each
-    request has one mapping set (give the newest per request for a stored table).
+    ``replies`` is a stream of ``request_id, provider, response_text, reply_ts``. A reply outside the
+    lifetime of its set keeps its tokens.
 
-    Of stored ``sets`` the newest of each request is taken: a stream-static left join. Streaming ``sets``: a stream-stream
-    left join over ``stored_at <= reply_ts < expires_at``; both watermarks let Spark
-    drop a set from state once it has expired, so state is bounded by one ttl.
-    A reply outside the lifetime keeps its tokens.
+    Of stored ``sets`` the newest of each request is taken: a stream-static left join; for a large
+    table use ``rehydrate_batches``.
+
+    Streaming ``sets`` may hold any number of sets per request. State is kept by request: the
+    newest set until it expires, and replies until the watermark passes them, so each reply
+    comes out once, with the set that was in force at its time. Rows later than ``lateness``
+    are left out by Spark. ``spread`` deals the replies of a request to that many keys, each
+    with the sets, where one request may have a large share of all replies.
     """
-    sealed = (sets if sets.isStreaming else newest_sets(sets)).select(
-        F.col("request_id").alias("_rid"), "mappings", "stored_at", "expires_at"
-    )
-    alive = (F.col("reply_ts") >= F.col("stored_at")) & (F.col("reply_ts") < F.col("expires_at"))
-    on = (F.col("request_id") == F.col("_rid")) & alive
     if sets.isStreaming:
-        seconds = int(ttl.total_seconds())
-        delay = f"{int(lateness.total_seconds())} seconds"
-        replies = replies.withWatermark("reply_ts", delay)
-        sealed = sealed.withWatermark("stored_at", delay)
-        # stated on stored_at as well, so that Spark can bound the state by the ttl
-        on = on & (
-            F.col("reply_ts") < F.col("stored_at") + F.expr(f"INTERVAL {seconds} SECONDS")
-        )
-    joined = replies.join(sealed, on, "left")
+        joined = _matched(replies, sets, lateness, spread).withColumn("reply_ts", F.timestamp_micros("reply_us"))
+    else:
+        sealed = newest_sets(sets).select(F.col("request_id").alias("_rid"), "mappings", "stored_at", "expires_at")
+        alive = (F.col("reply_ts") >= F.col("stored_at")) & (F.col("reply_ts") < F.col("expires_at"))
+        joined = replies.join(sealed, (F.col("request_id") == F.col("_rid")) & alive, "left")
+    restored = attach(joined, "restored", restore("response_text", "mappings", key, tuple(types)))
+    return restored.select("request_id", "provider", "reply_ts", "restored.*")
+
+
+def rehydrated_batch(
+    replies: DataFrame, table: MappingTable, key: str | None, max_ttl: timedelta, types: Iterable[str] = TYPES
+) -> DataFrame:
+    """Replies of one batch restored from a mapping table.
+
+    Only days are read that can matter to the earliest reply, see ``operators.protection.recent``, and
+    only the sets of requests that have a reply with a token here are ranked and shuffled.
+    """
+    earliest = replies.agg(F.min(F.unix_micros("reply_ts"))).head()[0]
+    since = day_of(datetime.fromtimestamp((earliest or 0) / 1_000_000, timezone.utc) - max_ttl)
+    with_token = F.contains("response_text", F.lit(P.TOKEN_HINT))
+    asked = replies.filter(with_token).select(F.col("request_id").alias("_rid")).distinct()
+    mine = table.read(since).join(asked, F.col("request_id") == F.col("_rid"), "left_semi")
+    sealed = newest_sets(mine).select(F.col("request_id").alias("_rid"), "mappings", "stored_at", "expires_at")
+    alive = (F.col("reply_ts") >= F.col("stored_at")) & (F.col("reply_ts") < F.col("expires_at"))
+    joined = replies.join(sealed, (F.col("request_id") == F.col("_rid")) & alive & with_token, "left")
     restored = attach(joined, "restored", restore("response_text", "mappings", key, tuple(types)))
     return restored.select("request_id", "provider", "reply_ts", "restored.*")
+
+
+def rehydrate_batches(
+    replies: DataFrame,
+    table_path: str,
+    key: str | None,
+    out_path: str,
+    max_ttl: timedelta = timedelta(seconds=P.MAPPING_TTL_SECONDS),
+    compact_every: int = 20,
+    types: Iterable[str] = TYPES,
+    checkpoint: str | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Restore a stream of replies from the ``MappingTable`` at ``table_path``, which others may go on
+    filling: each batch reads the newest version. No set may live longer than ``max_ttl``.
+
+    Restored replies go to one folder per batch, which a batch that runs again replaces. Every
+    ``compact_every`` batches the days that new stores have added to are merged, so what a batch
+    reads does not grow with their number; 0 leaves that to others.
+    """
+    types = tuple(types)
+    hide_keys(replies.sparkSession)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        table = MappingTable(batch.sparkSession, table_path)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            table.compact()
+        restored = rehydrated_batch(batch, table, key, max_ttl, types)
+        restored.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    return start(replies, write_batch, "rehydrate", checkpoint, available_now)

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from textguard.sources.storage import new_path
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of streams in RocksDB on the executors, out of the heap; its changes go to the
+    checkpoint."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def start(
     stream: DataFrame,
     write_batch: Callable[[DataFrame, int], None],
