@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
-from textguard.functions.binding import attach
+from textguard.functions.binding import attach, bind
 from textguard.functions.detection import Detector
-from textguard.functions.sealing import hide_keys
+from textguard.functions.sealing import KeyConfigError, check_key, hide_keys, open_sealed, seal
 from textguard.operators import rehydration
 from textguard.operators.protection import seal_mappings, with_expiry
 from textguard.operators.routing import route_requests
@@ -30,6 +30,7 @@ class Analysis:
     results: DataFrame
     rejects: DataFrame
     staged: str | None = None
+    public: DataFrame | None = None
 
     def discard(self) -> None:
         """Remove what was written in between, once results and rejects have been used."""
@@ -82,11 +83,12 @@ def analyze_stored(
 ) -> Analysis:
     """The same chain with sealed mappings written before any reply is asked for.
 
-    What is written in between is masked texts and sealed mappings, nothing in the clear: the
-    mapping table and the outbound columns are read from it, replies meet it in one join on
-    ``request_id``, and the texts are masked once more where results are put together.
-    ``discard`` of the outcome removes it. ``reply_fn`` sees ``request_id, provider,
-    masked_text`` only.
+    Texts are detected and masked once. What is written in between is masked texts, places of
+    detections, and sealed values, nothing in the clear: the mapping table, the outbound
+    columns and the results are read from it, and replies meet it in one join on
+    ``request_id``. Only ``results`` reads the texts again, for its ``original_text``; ``public`` holds the same
+    rows without raw text and values. ``discard`` of the outcome removes what was written.
+    ``reply_fn`` sees ``request_id, provider, masked_text`` only.
 
     Every accepted request gives a result or a reject row: one without a reply is a provider
     failure, one whose reply cannot be restored is rejected as a whole. Request ids must be
@@ -99,12 +101,12 @@ def analyze_stored(
     detectors = tuple(detectors)
     types = (*P.PRIORITY, *(d.type for d in detectors))
     accepted, rejects = route_requests(requests, providers, max_length, at)
-    if accepted.groupBy("request_id").count().filter("count > 1").head(1):
-        raise ValueError("Request ids must be unique.")
     analyzed = with_analysis(accepted, "text", detectors)
+    places = F.transform("analysis.detections", lambda d: F.struct(d["type"].alias("type"), d["start"].alias("start"), d["end"].alias("end")))
     staged = with_expiry(
         analyzed.select(
-            "request_id", "provider", F.struct("analysis.masked_text").alias("analysis"),
+            "request_id", "provider", F.struct("analysis.masked_text").alias("analysis"), places.alias("places"),
+            _sealed_values(F.col("analysis.detections.value"), key).alias("values"),
             seal_mappings(F.col("analysis.mappings"), key).alias("mappings"),
             stored_at.cast("timestamp").alias("stored_at"),
         ), ttl,
@@ -112,23 +114,52 @@ def analyze_stored(
     path = new_path(spark, "analyzed")
     staged.write.parquet(path)
     staged = spark.read.schema(staged.schema).parquet(path)
+    if staged.groupBy("request_id").count().filter("count > 1").head(1):
+        remove(spark, path)
+        raise ValueError("Request ids must be unique.")
     sets = staged.filter(F.size("mappings") > 0)
     write_mappings(sets.select("request_id", "mappings", "stored_at", "expires_at"), mapping_path)
 
     replies = reply_fn(outbound(staged)).select("request_id", "response_text", F.lit(True).alias("answered"))
     live = F.when((F.size("mappings") > 0) & (F.col("expires_at") > now), F.col("mappings"))
-    waiting = staged.select("request_id", live.alias("mappings"))
+    waiting = staged.select("request_id", "provider", "analysis", "places", "values", live.alias("mappings"))
     restored = attach(
         waiting.join(replies, "request_id", "left"), "restored",
         rehydration.restore("response_text", "mappings", key, types),
     ).select(
-        "request_id", "restored.response",
+        "request_id", "provider", "analysis", "places", "values", "restored.response",
         F.when(F.col("answered").isNull(), F.lit("provider_failure"))
         .otherwise(F.col("restored.failure_kind")).alias("failure_kind"),
     )
-    good = analyzed.join(restored.filter(F.col("failure_kind").isNull()), "request_id")
+    good = restored.filter(F.col("failure_kind").isNull())
+    opened = open_sealed(F.col("values"), key) if _usable(key) else F.lit(None).cast("string")
+    values = F.from_json(F.when(F.size("places") > 0, opened), "array<string>")
+    found = bind(values, lambda v: F.transform("places", lambda d, i: F.struct(
+        d["type"].alias("type"), F.get(v, i).alias("value"), d["start"].alias("start"), d["end"].alias("end")
+    )))
+    raw = good.join(accepted.select("request_id", "text"), "request_id").withColumn("analysis", F.struct("analysis.masked_text", found.alias("detections")))
     return Analysis(
-        good.select(*_result("text", "provider", F.col("response"))),
+        raw.select(*_result("text", "provider", F.col("response"))),
         rejects.unionByName(rehydration.failed_replies(restored, at)),
         path,
+        good.select(
+            "request_id", F.col("analysis.masked_text").alias("processed_text"), "provider", F.lit(ANALYZED).alias("status"),
+            F.col("places").alias("detections"), "response",
+        ),
     )
+
+
+def _sealed_values(values: Column, key: str | None) -> Column:
+    """The values of a text's detections, sealed together; null without any. With an unusable key the
+    mappings of the same row raise the error."""
+    if not _usable(key):
+        return F.lit(None).cast("binary")
+    return F.when(F.size(values) > 0, seal(F.to_json(values), key))
+
+
+def _usable(key: str | None) -> bool:
+    try:
+        check_key(key)
+    except KeyConfigError:
+        return False
+    return True
