@@ -411,6 +411,10 @@ ORACLE |= {
         "count(*) AS replies FROM restored GROUP BY 1",
     ),
     "detections_by_type": sql(DET, f"SELECT type, {COUNTS} FROM det_texts GROUP BY type"),
+    "sketched_counts": sql(DET, f"SELECT type, {COUNTS}, true AS near FROM det_texts GROUP BY type"),
+    "sketched_live_requests": sql(
+        STORED, f"SELECT count(DISTINCT request_id) AS live_requests, true AS near FROM sets WHERE expires_at > {NOW}"
+    ),
     "detections_by_source": sql(
         DOC_SPANS,
         f"SELECT source, lang, type, {COUNTS} FROM det_docs JOIN documents "

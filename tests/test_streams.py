@@ -181,6 +181,26 @@ def test_kept_table_is_merged_and_purged(spark):
     assert {n for n, _ in kept._names("data")} == folders
 
 
+def test_sketches_count_without_old_days(spark):
+    from textguard.operators import sketches
+
+    kept = MappingTable(spark, new_path(spark, "table"))
+    rows = sets_of(spark, ("x", "x a@b.org", 0, 10)).drop("request_id")
+    many = rows.crossJoin(spark.range(30_000).selectExpr("cast(id as string) AS request_id"))
+    kept.store(many.withColumn("expires_at", F.when(F.col("request_id") % 3 == 0, F.lit(minute(2000))).otherwise(F.lit(minute(4000)))))
+    kept.store(many.filter("request_id < 9000").withColumn("expires_at", F.lit(minute(20))))
+    for now, wanted in ((10, 30_000), (30, 30_000), (2001, 20_000), (4001, 0)):
+        got = kept.sketched_requests(minute(now))
+        assert abs(got.first().live_requests - wanted) <= 0.04 * wanted
+    days = {f.split("day=")[1][:10] for f in got.inputFiles() if "day=" in f}
+    assert days <= {"2024-01-03"}
+    found = spark.range(60_000).selectExpr("'EMAIL' AS type", "concat('U', id % 20000, '@x.org') AS value", "id % 7 AS day")
+    both = found.unionByName(spark.range(3).selectExpr("'SSN' AS type", "cast(id as string) AS value", "id AS day"))
+    total = sketches.estimated(sketches.merged(sketches.value_sketches(both, "day").drop("day"), "type"), "values")
+    rows = {r.type: (r.detections, r["values"]) for r in total.collect()}
+    assert rows["SSN"] == (3, 3) and rows["EMAIL"][0] == 60_000 and abs(rows["EMAIL"][1] - 20_000) <= 800
+
+
 def test_writers_do_not_lose_each_other(spark):
     """Two writers that read the same version: the second one tries again on the newer."""
     path = new_path(spark, "table")

@@ -17,7 +17,7 @@ from textguard.functions import sealing as S
 from textguard.functions import validation as V
 from textguard.operators import protection as PR
 from textguard.operators import rehydration as RH
-from textguard.operators import reports, routing, texts
+from textguard.operators import reports, routing, sketches, texts
 from textguard.operators.throttle import token_bucket
 from textguard.plans.analyze import analyze, analyze_stored
 from textguard.plans.inputs import KEY, NOW_SECONDS, OTHER_KEY, all_texts, at, now, requests, table
@@ -603,6 +603,36 @@ def detections_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return reports.detections_by_type(texts.detections_table(all_texts(spark, sf)))
 
 
+def _near(estimate: str, exact: str) -> Column:
+    """Within five hundredths, or one."""
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(F.lit(1.0), 0.05 * F.col(exact))
+
+
+@query
+def sketched_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact counts by type, and whether sketches kept for parts and then merged come near them."""
+    found = texts.detections_table(all_texts(spark, sf))
+    parts = found.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(4)))
+    kept = write_once(sketches.value_sketches(parts, "part"), "sketches")
+    about = sketches.estimated(sketches.merged(kept.drop("part"), "type"), "values")
+    exact = reports.detections_by_type(found)
+    return exact.join(about, "type").select(
+        "type", "detection_count", "value_count",
+        (_near("values", "value_count") & (F.col("detections") == F.col("detection_count"))).alias("near"),
+    )
+
+
+@query
+def sketched_live_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Live requests of a kept table, exactly and whether its sketches come near."""
+    kept = mappings.MappingTable(spark, new_path(spark, "table"))
+    for _ in range(2):
+        kept.store(_sets(spark, sf))
+    about = kept.sketched_requests(datetime.fromtimestamp(NOW_SECONDS, timezone.utc)).withColumnRenamed("live_requests", "about")
+    exact = PR.live_request_count(kept.read(), now())
+    return exact.join(about, F.lit(True)).select("live_requests", _near("about", "live_requests").alias("near"))
+
+
 @query
 def detections_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Documents only: counts by type, source and language."""

@@ -16,7 +16,8 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textguard.operators.protection import SET_SCHEMA, live_sets
+from textguard.operators.protection import SET_SCHEMA, live_sets, utc_day
+from textguard.operators.sketches import LG_K, request_sketches
 from textguard.sources.storage import remove
 
 TABLE_SCHEMA = SET_SCHEMA + ", expires_on date"
@@ -47,13 +48,8 @@ def purge_expired(
     return read_mappings(spark, target)
 
 
-def utc_day(ts: str) -> Column:
-    """The day of a timestamp in UTC, whatever the session's zone."""
-    return F.expr(f"date_from_unix_date(cast(floor(unix_micros({ts}) / 86400000000) as int))")
-
-
 def day_of(moment: datetime) -> date:
-    """The same of a Python time; one without a zone is UTC."""
+    """The UTC day of a Python time; one without a zone is UTC."""
     return (moment if moment.tzinfo is None else moment.astimezone(timezone.utc)).date()
 
 
@@ -132,7 +128,10 @@ class MappingTable:
         rows = sets.select(*names, utc_day("expires_at").alias("expires_on")).withColumn("day", F.col("expires_on"))
         rows.write.partitionBy("day").parquet(f"{self.path}/{folder}")
         days = [n.removeprefix("day=") for n, _ in self._names(folder) if n.startswith("day=")]
-        return folder, [{"folder": f"{folder}/day={d}", "day": d} for d in sorted(days)]
+        entries = [{"folder": f"{folder}/day={d}", "day": d} for d in sorted(days)]
+        # beside them, as names with an underscore are no data: who expires when, in a few KB a day
+        request_sketches(self._frame(entries)).coalesce(1).write.parquet(f"{self.path}/{folder}/_requests")
+        return folder, entries
 
     def store(self, sets: DataFrame, stream: str | None = None, batch: int | None = None) -> None:
         """Add sets. A batch of a stream that is stored again takes the place of what it stored before;
@@ -212,6 +211,24 @@ class MappingTable:
             if self._replace(border, self._frame(border).withColumn("mappings", F.when(dead, nothing).otherwise(F.col("mappings")))):
                 return
 
+    def sketched_requests(self, now: datetime) -> DataFrame:
+        """``live_requests``: about how many requests have a live set, see ``operators.sketches`` for the error.
+
+        Days after today are counted by the sketches that each store has left; only today's
+        sets are read, and of those no sealed value. A request stored again counts once. One whose set was
+        replaced by a set that expires earlier counts until the older one would have expired.
+        """
+        entries, today = self.log()["entries"], day_of(now).isoformat()
+        moment = now if now.tzinfo is not None else now.replace(tzinfo=timezone.utc)
+        border = self._frame([e for e in entries if e["day"] == today])
+        border = border.filter(F.unix_micros("expires_at") > int(moment.timestamp() * 1_000_000))
+        sketches = border.agg(F.hll_sketch_agg("request_id", LG_K).alias("requests"))
+        roots = sorted({e["folder"].rsplit("/", 1)[0] for e in entries if e["day"] > today})
+        if roots:
+            later = self.spark.read.schema("expires_on date, requests binary").parquet(*[f"{self.path}/{r}/_requests" for r in roots])
+            sketches = sketches.unionByName(later.filter(F.col("expires_on") > F.lit(today).cast("date")).select("requests"))
+        return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("requests")).alias("live_requests"))
+
     def vacuum(self, older_than: timedelta = timedelta(hours=1)) -> None:
         """Delete older versions and the folders that the newest does not name, if nothing has changed in
         them for ``older_than``: the time that readers and jobs under way may take."""
