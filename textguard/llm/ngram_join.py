@@ -7,14 +7,16 @@ summed, so no task ever holds two whole sets.
 
 What comes before the fragments keeps nearly all texts out of them, without losing a link:
 
-* Equal sets are one node. N-grams are counted over all nodes, by ranges of their hashes. A node
-  of which more than a tenth of the n-grams stand nowhere else can link with nothing.
+* Equal sets are one node. A node of which more than a tenth of the n-grams stand nowhere else can
+  link with nothing. For most this shows in a quarter of the hashes: n-grams of that quarter are
+  counted over all nodes, by ranges of their hashes. What is left is counted once more and in full.
 * Two sets that agree share one of the first n-grams of both (of n, the first n - ceil(0.9n) + 1).
   A posting holds the nodes that begin with one n-gram. In rounds, every node of a posting is paired
   with one hub of it, links make components, and nodes of one component are never paired again: a
-  large group of near copies gives one pair per copy, not all pairs. Once few pairs are open, or
-  when a round links nothing, all pairs of different components are listed and counted, so
-  the rounds never decide what is found. Postings are dealt to cells of two chunks.
+  large group of near copies gives one pair per copy, not all pairs. Once no more pairs are open than a
+  task can go through, all of different components are compared by what they hold in each of
+  ``PARTS`` ranges of hashes, which bounds their overlap, and those within it are counted, so the
+  rounds never decide what is found. Postings are dealt to cells of two chunks.
 
 Every step reads a table that the step before it wrote, so a lost executor costs one step.
 Numbers of n-grams and nodes are 64-bit hashes.
@@ -39,7 +41,13 @@ PERCENT = 90
 FRAGMENTS = 8
 #: n-grams that a task counts at once, and that a task gathers before it sends them.
 BUCKET = 4_000_000
+LEAST_BUCKETS = 16
 GATHER = 1_000_000
+#: The part of all hashes that is counted first, and the ranges whose sizes bound an overlap.
+QUARTER = np.uint64(1 << 62)
+PARTS = 64
+#: Open pairs per row of a posting up to which all are compared.
+COMPARED = 256
 KEY_BYTES = 5  # of an n-gram's hash within its bucket; equal ones by chance only let a node stay longer
 CHUNK = 4_096
 BLOCK = 1 << 16
@@ -77,7 +85,7 @@ def node_of(found: np.ndarray) -> int | None:
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(30)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _short(keys: np.ndarray) -> bytes:
@@ -116,10 +124,10 @@ def _packed(sets: list[np.ndarray], nodes: list[int], buckets: int) -> Iterator[
 
 def surveyed(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Two kinds of rows, stored: (doc_id, node, n) for each document, and (node, alone) with how many
-    n-grams of a bucket no other node has."""
+    n-grams of a bucket no other node has. The buckets hold the first quarter of the hashes."""
     kind = docs.schema["doc_id"].dataType
     length = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    buckets = max(1, -(-(length // 6) // BUCKET))
+    buckets = max(LEAST_BUCKETS, -(-(length // 24) // BUCKET))
     names = ["bucket", "doc_id", "node", "n", "keys", "nodes", "counts", "more"]
     rows = f"bucket int, doc_id {kind.simpleString()}, node bigint, n bigint, keys binary, nodes binary, counts binary, more binary"
 
@@ -144,9 +152,9 @@ def surveyed(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 sizes.append(len(found))
                 if node is not None and node not in seen:
                     seen.add(node)
-                    sets.append(found)
+                    sets.append(found[: np.searchsorted(found, QUARTER)])
                     nodes.append(node)
-                    held += len(found)
+                    held += len(sets[-1])
                 if held >= GATHER:
                     yield sent()
                     sets, nodes, held = [], [], 0
@@ -182,22 +190,27 @@ def surveyed(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def ordered(docs: DataFrame, classes: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(node, n, rarity, shared): the n-grams that a node shares with others, in the global order,
-    each with its place from 0 to 1; nodes that can agree with no other are left out.
+    """(node, n, parts, rarity, shared): the n-grams that a node shares with others, in the global order,
+    each with its place from 0 to 1; nodes that can agree with no other are left out. ``parts`` is the
+    number of n-grams in each range of hashes, a byte each, null where one is too large for that.
 
     ``classes`` (node, n, first) names a document of each node. The order goes by bands of
     frequency, which are counted over all of them, and within a band by hash.
     """
-    texts = docs.select("doc_id", "text").join(classes, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "n", "text")
+    # what is left grows with the corpus, so both sides are sorted whatever their size here
+    texts = docs.select("doc_id", "text").join(classes.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "n", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, found = batch.column(0).to_pylist(), [ngrams(t, size) for t in batch.column(2).to_pylist()]
             own = [i for i, x in enumerate(found) if node_of(x) == node[i]]  # an id may have several texts
             lists = pa.array([found[i].view(np.int64) for i in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), batch.column(1).take(pa.array(own, pa.int64())), lists], ["node", "n", "grams"])
+            sizes = [np.bincount((found[i] >> np.uint64(58)).astype(np.int64), minlength=PARTS) for i in own]
+            parts = pa.array([s.astype(np.uint8).tobytes() if s.max() < 256 else None for s in sizes], pa.binary())
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), parts, lists], ["node", "n", "parts", "grams"])
 
-    sets = stored(texts.mapInArrow(cut, "node bigint, n bigint, grams array<bigint>").dropDuplicates(["node"]), "sets")
+    sets = stored(texts.mapInArrow(cut, "node bigint, n bigint, parts binary, grams array<bigint>").dropDuplicates(["node"]), "sets")
     flat = sets.select("node", F.explode("grams").alias("gram"))
     often = stored(flat.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
     band = F.floor(8 * F.log2(F.col("df").cast("double"))).cast("int")
@@ -209,8 +222,8 @@ def ordered(docs: DataFrame, classes: DataFrame, size: int = SIZE, percent: int
     place = F.get(F.array(*map(F.lit, before)), band) + F.get(F.array(*map(F.lit, width)), band) * within
     placed = flat.join(often, "gram").select("node", F.struct(place.alias("place"), "gram").alias("x"))
     shared = placed.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("shared"), F.sum("x.place").alias("sum"))
-    able = shared.join(sets.select("node", "n"), "node").filter(100 * F.size("shared") >= percent * F.col("n"))
-    return stored(able.select("node", "n", (1 - F.col("sum") / F.col("n")).alias("rarity"), "shared"), "ordered")
+    able = shared.join(sets.select("node", "n", "parts"), "node").filter(100 * F.size("shared") >= percent * F.col("n"))
+    return stored(able.select("node", "n", "parts", (1 - F.col("sum") / F.col("n")).alias("rarity"), "shared"), "ordered")
 
 
 def _segments(sets: DataFrame, fragments: int) -> DataFrame:
@@ -222,14 +235,14 @@ def _segments(sets: DataFrame, fragments: int) -> DataFrame:
 
 
 def _counted(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that agree: overlaps are counted for each fragment and summed."""
+    """The pairs (a, b, drawn) that agree: overlaps are counted for each fragment and summed."""
     def side(c: str) -> DataFrame:
         return segments.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), "fragment", F.col("grams").alias(f"grams_{c}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
-    part = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
-    whole = part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("common"))
-    return whole.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    part = both.select("a", "b", "drawn", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
+    whole = part.groupBy("a", "b", "drawn", "n_a", "n_b").agg(F.sum("part").alias("common"))
+    return whole.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b", "drawn")
 
 
 def _open_pairs(postings: DataFrame) -> tuple[int, int]:
@@ -241,8 +254,8 @@ def _open_pairs(postings: DataFrame) -> tuple[int, int]:
 
 
 def _with_hub(postings: DataFrame, number: int, percent: int) -> DataFrame:
-    """(a, b): every node of a posting with its hub, if they are of two components and of like size.
-    The first hub is the node with the commonest n-grams, such as the text that others were
+    """(a, b, drawn): every node of a posting and the hub of it, if they are of two components and of like
+    size. The first hub is the node with the commonest n-grams, such as the text that others were
     copied from; later ones are drawn."""
     drawn = F.col("rarity") if number == 0 else F.xxhash64(F.lit(number), "node").cast("double")
     hub = postings.groupBy("gram").agg(
@@ -250,19 +263,21 @@ def _with_hub(postings: DataFrame, number: int, percent: int) -> DataFrame:
     ).filter("low <> high").select("gram", "hub")
     joined = postings.join(hub, "gram").filter(F.col("label") != F.col("hub.label"))
     like = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    return joined.filter(like).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    return joined.filter(like).select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "hub.drawn").distinct()
 
 
-def _with_all(postings: DataFrame, percent: int, size: int = CHUNK) -> DataFrame:
-    """(a, b): all pairs of a posting that are of two components and can agree by size and place."""
+def _with_all(postings: DataFrame, sets: DataFrame, percent: int, size: int = CHUNK) -> DataFrame:
+    """(a, b, drawn): all pairs of a posting that are of two components and can agree by size, place and
+    what they hold in each range of hashes."""
     sizes = postings.groupBy("gram").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = sizes.filter("low <> high").select("gram", "m")
     chunk = F.expr(f"cast(pmod(xxhash64(node), (m + {size} - 1) div {size}) as int)")
     names = ["gram", "i", "j", "n", "chunk", "node", "label", "place"]
-    cells = (
+    cells = (  # only what is open needs its parts
         postings.join(sizes, "gram").withColumn("chunk", chunk)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.expr(f"cast((m - 1) div {size} as int)"))))
         .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).select(names)
+        .join(sets.select("node", "parts"), "node").select(*names, "parts")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +285,9 @@ def _with_all(postings: DataFrame, percent: int, size: int = CHUNK) -> DataFrame
             gram, i, j, n, chunk, node, label, place = (table[c].to_numpy().astype(np.int64) for c in names)
             new = np.flatnonzero(np.r_[True, (np.diff(gram) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
             end = np.repeat(np.r_[new[1:], len(gram)], np.diff(np.r_[new, len(gram)]))
+            held = table["parts"].to_pylist()
+            bounded = np.array([x is not None for x in held])
+            parts = np.frombuffer(b"".join(x or bytes(PARTS) for x in held), np.uint8).reshape(-1, PARTS)
             at, step = np.arange(len(gram)), 0
             while True:
                 step += 1
@@ -280,13 +298,17 @@ def _with_all(postings: DataFrame, percent: int, size: int = CHUNK) -> DataFrame
                 to = at + step
                 left = np.minimum(n[at] - place[at], n[to] - place[to])  # what both have from here on
                 able = (100 + percent) * left >= percent * (n[at] + n[to])
-                near = able & (label[at] != label[to]) & ((i[at] == j[at]) | (chunk[at] != chunk[to]))
+                near = np.flatnonzero(able & (label[at] != label[to]) & ((i[at] == j[at]) | (chunk[at] != chunk[to])))
+                x, y = at[near], to[near]
+                most = np.minimum(parts[x], parts[y]).sum(axis=1, dtype=np.int64)
+                near = ((100 + percent) * most >= percent * (n[x] + n[y])) | ~bounded[x] | ~bounded[y]
                 if near.any():
-                    x, y = node[at[near]], node[to[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    x, y = node[x[near]], node[y[near]]
+                    none = pa.nulls(len(x), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none], ["a", "b", "drawn"])
 
     dealt = cells.repartition(partitions(postings), "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n", "node")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint, drawn double").distinct()
 
 
 def links(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, chunk: int = CHUNK) -> DataFrame:
@@ -298,20 +320,26 @@ def links(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, c
     postings = sets.select("node", "n", "rarity", F.expr("n - size(shared)").alias("missing"), begin)
     postings = stored(postings.select("gram", "node", "n", "rarity", (F.col("missing") + F.col("at")).alias("place")), "postings")
     found = tried = None
+    labelled = postings.withColumn("label", F.col("node"))
     for number in range(ROUNDS + 1):
-        roots = None if found is None else components(found)
-        labelled = postings.withColumn("label", F.col("node")) if roots is None else (
-            postings.join(roots, "node", "left").select(*postings.columns, F.coalesce("root", "node").alias("label"))
-        )
-        rows, pairs = _open_pairs(labelled)
-        last = number == ROUNDS or pairs <= 4 * rows
-        pairs = _with_all(labelled, percent, chunk) if last else _with_hub(labelled, number, percent)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        rows, pairs = (0, 1) if number == 0 else _open_pairs(labelled)
+        last = number == ROUNDS or pairs <= COMPARED * rows
+        pairs = _with_all(labelled, sets, percent, chunk) if last else _with_hub(labelled, number, percent)
+        low, high = F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")
+        if tried is not None:
+            pairs = pairs.withColumns({"x": low, "y": high}).join(tried, ["x", "y"], "left_anti").drop("x", "y")
+        pairs = stored(pairs, "pairs")
         near = stored(_counted(pairs, segments, percent), "near")
         found = near if found is None else found.unionAll(near)
-        tried = pairs if tried is None else tried.unionAll(pairs)
         if last:
-            return found
+            return found.select("a", "b")
+        more = pairs.select(low, high)
+        tried = more if tried is None else tried.unionAll(more)
+        if number == 0:  # with its best hub: one label for all copies of a text
+            roots = near.groupBy("a").agg(F.min(F.struct("drawn", "b"))["b"].alias("root")).withColumnRenamed("a", "node")
+        else:
+            roots = components(found)
+        labelled = postings.join(roots, "node", "left").select(*postings.columns, F.coalesce("root", "node").alias("label"))
 
 
 def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragments: int = FRAGMENTS, chunk: int = CHUNK) -> DataFrame:
@@ -329,7 +357,7 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragments:
     classes = each.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     classes = stored(classes, "classes")
     able = classes.join(alone, "node", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
-    sets = ordered(docs, stored(able.select("node", "n", "first"), "able"), size, percent)
+    sets = ordered(docs, able.select("node", "n", "first"), size, percent)
     roots = components(links(sets, percent, fragments, chunk))
     rooted = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
