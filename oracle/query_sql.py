@@ -422,6 +422,9 @@ ORACLE |= {
     ),
     "client_keys": "SELECT c_custkey, sha256(c_name) AS client FROM customer",
     "throttled_events": DECISIONS,
+    "unthrottled_events": "SELECT event_type, event_id, true AS allowed, cast(NULL as bigint) AS retry_after FROM events",
+    "key_problems": """SELECT c_custkey, CASE c_custkey % 7 WHEN 3 THEN 'not 32 bytes' WHEN 4 THEN 'not Base64'
+      WHEN 5 THEN 'missing' WHEN 6 THEN 'missing' END AS problem FROM customer""",
     "throttle_summary": BUCKET + """SELECT event_type,
       count(*) FILTER (WHERE allowed) AS admitted, count(*) FILTER (WHERE NOT allowed) AS rejected,
       max(retry_after) AS max_retry_after FROM walk GROUP BY event_type""",

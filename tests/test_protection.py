@@ -203,3 +203,16 @@ def test_lookup_and_unresolved(spark):
     missing = {(r.request_id, r.token) for r in PR.unresolved_tokens(tokens, sets, at(1)).collect()}
     assert missing == {("a", "{{EMAIL_002}}"), ("b", "{{EMAIL_001}}")}
     assert PR.unresolved_tokens(tokens, sets, at(11)).count() == 3
+
+
+def test_key_problems_are_those_of_the_check(column):
+    keys = [KEY, f" {KEY}\n", KEY.rstrip("="), "", "  ", None, "*" + KEY, base64.b64encode(b"x" * 31).decode(), base64.b64encode(b"x" * 33).decode(), "a=b", "====", "no key"]
+    words = {"No": "missing", "is not valid": "not Base64", "exactly 32": "not 32 bytes"}
+    wanted = []
+    for key in keys:
+        try:
+            S.check_key(key)
+            wanted.append(None)
+        except S.KeyConfigError as error:
+            wanted.append(next(w for part, w in words.items() if part in str(error)))
+    assert column(S.key_problem, keys) == wanted

@@ -37,6 +37,19 @@ def check_key(key: str | None) -> bytes:
     return raw
 
 
+def key_problem(key: Column) -> Column:
+    """What ``check_key`` would say of a key in a table: ``missing``, ``not Base64``, ``not 32 bytes``; null
+    if it can be used. For lists of keys to be rolled out; never write such a table in the clear."""
+    text = F.regexp_replace(key, r"^\s+|\s+$", "")
+    padded = F.concat(text, F.repeat(F.lit("="), F.pmod(-F.length(text), F.lit(4))))
+    raw = F.try_to_binary(padded, F.lit("base64"))
+    return (
+        F.when(key.isNull() | (text == ""), F.lit("missing"))
+        .when(~text.rlike("^[A-Za-z0-9+/]*={0,2}$") | raw.isNull(), F.lit("not Base64"))
+        .when(F.octet_length(raw) != KEY_BYTES, F.lit("not 32 bytes"))
+    )
+
+
 def key_from_env() -> str | None:
     return os.environ.get(KEY_ENV)
 

@@ -371,6 +371,18 @@ def sealed_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def key_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys made of customers' names in good and bad forms, and what is wrong with each."""
+    raw = F.unhex(F.sha2("c_name", 256))
+    text, kind = F.base64(raw), F.col("c_custkey") % 7
+    key = (
+        F.when(kind == 0, text).when(kind == 1, F.rtrim(text, F.lit("="))).when(kind == 2, F.concat(F.lit(" "), text, F.lit("\n")))
+        .when(kind == 3, F.base64(F.substring(raw, 1, 31))).when(kind == 4, F.concat(F.lit("*"), text)).when(kind == 5, F.lit("  "))
+    )
+    return table(spark, sf, "customer", "c_custkey", "c_name").select("c_custkey", S.key_problem(key).alias("problem"))
+
+
 @query
 def base64_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The Base64 form of every sealed value, its lengths, and the way back."""
@@ -538,12 +550,15 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
         item = F.struct(F.lit("message").alias("type"), F.array(*parts).alias("content"))
         return F.to_json(F.struct(F.array(item).alias("output")))
 
-    def around(before: str, value: Column, after: str) -> Column:
-        return F.concat(F.lit(before), F.to_json(value), F.lit(after))
+    def around(before: str, value: Column, after: str, field: str | None = None) -> Column:
+        json = F.to_json(value)
+        if field:  # the value alone, without {"field": and }
+            json = F.substring(json, len(field) + 5, F.length(json) - len(field) - 5)
+        return F.concat(F.lit(before), json, F.lit(after))
 
     openai = (
         F.when(shape == 0, message(part, other, tail))
-        .when(shape == 1, F.to_json(F.struct(masked.alias("output_text"))))
+        .when(shape == 1, around('{"output_text":"first","output_text":', F.struct(masked.alias("v")), "}", "v"))
         .when(shape == 2, F.lit('{"output":[{"type":"reasoning"}]}'))
         .when(shape == 3, message(blank))
         .when(shape == 4, F.lit("not json at all{{{"))
@@ -562,7 +577,7 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
 
     anthropic = (
         F.when(shape == 0, content(block, tool, more))
-        .when(shape == 1, content(block))
+        .when(shape == 1, around('{"content":[{"type":"text","text":"first"}],"content":[', block, "]}"))
         .when(shape == 2, content(tool))
         .when(shape == 3, F.lit('{"content":[]}'))
         .when(shape == 4, F.lit("not json at all{{{"))
@@ -664,6 +679,14 @@ def throttled_events(spark: SparkSession, sf: str) -> DataFrame:
     return _decisions(spark, sf).select("event_type", "event_id", "allowed", "retry_after")
 
 
+@query
+def unthrottled_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event passes where throttling is switched off."""
+    events = table(spark, sf, "events", "event_id", "ts", "event_type")
+    passed = token_bucket(events, "event_type", "ts", "event_id", capacity=1, refill_per_minute=1, enabled=False)
+    return passed.select("event_type", "event_id", "allowed", "retry_after")
+
+
 @query
 def throttle_summary(spark: SparkSession, sf: str) -> DataFrame:
     return reports.throttle_summary(_decisions(spark, sf), "event_type")
