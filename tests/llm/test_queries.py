@@ -1,0 +1,41 @@
+"""Numbered queries beside their SQL; those without SQL have a test of their own."""
+
+import importlib
+
+import pytest
+
+from tests.compare import connect, spark_rows, sql_rows
+from textguard.llm.queries import ORACLE, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+#: Where a query has no SQL: what it is compared with instead.
+OTHERWISE = {
+    "op2_bk_simhash": "test_simhash.test_query_over_documents",
+    "op3_byte_planes": "test_tokens.test_planes_round_trip",
+    "op4_string_tiling": "test_tiling.test_leaks",
+    "op6_subword_language": "test_language.test_held_out_documents",
+    "op7_rule_ensemble": "test_quality.test_classifier_on_held_out_labels",
+    "op8_least_squares_packing": "test_tokens.test_packing",
+    "op10_external_shuffle": "test_sharding.test_odd_rows",
+}
+
+
+@pytest.fixture(scope="module")
+def db():
+    return connect(SF)
+
+
+def test_every_query_is_compared():
+    assert set(QUERIES) == set(ORACLE) | set(OTHERWISE) and not set(ORACLE) & set(OTHERWISE)
+    for place in OTHERWISE.values():
+        module, name = place.split(".")
+        assert callable(getattr(importlib.import_module(f"tests.llm.{module}"), name))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query(spark, db, name):
+    columns, got = spark_rows(QUERIES[name](spark, SF))
+    wanted_columns, wanted = sql_rows(db, ORACLE[name])
+    assert columns == wanted_columns
+    assert got == wanted
