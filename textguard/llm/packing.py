@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textguard.llm.common import stored
-from textguard.llm.tokens import encoded
+from textguard.llm.tokens import encoded, forget
 
 WINDOW = 2048
 PARTNERS = 24  # most frequent lengths that triples are built around
@@ -154,6 +154,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
             kinds = [batch.schema.field(0).type, pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        forget(tokenizer)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return stored(docs.select("doc_id", "text").mapInArrow(

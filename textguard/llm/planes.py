@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textguard.llm.tokens import encoded
+from textguard.llm.tokens import encoded, forget
 
 BLOCK_IDS = 65_536
 LEVEL = 3
@@ -99,6 +99,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
                     yield pa.RecordBatch.from_pylist([row], ARROW)
         if blocks.held:
             yield pa.RecordBatch.from_pylist([blocks.flush()], ARROW)
+        forget(tokenizer)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")

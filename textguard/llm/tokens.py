@@ -13,13 +13,15 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from itertools import islice, takewhile
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: White space other than blank and line end; what lower-casing or normalising may move.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　İΣ]")
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+KEPT = 60_000  # short pieces, which are the frequent ones, that a worker keeps when a task ends
 SHORT = 7
 TOGETHER = 2_000
 
@@ -35,6 +37,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self.marks = {"".join(takewhile(lambda c: not c.isalnum(), t)) for t in added}  # all begin with one, as "<|"
         self.known: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -90,7 +93,8 @@ class Encoder:
         for text in texts:
             flat = (text or "").replace("\n", " \n")
             simple = flat and flat[0] != " " and flat[-1] not in " \n" and "  " not in flat and "\n " not in flat
-            simple = simple and not self.added.search(flat)
+            if simple and any(m in flat for m in self.marks):
+                simple = not self.added.search(flat)
             cut.append(flat.split(" ") if simple else None)
         if len(self.known) > REMEMBERED:
             self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}  # the frequent ones
@@ -125,6 +129,12 @@ def encoded(path: str, texts: list[str | None], slice_bytes: int = 1 << 20):
     yield from own.encode(held)
 
 
+def forget(path: str) -> None:
+    """Let go of what a task has remembered; its worker lives on, and later stages need the memory."""
+    own = encoder(path)
+    own.known = dict(islice(((p, ids) for p, ids in own.known.items() if len(p) <= SHORT), KEPT))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
