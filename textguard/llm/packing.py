@@ -134,7 +134,7 @@ def plan(histogram: np.ndarray, window: int = WINDOW, first: int = 0) -> Plan:
     )
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, release: bool = True) -> DataFrame:
     """doc_id, ids and length of every document, with the rank of its tail among those of its
     length and of its whole windows, both within the task; written once, so ranks stay."""
     end = np.array([end_id], "<u4").tobytes()
@@ -154,7 +154,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
             kinds = [batch.schema.field(0).type, pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-        forget(tokenizer)
+        if release:
+            forget(tokenizer)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return stored(docs.select("doc_id", "text").mapInArrow(
@@ -162,14 +163,19 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
     ), "tokenized")
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def packed(
+    docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, with_ids: bool = False, release: bool = True
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with ``with_ids`` the ids as little-endian unsigned 32-bit numbers.
 
     Null and empty texts are the end id alone; rows without a doc_id and repeated rows are packed
     like others; other columns are ignored; an empty table gives no piece.
+
+    With ``release`` a task lets go of the pieces it remembers, for later work in the same workers;
+    without, the next task of a worker knows them already.
     """
-    rows = tokenized(docs, tokenizer, end_id, window)
+    rows = tokenized(docs, tokenizer, end_id, window, release)
     by_task = rows.groupBy("task", "tail").agg(F.count("*").alias("k"), F.sum(F.expr(f"n div {window}")).alias("full"))
     by_task = stored(by_task, "lengths")
     histogram = np.zeros(window, np.int64)

@@ -58,7 +58,7 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, release=False)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
