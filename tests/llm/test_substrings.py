@@ -56,16 +56,54 @@ def test_removal(spark, monkeypatch, shard_bytes):
     assert substrings.deduplicated(df.limit(0)).count() == 0
 
 
-def test_prefixes_grow_until_they_are_rare():
-    words = np.array([7, 7, 1, 2, 3, 7, 7, 7, 7, 7], np.uint64)
-    heavy = np.array([7], np.uint64), np.log(np.array([0.5]))
-    at, room = np.array([0, 2, 5]), np.array([5, 5, 5])
-    limit = np.log(1e-5)
-    got = substrings._prefixes(words, at, room, heavy, limit)
-    whole = lambda i, n: substrings._runs(words[i : i + n], n)[0]
-    assert got.tolist() == [whole(0, 4), whole(2, 2), whole(5, 5)]
-
-
-def test_nodes_are_common_prefixes():
-    node = substrings.deep_nodes([b"b c d", b"a b c", b"b c e", b"a b c d"], 2)
-    assert node.tolist() == [1, 0, 1, 0]
+def test_hot_prefixes_are_spread(spark, monkeypatch):
+    """A phrase with ever other words around it: its windows go by all their words."""
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 4_000)
+    rng = random.Random(4)
+    phrase = "alpha beta gamma delta epsilon zeta"
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    rows = [(d, f"{text(12)} {phrase} {text(12)}") for d in range(150)]
+    rows += [(200 + d, t) for d, t in rows[::3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (substrings.GROUP_WINDOWS, 20):
+        monkeypatch.setattr(substrings, "GROUP_WINDOWS", most)
+        got = substrings.deduplicated(df).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == naive(rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, n_words int, n_words_ int")
+    out = substrings.deduplicated(df)
+    assert out.columns == ["doc_id", "text", "n_words__", "n_words_", "kept_text", "n_words", "n_removed"]
+    assert [tuple(r) for r in out.collect()] == [(1, "a b", 5, 6, "a b", 2, 0)]
+
+
+def ended(runs):
+    """Runs of words one after another, each with an end of its own."""
+    words, at = [], []
+    for i, run in enumerate(runs):
+        at += range(len(words), len(words) + len(run))
+        words += [*run, 1000 + i]
+    return np.array(words), np.array(at)
+
+
+def test_suffix_order():
+    rng = random.Random(5)
+    for _ in range(60):
+        words, at = ended([[rng.randrange(3) for _ in range(rng.randrange(1, 25))] for _ in range(rng.randrange(1, 8))])
+        order, common = substrings.suffix_order(words, at)
+        suffix = [words[i:].tolist() for i in at[order]]
+        assert suffix == sorted(suffix) and sorted(order.tolist()) == list(range(len(at)))
+        alike = [next(i for i, (x, y) in enumerate(zip(a, b)) if x != y) for a, b in zip(suffix, suffix[1:])]
+        assert common.tolist() == [0, *alike]
+
+
+def test_a_long_repeat_is_one_node():
+    passage = list(range(60))
+    words, at = ended([[70, *passage, 71], [72, 73, *passage], passage])
+    order, common = substrings.suffix_order(words, at)
+    node, depth = substrings.deep_nodes(common, 13)
+    starts = np.isin(at[order], [1, 65, 126])
+    assert len(set(node[starts])) == 1 and depth[node[starts][0]] == 60
+    assert sorted(depth[depth > 0]) == list(range(13, 61))
+    assert substrings.deep_nodes(np.array([0, 2, 1, 3]), 2)[0].tolist() == [0, 0, 1, 1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ def private(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:12]}"
 
 
+def moved_aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Columns with one of ``names`` get underscores behind theirs until no column has that name."""
+    taken, moved = {c.lower() for c in df.columns} | set(names), {}
+    for column in df.columns:
+        if column.lower() in names:
+            other = column + "_"
+            while other.lower() in taken:
+                other += "_"
+            taken.add(other.lower())
+            moved[column] = other
+    return df.withColumnsRenamed(moved)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there and no value is drawn twice."""
     path = new_path(df.sparkSession, f"llm-{name}")

@@ -1,29 +1,29 @@
-"""Removal of repeated passages, by prefix-partitioned sorting of windows of words.
+"""Removal of repeated passages, by prefix-partitioned suffix trees.
 
 A window is ``length`` consecutive words of one document. A word goes if a window that covers it
 also starts in a document with a smaller id.
 
-1. Documents are dealt to shards of a memory size by their id. Each shard names the anchors of
-   its windows: the 5-word gram with the least hash in each window, the same wherever the same
-   window stands. Anchors that two documents have are kept; only windows with such an anchor can
-   repeat, so all others stay where they are.
+1. Documents are dealt to shards of a memory size. Each shard names the anchors of its windows:
+   the 5-word gram with the least hash in each window, the same wherever the same window stands.
+   Anchors that two documents have are kept; only windows with such an anchor can repeat, so all
+   others stay where they are. The windows of each anchor are counted over all shards.
 2. Of the remaining windows a shard sends each distinct one once, with its smallest document, to
-   the group of the suffix that begins at its anchor. The prefix that decides takes in as many
-   words as it needs to be rare enough for a memory-sized group, by word frequencies counted over
-   all documents. Windows one after another that go to one group travel as one run of words.
-3. A group sorts its windows; equal ones are the repeats, and each gives its smallest document
-   back to the shards. No suffix tree is built: there are no other depths, no maximal repeats.
-4. The shards remove what is covered.
-
-A passage that a third of all documents share is sent once per shard. Shards, groups and replies
-hold a bounded number of words; the texts are shuffled once and that exchange is read three times.
+   the group of a prefix. The prefix is the anchor; where more than ``GROUP_WINDOWS`` windows share
+   that, it is lengthened to the whole window. Windows one after another that go to one group
+   travel as one run of words, and each begins a suffix that ends with the run.
+3. A group is the subtree of its prefixes. Its suffixes are sorted by prefix doubling; the words
+   that neighbours have in common are the depths of the internal nodes. The highest node of
+   ``length`` or more words above a suffix is a repeat as long as the node is deep, and its
+   smallest document goes back to the shards. Nodes are no deeper than the runs are long.
+4. The shards remove what the repeats cover.
+
+A passage that a third of all documents share is sent once per shard; one with ever other words
+around it is spread over the groups by those. Shards, groups and replies hold a bounded number of
+words; the texts are shuffled once and that exchange is read three times.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,14 +32,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import private, stored
+from textguard.llm.common import moved_aside, private
 
 LENGTH = 13
 GRAM = 5
 SHARD_BYTES = 8 << 20
-GROUP_SHARE = 1e-7  # share of all windows that a prefix may be expected to start
-HEAVY = 1e-3  # word frequencies below count as this
-COUNTED = 500_000  # words counted at once; rare ones make room
+GROUP_WINDOWS = 1 << 16  # windows that may share a prefix before it is lengthened
 LATE = np.iinfo(np.int64).max  # rows without an id come after all others
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -51,6 +49,12 @@ class _Hashes(dict):
         return value
 
 
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _M2
     return x ^ (x >> np.uint64(29))
@@ -89,10 +93,6 @@ class Shard:
         """The anchor of each window."""
         return self._grams().min(axis=1)[self.at] if len(self.at) else np.empty(0, np.uint64)
 
-    def anchored(self, at: np.ndarray) -> np.ndarray:
-        """Where the anchors of the windows that start at ``at`` begin."""
-        return at + self._grams()[at].argmin(axis=1)
-
     def windows(self) -> np.ndarray:
         """A hash of each window."""
         return _runs(self.hash, self.length)[self.at] if len(self.at) else np.empty(0, np.uint64)
@@ -133,123 +133,109 @@ def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
     return pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds.items())})
 
 
-def deep_nodes(suffixes: list[bytes], depth: int) -> np.ndarray:
-    """The node of each suffix at ``depth`` words, numbered in sorted order.
+def suffix_order(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that begin at the places ``at``, and how many words each has in
+    common with the one before it.
 
-    Suffixes are words joined by single spaces. Neighbours in sorted order that part only after
-    ``depth`` words lie below the same node of that depth of the suffix tree.
+    Suffixes end at numbers that stand nowhere else; the last of ``words`` is one. Ranks by the
+    first 1, 2, 4, ... words are refined while suffixes share one; two suffixes have as many words
+    in common as the ranks say that agree.
     """
-    node = np.zeros(len(suffixes), np.int64)
-    number, before = -1, None
-    for i in sorted(range(len(suffixes)), key=suffixes.__getitem__):
-        head = suffixes[i]
-        if head.count(b" ") >= depth:
-            head = b" ".join(head.split(b" ", depth)[:depth])
-        if head != before:
-            number, before = number + 1, head
-        node[i] = number
-    return node
-
-
-def _prefixes(words: np.ndarray, at: np.ndarray, room: np.ndarray, heavy, limit: float) -> np.ndarray:
-    """A hash of the shortest prefix of each suffix (at ``at``, of ``room`` words) whose expected
-    share of all suffixes is within ``limit``; of the whole suffix if there is none."""
-    keys, logs = heavy
-    share = np.zeros(len(at))
-    prefix = np.zeros(len(at), np.uint64)
-    open_ = np.ones(len(at), bool)
-    for i in range(int(room.max()) if len(room) else 0):
-        open_ &= (share > limit) & (i < room) | (i == 0)
-        word = words[at[open_] + i]
-        prefix[open_] = (prefix[open_] + word) * _M1
-        if len(keys):
-            spot = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
-            share[open_] += np.where(keys[spot] == word, logs[spot], np.log(HEAVY))
-        else:
-            share[open_] += np.log(HEAVY)
-    return _mixed(prefix)
-
-
-def _frequencies(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
-    """Bytes of all texts, and sorted hashes and log frequencies of the words that make up
-    ``HEAVY`` or more of all words: at most 1 / HEAVY words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        size = total = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = (text or "").encode().split()
-                size += len((text or "").encode())
-                total += len(words)
-                counts.update(words)
-                if len(counts) > COUNTED:
-                    counts = Counter({w: n for w, n in counts.items() if n > HEAVY * total / 4})
-        rows = [(1, xxhash.xxh64_intdigest(w) - 2**63, n) for w, n in counts.items() if n > HEAVY * total / 4]
-        rows += [(0, 0, size), (0, 1, total)]
-        kind, key, n = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted = stored(counted, "words")
-    totals = {r["key"]: r["n"] for r in counted.filter("kind = 0").collect()}
-    size, total = totals.get(0, 0), totals.get(1, 0)
-    rows = counted.filter((F.col("kind") == 1) & (F.col("n") >= HEAVY * total)).collect()
-    keys = np.array([r["key"] + 2**63 for r in rows], np.uint64)
-    logs = np.log(np.array([r["n"] for r in rows], float) / max(1, total))
-    order = np.argsort(keys)
-    return size, (keys[order], logs[order])
+    last = len(words) - 1
+    rank = np.zeros(len(words), np.int64)
+    tied = np.arange(len(words))
+    key, size, ranks = words.astype(np.int64), 1, []
+    while len(tied):
+        by = np.argsort(key, kind="stable")
+        tied, key, before = tied[by], key[by], rank[tied[by]]
+        new = np.r_[True, np.diff(key) != 0]
+        place = np.arange(len(tied))
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        older = np.maximum.accumulate(np.where(np.r_[True, np.diff(before) != 0], place, 0))
+        rank[tied] = before + start - older
+        ranks.append(rank.astype(np.int32))
+        tied = tied[~(new & np.r_[new[1:], True])]
+        key = (rank[tied] << 32) | rank[np.minimum(tied + size, last)]
+        size *= 2
+    order = np.argsort(rank[at], kind="stable")
+    a, b = at[order][:-1], at[order][1:]
+    common = np.zeros(max(0, len(at) - 1), np.int64)
+    for i in range(len(ranks) - 1, -1, -1):
+        agree = ranks[i][np.minimum(a + common, last)] == ranks[i][np.minimum(b + common, last)]
+        common += agree.astype(np.int64) << i
+    return order, np.r_[np.zeros(min(1, len(at)), np.int64), common]
+
+
+def deep_nodes(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes in sorted order the number of the highest internal node of ``least`` or more
+    words above each, and the words of each node. A suffix without such a node has one of its own,
+    of no words."""
+    first = common < least
+    node = np.cumsum(first) - 1
+    begins = np.flatnonzero(first)
+    none = np.iinfo(np.int64).max
+    depth = np.minimum.reduceat(np.where(first, none, common), begins) if len(begins) else begins
+    return node, np.where(depth == none, 0, depth)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with ``kept_text`` (the words left, joined by one space), ``n_words`` and
-    ``n_removed``; input columns of these names get a trailing underscore.
+    ``n_removed``; input columns of these names get trailing underscores.
 
     Null and empty texts have no words. Rows without an id come after all others and remove
     nothing from each other; nor do rows with the same id. Texts shorter than a window are kept.
     Repeated rows come back as often; an empty table gives an empty result.
     """
     new = ("kept_text", "n_words", "n_removed")
-    docs = docs.withColumnsRenamed({c: f"{c}_" for c in docs.columns if c in new})
-    size, heavy = _frequencies(docs)
+    docs = moved_aside(docs, new)
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     shard = private("shard")
-    dealt = docs.withColumn(shard, F.expr(f"cast(pmod(xxhash64(doc_id), {shards}) as int)")).repartition(shards, shard)
-    limit = np.log(GROUP_SHARE)
+    dealt = docs.withColumn(shard, F.expr(f"cast(pmod(xxhash64(doc_id, text), {shards}) as int)")).repartition(shards, shard)
+    most = GROUP_WINDOWS
 
     def anchors(table: pa.Table) -> pa.Table:
         own = Shard(table, length)
-        found, _, low, high, _ = _least(own.anchors(), own.document)
-        of, shared = table[shard][0].as_py(), low < high
+        found, _, low, high, number = _least(own.anchors(), own.document)
+        _, distinct = np.unique(own.windows(), return_index=True)
+        n = np.bincount(number[distinct], minlength=len(found))
+        counted = (2 * n + (low < high)).astype(np.uint32)  # the lowest bit: two documents have it
+        of = table[shard][0].as_py()
         rows = [
-            (group, of, found[at].tobytes(), shared[at].tobytes())
+            (group, of, found[at].tobytes(), counted[at].tobytes())
             for group, at in _dealt((found % np.uint64(shards)).astype(np.int64))
         ]
-        return _table(rows, grp=pa.int32(), shard=pa.int32(), anchors=pa.binary(), shared=pa.binary())
+        return _table(rows, grp=pa.int32(), shard=pa.int32(), anchors=pa.binary(), counted=pa.binary())
 
     def known(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
-        inside = np.concatenate([np.frombuffer(x, bool) for x in table["shared"].to_pylist()])
-        distinct, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        twice = counts > 1
-        np.logical_or.at(twice, inverse, inside)
-        kept = np.split(twice[inverse], np.cumsum([len(p) for p in parts])[:-1])
-        rows = [(s, p[k].tobytes()) for s, p, k in zip(table["shard"].to_pylist(), parts, kept) if k.any()]
-        return _table(rows, shard=pa.int32(), anchors=pa.binary())
+        counted = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counted"].to_pylist()]).astype(np.int64)
+        distinct, inverse, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        twice = times > 1
+        np.logical_or.at(twice, inverse, counted % 2 == 1)
+        long = np.bincount(inverse, counted // 2, len(distinct)) > most
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        rows = [
+            (s, p[k].tobytes(), m[k].tobytes())
+            for s, p, k, m in zip(table["shard"].to_pylist(), parts, np.split(twice[inverse], cuts), np.split(long[inverse], cuts))
+            if k.any()
+        ]
+        return _table(rows, shard=pa.int32(), anchors=pa.binary(), long=pa.binary())
 
     def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        asked_for = [np.frombuffer(x, np.uint64) for x in right["anchors"].to_pylist()]
-        if left.num_rows and asked_for:
+        if left.num_rows and right.num_rows:
             own = Shard(left, length)
-            asked = np.isin(own.anchors(), np.concatenate(asked_for), kind="sort")
-            at = own.at[asked]
-            _, first, low, _, _ = _least(own.windows()[asked], own.document[asked])
+            wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in right["anchors"].to_pylist()])
+            long = np.concatenate([np.frombuffer(x, bool) for x in right["long"].to_pylist()])
+            anchor, window = own.anchors(), own.windows()
+            asked = np.flatnonzero(np.isin(anchor, wanted, kind="sort"))
+            _, first, low, _, _ = _least(window[asked], own.document[asked])
             by = np.argsort(first)
-            at, low = at[first[by]], low[by]
-            anchor = own.anchored(at)
-            prefix = _prefixes(own.hash, anchor, at + length - anchor, heavy, limit)
-            group = (prefix % np.uint64(shards)).astype(np.int64)
+            sent, low = asked[first[by]], low[by]
+            at = own.at[sent]
+            prefix = np.where(np.isin(anchor[sent], wanted[long]), window[sent], anchor[sent])
+            group = (_mixed(prefix) % np.uint64(shards)).astype(np.int64)
             begins = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(group) != 0)])
             counts = np.diff(np.r_[begins, len(at)])
             flat = [w for words in own.words for w in words]
@@ -257,33 +243,41 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for number, runs in _dealt(group[begins]):
                 start, count = at[begins[runs]], counts[runs]
                 text = b"\n".join([b" ".join(flat[a : a + n + length - 1]) for a, n in zip(start.tolist(), count.tolist())])
-                lows = np.concatenate([low[b : b + n] for b, n in zip(begins[runs].tolist(), count.tolist())])
-                rows.append((number, of, _pack(start), _pack(count), _pack(lows), zstandard.compress(text, 1)))
+                rows.append((number, of, _pack(start), _pack(count), _pack(low[begins[runs]]), zstandard.compress(text, 1)))
         return _table(
             rows, grp=pa.int32(), shard=pa.int32(), starts=pa.binary(), counts=pa.binary(), low=pa.binary(), words=pa.binary()
         )
 
     def tree(table: pa.Table) -> pa.Table:
-        paths: list[bytes] = []
-        lows, places = [], []
-        for row in table.to_pylist():
-            count = _unpack(row["counts"], np.int64)
-            for text, n in zip(zstandard.decompress(row["words"]).split(b"\n"), count.tolist()):
-                words = text.split(b" ")
-                paths += [b" ".join(words[i : i + length]) for i in range(n)]
-            begin = np.cumsum(count) - count
-            places.append(np.repeat(_unpack(row["starts"], np.int64) - begin, count) + np.arange(count.sum()))
-            lows.append(_unpack(row["low"], np.int64))
-        node, low = deep_nodes(paths, length), np.concatenate(lows)
-        least = np.full(int(node.max()) + 1, LATE)
-        np.minimum.at(least, node, low)
-        earlier = np.split(least[node], np.cumsum([len(p) for p in places])[:-1])
+        known, parts = _Numbers({b"\n": 0}), []
+        for text in table["words"].to_pylist():
+            split = zstandard.decompress(text).replace(b"\n", b" \n ").split(b" ")
+            parts.append(np.fromiter(map(known.__getitem__, split), np.int64, len(split)))
+            parts.append(np.zeros(1, np.int64))
+        words = np.concatenate(parts)
+        ends = np.flatnonzero(words == 0)
+        words[ends] = len(known) + np.arange(len(ends))
+        begin = np.r_[0, ends[:-1] + 1]
+        start, count, low = (np.concatenate([_unpack(x, np.int64) for x in table[c].to_pylist()]) for c in ("starts", "counts", "low"))
+        runs = np.cumsum([len(_unpack(x, np.int64)) for x in table["counts"].to_pylist()])
+        run = np.repeat(np.arange(len(count)), count)
+        along = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        order, common = suffix_order(words, begin[run] + along)
+        node, depth = deep_nodes(common, length)
+        run, along = run[order], along[order]
+        own = low[run]
+        least = np.minimum.reduceat(own, np.flatnonzero(common < length))
+        hit = np.flatnonzero(least[node] < own)
+        of = np.searchsorted(runs, run[hit], "right")
+        place, size, other = start[run[hit]] + along[hit], depth[node[hit]], least[node[hit]]
         rows = []
-        for s, place, own, other in zip(table["shard"].to_pylist(), places, lows, earlier):
-            hit = other < own
-            if hit.any():
-                rows.append((s, _pack(place[hit]), _pack(other[hit])))
-        return _table(rows, shard=pa.int32(), places=pa.binary(), low=pa.binary())
+        for part, at in _dealt(of):
+            at = at[np.argsort(place[at], kind="stable")]
+            upto = place[at] + size[at]
+            # What lies within a repeat before it says nothing new.
+            at = at[upto > np.r_[0, np.maximum.accumulate(upto)[:-1]]]
+            rows.append((table["shard"][part].as_py(), _pack(place[at]), _pack(size[at]), _pack(other[at])))
+        return _table(rows, shard=pa.int32(), places=pa.binary(), sizes=pa.binary(), low=pa.binary())
 
     outer = docs.columns
 
@@ -295,7 +289,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if right.num_rows:
                 place = np.concatenate([_unpack(x, np.int64) for x in right["places"].to_pylist()])
                 other = np.concatenate([_unpack(x, np.int64) for x in right["low"].to_pylist()])
-                np.minimum.at(low, number[np.searchsorted(own.at, place)], other)
+                windows = np.concatenate([_unpack(x, np.int64) for x in right["sizes"].to_pylist()]) - length + 1
+                along = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                hit = np.repeat(np.searchsorted(own.at, place), windows) + along
+                np.minimum.at(low, number[hit], np.repeat(other, windows))
             hit = own.at[low[number] < own.document]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + length, -1)
@@ -310,12 +307,12 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = out.append_column(name, values)
         return out
 
-    named = dealt.groupBy(shard).applyInArrow(anchors, "grp int, shard int, anchors binary, shared binary")
-    back = named.groupBy("grp").applyInArrow(known, "shard int, anchors binary")
+    named = dealt.groupBy(shard).applyInArrow(anchors, "grp int, shard int, anchors binary, counted binary")
+    back = named.groupBy("grp").applyInArrow(known, "shard int, anchors binary, long binary")
     sent = dealt.groupBy(shard).cogroup(back.groupBy("shard")).applyInArrow(
         suffixes, "grp int, shard int, starts binary, counts binary, low binary, words binary"
     )
-    repeats = sent.groupBy("grp").applyInArrow(tree, "shard int, places binary, low binary")
+    repeats = sent.groupBy("grp").applyInArrow(tree, "shard int, places binary, sizes binary, low binary")
     added = {"kept_text": F.lit(""), "n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}
     return dealt.groupBy(shard).cogroup(repeats.groupBy("shard")).applyInArrow(removed, docs.withColumns(added).schema)
 
