@@ -38,6 +38,20 @@ def test_odd_rows(spark):
     assert place(one) != place(other)
 
 
+def test_long_and_many_buckets(spark, monkeypatch):
+    """Buckets longer than a stretch, several buckets to a part, and clashing names."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(sharding, "LONGEST", 16)
+    data = [(i, f"text {i}", "x") for i in range(500)] + [(7, "same", "y")] * 200
+    df = rows(spark, data).withColumn("shard", F.lit(1)).withColumn("shard_", F.lit(2))
+    got = sharding.write_shards(df, new_path(spark, "shards"), shards=3).collect()
+    check(got, data, 3)
+    assert {(r.shard__, r.shard_) for r in got} == {(1, 2)}
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.text != "same"]
+    steps = [b - a for a, b in zip(order, order[1:])]
+    assert order != sorted(order) and -40 < sum(steps) / len(steps) < 40 and len(set(steps)) > 200
+
+
 def test_few_and_no_rows(spark):
     data = [(1, "a", None), (2, "b", None)]
     got = sharding.write_shards(rows(spark, data), new_path(spark, "shards")).collect()

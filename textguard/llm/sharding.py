@@ -1,14 +1,15 @@
 """Two-pass external shuffle into shards.
 
-First pass: a seeded hash scatters the rows uniformly over scatter groups of a memory size and
-orders them there. Second pass: each run of ``BUCKET_ROWS`` rows of a group is a bucket, whose
-rows a seeded Fisher-Yates shuffle puts in their final order. The groups one after another are
-the whole order, which is cut into shards whose row counts differ by one at most.
+First pass: a seeded hash scatters the rows uniformly over buckets of a memory size. Second pass:
+a seeded Fisher-Yates shuffle of the numbers of a bucket's rows gives each row its final place
+there, and the rows are sorted by place and written. The buckets one after another are the whole
+order, which is cut into shards whose row counts differ by one at most.
 
-Texts are shuffled once and written once. What is known of a group is one count, so the sums
-that place the groups are over as many rows as there are groups. A text with very many copies
-is no hot key: the hash takes in the id. Rows that agree in id and in text share a group, where
-they are streamed in sorted order and cut into buckets like any others.
+Neighbouring buckets lie in one partition, so few files are written. Texts are shuffled once and
+written once, and never gathered in arrays. What is known of a bucket is one count, so the sums
+that place the buckets are over as many rows as there are buckets. A text with very many copies
+is no hot key: the hash takes in the id. Rows that agree in id and in text share a bucket; one
+that they make longer than ``LONGEST`` rows is shuffled in stretches of that length.
 
 Null texts have size 16 and checksum null; null ids are scattered by their text; an empty table
 gives empty shards; other input columns are written along with the rows, whatever their names.
@@ -21,12 +22,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textguard.functions.binding import bind
-from textguard.llm.common import private
+from textguard.llm.common import moved_aside, private
 
 SHARDS = 40
 SEED = 20_241
-GROUP_BYTES = 64 << 20
-BUCKET_ROWS = 256
+PART_BYTES = 64 << 20
+BUCKET_BYTES = 8 << 20
+BUCKET_ROWS = 4096  # buckets have about so many rows at most
+LONGEST = 2 * BUCKET_ROWS  # further than chance takes a bucket of different rows
 OVERHEAD = 16
 
 
@@ -58,45 +61,45 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     """Write ``docs`` (doc_id, text and any others) as Parquet below ``path``; read it back.
 
     The rows are partitioned by ``shard`` and carry ``slot``, ``size`` and ``text_crc32``; input
-    columns of these names are written with a trailing underscore.
+    columns of these names are written with trailing underscores.
     """
-    taken = {"shard", "slot", "size", "text_crc32", "law", "grown_shard"}
-    docs = docs.withColumnsRenamed({c: f"{c}_" for c in docs.columns if c in taken})
+    docs = moved_aside(docs, ("shard", "slot", "size", "text_crc32", "law", "grown_shard"))
     held = docs.columns
-    key, group, n, at, upto, rows, item, perm = map(
-        private, ("key", "group", "n", "at", "upto", "rows", "item", "perm")
+    key, part, bucket, n, at, upto, full, rest, of_part, of_bucket = map(
+        private, ("key", "part", "bucket", "n", "at", "upto", "full", "rest", "of_part", "of_bucket")
     )
     total = docs.agg(F.count("*").alias("n"), F.sum(size_of(F.col("text"))).alias("bytes")).head()
-    groups = max(1, -(-(total["bytes"] or 0) // GROUP_BYTES), min(shards, total["n"]))
+    count, size = max(1, total["n"]), total["bytes"] or 0
+    parts = max(1, -(-size // PART_BYTES), min(shards, total["n"]))
+    each = max(1, -(-size // (BUCKET_BYTES * parts)), -(-count // (BUCKET_ROWS * parts)))
     scattered = docs.withColumn("text_crc32", F.crc32("text")).withColumn(
         key, F.xxhash64(F.lit(seed), "doc_id", "text_crc32")
-    ).withColumn(group, F.expr(f"cast(pmod(shiftright({key}, 8), {groups}) as int)"))
-    counts = scattered.groupBy(group).agg(F.count("*").alias(n))
-    placed = counts.select(
-        F.col(group).alias(f"{group}_"), n,
-        (F.sum(n).over(W.orderBy(group)) - F.col(n)).alias(upto),
+    ).withColumn(bucket, F.expr(f"cast(pmod(shiftright({key}, 8), {parts * each}) as int)"))
+    in_part = F.expr(f"cast({bucket} div {each} as int)")
+
+    counts = scattered.groupBy(bucket).agg(F.count("*").alias(n))
+    before = F.sum(n).over(W.orderBy(bucket)) - F.col(n)
+    placed = counts.withColumn(upto, before).withColumn(of_part, in_part).repartitionById(parts, of_part)
+    draws = F.lit(seed), F.col(bucket)
+    placed = placed.select(
+        of_part, F.col(bucket).alias(of_bucket), n, upto,
+        F.when(F.col(n) >= LONGEST, permutation(F.lit(LONGEST), *draws, F.lit(0))).alias(full),
+        permutation(F.expr(f"cast({n} % {LONGEST} as int)"), *draws, F.lit(1)).alias(rest),
     )
-    ordered = W.partitionBy(group).orderBy(key, "doc_id", "text")
-    gathered = (
+    numbered = (
         scattered.withColumn("size", size_of(F.col("text")))
-        .repartition(groups, group)
-        .withColumn(at, F.row_number().over(ordered) - 1)
-        .withColumn(rows, F.expr(f"cast({at} div {BUCKET_ROWS} as int)"))
-        .groupBy(group, rows)
-        .agg(F.array_sort(F.collect_list(F.struct(at, *held, "size", "text_crc32"))).alias(item))
-        .join(placed, F.col(group) == F.col(f"{group}_"))
+        .withColumn(part, in_part)
+        .repartitionById(parts, part)
+        .withColumn(at, F.row_number().over(W.partitionBy(part, bucket).orderBy(key, "doc_id", "text")) - 1)
     )
-    out = gathered.withColumn(perm, permutation(F.size(item), F.lit(seed), F.col(group), F.col(rows)))
-    out = out.select(
-        upto, rows,
-        F.posexplode(F.transform(perm, lambda p: F.get(F.col(item), p))).alias(at, item),
-    )
-    place = F.col(upto) + F.col(rows) * BUCKET_ROWS + F.col(at)
-    count = max(1, total["n"])
-    out = out.select(
-        *[F.col(item)[c].alias(c) for c in held], F.col(item)["size"].alias("size"),
-        F.col(item)["text_crc32"].alias("text_crc32"), place.alias(at),
+    # Both sides are dealt by partition number already: the join moves nothing.
+    joined = numbered.join(
+        placed.hint("merge"), (F.col(part) == F.col(of_part)) & (F.col(bucket) == F.col(of_bucket))
     )
+    within = F.col(at) % LONGEST
+    stretch = F.expr(f"{at} div {LONGEST}")
+    drawn = F.when(stretch < F.expr(f"{n} div {LONGEST}"), F.get(full, within)).otherwise(F.get(rest, within))
+    out = joined.select(*held, "size", "text_crc32", (F.col(upto) + stretch * LONGEST + drawn).alias(at))
     # Shard s holds places ceil(s * n / shards) up to the next such bound.
     out = out.withColumn("shard", F.expr(f"cast({at} * {shards} div {count} as int)"))
     first = F.expr(f"(shard * cast({count} as bigint) + {shards} - 1) div {shards}")
