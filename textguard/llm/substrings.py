@@ -196,6 +196,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def anchors(table: pa.Table) -> pa.Table:
         own = Shard(table, length)
+        own.words.clear()  # hashes are all that is needed here
         found, _, low, high, number = _least(own.anchors(), own.document)
         _, distinct = np.unique(own.windows(), return_index=True)
         n = np.bincount(number[distinct], minlength=len(found))
