@@ -190,3 +190,21 @@ def test_spans_are_sorted_disjoint_and_exact(column, texts):
             assert text[s.start:s.end] == s.value
             end = s.end
         assert hint or not spans
+
+
+def test_looked_up_places_equal_those_of_gaps(column):
+    """Values that stand elsewhere too, in other bytes or more often than is looked up."""
+    values = [
+        "x@b.org", "ax@b.org x@b.org", "-x@b.org, x@b.orgs x@b.org", "1.2.3.4", "91.2.3.4.5 1.2.3.4",
+        "\U0001F600 é 1.2.3.4 \U0001F600 x@b.org", " ".join(f"{i}.2.3.{i}" for i in range(12)),
+        "1.2.3.4 " + "é" * 5000 + " 5.6.7.8", "", None,
+    ]
+    for pattern, group in ((P.EMAIL_RUN, 1), (P.IP_ADDRESS, 0)):
+        got = column(lambda v: D.with_offsets(v, pattern, group), values)
+        gaps = column(lambda v: _by_gaps(v, pattern, group), values)
+        assert got == gaps
+
+
+def _by_gaps(text, pattern, group):
+    # with a tail that holds no match the text is longer than those in which values are looked up
+    return D.with_offsets(F.concat(text, F.lit("\n" + "ß" * 5000)), pattern, group)

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
 from textguard.functions.binding import (
-    bind, cut_blocks, cut_piece, fold_into_array, remember,
+    BLOCK, bind, cut_blocks, cut_piece, fold_into_array, remember,
 )
 
+#: Matches up to which each is looked up in the text.
+FEW = 8
 SPANS = "array<struct<type:string,value:string,start:int,end:int>>"
 _LOCATED = "array<struct<value:string,start:int>>"
 
@@ -27,19 +29,28 @@ def no_spans() -> Column:
 def with_offsets(text: Column, pattern: str, group: int = 0) -> Column:
     """Every match of ``pattern`` with its start: ``array<struct<value,start>>``.
 
-    The text is also split on the pattern, which gives the gaps between the matches; starts are
-    running sums of both. Texts without a match pay for one pass. With ``group`` the value is that
-    group of the match, which must reach to its end.
+    In short texts a match whose value stands nowhere else is simply looked up. Otherwise the text is
+    also split on the pattern, which gives the gaps between the matches; starts are running sums of
+    both. Texts without a match pay for one pass. With ``group`` the value is that group of the match,
+    which must reach to its end.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    def located(matches: Column) -> Column:
-        places = _sum_gaps(matches, F.split(text, pattern, -1))
+    def looked_up(values: Column) -> Column:
+        few = (F.size(values) <= FEW) & (F.length(text) <= BLOCK)
+        return F.when(few, F.transform(
+            values, lambda v: F.struct(v.alias("value"), (F.position(v, text) - 1).alias("start")),
+        ))
+
+    def alone(h: Column) -> Column:
+        return (h["start"] >= 0) & (F.position(h["value"], text, h["start"] + 2) == 0)
+
+    def located(values: Column) -> Column:
         if not group:
-            return places
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+            return _sum_gaps(values, F.split(text, pattern, -1))
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         return F.zip_with(
-            places, values,
+            _sum_gaps(matches, F.split(text, pattern, -1)), values,
             lambda p, v: F.struct(
                 v.alias("value"),
                 (p["start"] + F.length(p["value"]) - F.length(v)).alias("start"),
@@ -48,7 +59,10 @@ def with_offsets(text: Column, pattern: str, group: int = 0) -> Column:
 
     return bind(
         found,
-        lambda m: F.when(F.size(m) > 0, located(m)).otherwise(F.array().cast(_LOCATED)),
+        lambda m: F.when(
+            F.size(m) > 0,
+            bind(looked_up(m), lambda p: F.when(F.forall(p, alone), p).otherwise(located(m))),
+        ).otherwise(F.array().cast(_LOCATED)),
     )
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from textguard.functions import patterns as P
 from textguard.functions.binding import (
-    bind, cut_blocks, cut_piece, fold_into_array, remember,
+    BLOCK, bind, cut_blocks, cut_piece, fold_into_array, remember,
 )
 from textguard.functions.detection import (
     SPANS, Detector, detect, keep_disjoint,
 )
 
+#: Spans up to which tokens are found by comparing keys.
+FEW = 32
 TOKENS = "array<struct<type:string,value:string,start:int,end:int,token:string>>"
 MAPPINGS = "array<struct<token:string,type:string,original_value:string,start:int,end:int>>"
 
@@ -52,10 +54,35 @@ def clean_spans(spans: Column) -> Column:
 def assign_tokens(spans: Column) -> Column:
     """Add ``token`` to sorted disjoint spans.
 
-    One sequence per text across all types, by first occurrence; repeats reuse theirs. Equal
-    values are brought together by sorting, so n spans cost n log n.
+    One sequence per text across all types, by first occurrence; repeats reuse theirs. Few values are
+    looked up among the distinct ones; more are brought together by sorting, so n spans cost n log n.
     """
-    fields = ("type", "value", "start", "end")
+
+    def few(keys: Column) -> Column:
+        return bind(
+            F.array_distinct(keys),
+            lambda known: F.transform(keys, lambda k: F.array_position(known, k).cast("int")),
+        )
+
+    def numbers(keys: Column) -> Column:
+        small = (F.size(keys) <= FEW) & F.forall(keys, lambda k: k.isNotNull())
+        return F.when(small, few(keys)).otherwise(_sorted_numbers(keys))
+
+    def numbered(spans: Column) -> Column:
+        keys = F.transform(spans, lambda s: value_key(s["type"], s["value"]))
+        return F.zip_with(
+            spans, bind(keys, numbers),
+            lambda s, n: F.struct(
+                *[s[f].alias(f) for f in ("type", "value", "start", "end")],
+                F.format_string(P.TOKEN_FORMAT, s["type"], n).alias("token"),
+            ),
+        )
+
+    return bind(spans, numbered)
+
+
+def _sorted_numbers(keys: Column) -> Column:
+    """The number of each key by first occurrence, from sorting; a null key is like no other."""
     first_spec = "array<struct<first:int,i:int>>"
 
     def to_first(state: Column, x: Column) -> tuple[Column, Column]:
@@ -70,8 +97,7 @@ def assign_tokens(spans: Column) -> Column:
         return following, F.array(F.struct(x["i"].alias("i"), number.alias("number")))
 
     keyed = F.array_sort(F.transform(
-        spans,
-        lambda s, i: F.struct(value_key(s["type"], s["value"]).alias("key"), i.alias("i")),
+        keys, lambda k, i: F.struct(k.alias("key"), i.alias("i")),
     ))
     before = F.struct(F.lit(None).cast("string").alias("key"), F.lit(-1).alias("first"))
     firsts = fold_into_array(keyed, before, F.array().cast(first_spec), to_first)
@@ -79,13 +105,7 @@ def assign_tokens(spans: Column) -> Column:
     numbered = fold_into_array(
         F.array_sort(firsts), start, F.array().cast("array<struct<i:int,number:int>>"), to_number
     )
-    return F.zip_with(
-        spans, F.array_sort(numbered),
-        lambda s, n: F.struct(
-            *[s[f].alias(f) for f in fields],
-            F.format_string(P.TOKEN_FORMAT, s["type"], n["number"]).alias("token"),
-        ),
-    )
+    return F.transform(F.array_sort(numbered), lambda n: n["number"])
 
 
 def token_mappings(tokens: Column) -> Column:
@@ -94,26 +114,46 @@ def token_mappings(tokens: Column) -> Column:
     Numbers rise by first occurrence, so a token is new exactly if its number is the next one.
     """
 
-    def step(seen: Column, t: Column) -> tuple[Column, Column]:
-        new = F.regexp_extract(t["token"], P.TOKEN_NUMBER, 1).cast("int") > seen
-        mapping = F.struct(
+    def mapping(t: Column) -> Column:
+        return F.struct(
             t["token"].alias("token"), t["type"].alias("type"),
             t["value"].alias("original_value"), t["start"].alias("start"), t["end"].alias("end"),
         )
+
+    def step(seen: Column, t: Column) -> tuple[Column, Column]:
+        new = F.regexp_extract(t["token"], P.TOKEN_NUMBER, 1).cast("int") > seen
         return (
             F.when(new, seen + 1).otherwise(seen),
-            F.when(new, F.array(mapping)).otherwise(F.array().cast(MAPPINGS)),
+            F.when(new, F.array(mapping(t))).otherwise(F.array().cast(MAPPINGS)),
         )
 
-    return fold_into_array(tokens, F.lit(0), F.array().cast(MAPPINGS), step)
+    names = tokens["token"]
+    few = F.size(tokens) <= FEW
+    firsts = F.filter(tokens, lambda t, i: F.array_position(names, t["token"]) == i + 1)
+    return F.when(few, F.transform(firsts, mapping)).otherwise(
+        fold_into_array(tokens, F.lit(0), F.array().cast(MAPPINGS), step)
+    )
 
 
 def splice(text: Column, tokens: Column) -> Column:
     """Replace each span by its token in one pass; everything else stays as it is."""
 
     def pieces(r: Column) -> Column:
-        kept, blocks, length = r["kept"], r["blocks"], r["length"]
+        kept, length = r["kept"], r["length"]
 
+        def short(t: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
+            return F.concat(F.substring(text, before + 1, t["start"] - before), t["token"])
+
+        end = F.element_at(kept, -1)["end"]
+        in_one = F.concat(
+            F.array_join(F.transform(kept, short), ""), F.substring(text, end + 1, length - end)
+        )
+        return F.when(length <= BLOCK, in_one).otherwise(
+            bind(cut_blocks(text), lambda blocks: across(kept, blocks, length))
+        )
+
+    def across(kept: Column, blocks: Column, length: Column) -> Column:
         def piece(t: Column, i: Column) -> Column:
             before = F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
             return F.concat(cut_piece(blocks, before, t["start"]), t["token"])
@@ -124,9 +164,7 @@ def splice(text: Column, tokens: Column) -> Column:
     def inside(length: Column) -> Column:
         kept = F.filter(tokens, lambda t: t["end"] <= length)
         return bind(
-            F.struct(
-                kept.alias("kept"), cut_blocks(text).alias("blocks"), length.alias("length")
-            ),
+            F.struct(kept.alias("kept"), length.alias("length")),
             lambda r: F.when(F.size(r["kept"]) == 0, text).otherwise(pieces(r)),
         )
 
