@@ -94,6 +94,28 @@ def test_replaced_sets_give_one_reply_each(spark, spread):
     assert held[-1] <= 2 * spread  # only what ends the stream
 
 
+def test_state_of_a_request_is_one_column_of_text(spark, tmp_path):
+    """Few columns go to Python, odd texts come back as they were, and a set without values restores nothing."""
+    out, sets_path, replies_path = (str(tmp_path / name) for name in ("out", "sets", "replies"))
+    odd = 'q"\\ \u2028\x00 \U0001F600 {"a":1} {{EMAIL_001}}'
+    sets = sets_of(spark, ("a", "x a@b.org", 0, 10), ("n", "x n@b.org", 0, 10), ("end", "x e@b.org", 600, 1))
+    sets = sets.withColumn("mappings", F.expr("if(request_id = 'n', null, mappings)"))
+    replies = replies_of(spark, ("a", odd, 1), ("n", "{{EMAIL_001}}", 1), ("n", None, 1), ("end", "none", 600))
+    in_turn(spark, sets_path, sets)
+    in_turn(spark, replies_path, replies)
+    stream = rehydrate_stream(
+        spark.readStream.schema(REPLIES).parquet(replies_path), spark.readStream.schema(sets.schema).parquet(sets_path), KEY
+    )
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    state = [line for line in plan.splitlines() if "FlatMapGroupsInPandasWithState" in line]
+    assert len(state) == 1 and "row#" in state[0] and "provider#" not in state[0]
+    to_parquet(stream, out, "rehydrate").awaitTermination()
+    got = sorted(map(str, answers_of(spark, out)))
+    assert got == sorted(map(str, [
+        ("a", clock(1), odd.replace("{{EMAIL_001}}", "a@b.org")), ("n", clock(1), "{{EMAIL_001}}"), ("n", clock(1), None),
+    ]))
+
+
 def test_replies_in_batches_against_a_kept_table(spark):
     """Three batches; stores between them are seen; a batch reads only the days that can matter."""
     table, replies, out, checkpoint = (new_path(spark, n) for n in ("table", "replies", "out", "ck"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,11 +21,14 @@ from textguard.sources.mappings import MappingTable, day_of
 from textguard.streaming.sinks import start, use_rocksdb
 
 MAPPINGS = "array<struct<token:string,type:string,sealed:binary,start:int,end:int>>"
-JOINED = f"provider string, response_text string, reply_us bigint, request_id string, mappings {MAPPINGS}"
-STATE = (
-    f"sets array<struct<stored:bigint,expires:bigint,tie:bigint,mappings:{MAPPINGS}>>, "
-    "replies array<struct<provider:string,response_text:string,us:bigint>>"
+ROW = (
+    "struct<us:bigint,provider:string,response_text:string,expires:bigint,tie:bigint,mappings:string>"
 )
+#: A stream's row, the state of a request and its answers go to Python and back as JSON in one column: Spark
+#: turns every column of every request into a pandas series of its own. Sealed sets stay text on that way.
+STATE = "held string"
+AS_WRITTEN = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
+ANSWER = "struct<provider:string,response_text:string,us:bigint,request_id:string,mappings:string>"
 
 
 class RequestState:
@@ -63,14 +67,13 @@ class RequestState:
 
 
 def _take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = RequestState(*[[dict(x.asDict(True)) for x in part] for part in state.get]) if state.exists else RequestState([], [])
+    held = RequestState(*json.loads(state.get[0])) if state.exists else RequestState([], [])
     for batch in batches:
-        for row in batch.to_dict("records"):
-            if row["is_set"]:
-                mappings = [dict(m) for m in row["mappings"]]
-                held.sets.append({"stored": row["us"], "expires": int(row["expires_us"]), "tie": int(row["tie"]), "mappings": mappings})
+        for row in map(json.loads, batch["row"] if len(batch) else ()):
+            if "tie" in row:  # a set
+                held.sets.append({"stored": row["us"], "expires": row["expires"], "tie": row["tie"], "mappings": row.get("mappings")})
             else:
-                held.replies.append({"provider": row["provider"], "response_text": row["response_text"], "us": row["us"]})
+                held.replies.append({"provider": row.get("provider"), "response_text": row.get("response_text"), "us": row["us"]})
     watermark = state.getCurrentWatermarkMs()
     done = held.settle(watermark * 1000)
     due = held.next_time()
@@ -78,16 +81,11 @@ def _take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if state.exists:
             state.remove()
     else:
-        sets = [(s["stored"], s["expires"], s["tie"], [tuple(m[c] for c in ("token", "type", "sealed", "start", "end")) for m in s["mappings"]]) for s in held.sets]
-        state.update((sets, [(r["provider"], r["response_text"], r["us"]) for r in held.replies]))
+        state.update((json.dumps([held.sets, held.replies]),))
         state.setTimeoutTimestamp(max(-(-due // 1000), watermark + 1))
     if done:
-        yield pd.DataFrame(
-            {
-                "provider": [d[0] for d in done], "response_text": [d[1] for d in done], "reply_us": [d[2] for d in done],
-                "request_id": key[0], "mappings": [d[3] for d in done],
-            }
-        )
+        names = ("provider", "response_text", "us", "mappings")
+        yield pd.DataFrame({"row": [json.dumps({**dict(zip(names, d)), "request_id": key[0]}) for d in done]})
 
 
 def _matched(replies: DataFrame, sets: DataFrame, lateness: timedelta, spread: int) -> DataFrame:
@@ -98,19 +96,36 @@ def _matched(replies: DataFrame, sets: DataFrame, lateness: timedelta, spread: i
     def none(kind: str):
         return F.lit(None).cast(kind)
 
-    asked = replies.withWatermark("reply_ts", delay).select(
-        F.col("request_id").cast("string").alias("request_id"), F.pmod(F.xxhash64("provider", "response_text", "reply_ts"), F.lit(spread)).alias("part"),
-        F.col("reply_ts").alias("at"), F.lit(False).alias("is_set"), F.unix_micros("reply_ts").alias("us"), "provider", "response_text",
-        none("bigint").alias("expires_us"), none("bigint").alias("tie"), none(MAPPINGS).alias("mappings"),
+    def packed(**fields: Column) -> Column:
+        return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]).cast(ROW)).alias("row")
+
+    reply = packed(
+        us=F.unix_micros("reply_ts"), provider=F.col("provider"), response_text=F.col("response_text"),
+        expires=none("bigint"), tie=none("bigint"), mappings=none("string"),
+    )
+    sealed = packed(
+        us=F.unix_micros("stored_at"), provider=none("string"), response_text=none("string"),
+        expires=F.unix_micros("expires_at"), tie=F.xxhash64("mappings"), mappings=F.to_json(F.col("mappings").cast(MAPPINGS)),
+    )
+    request = F.col("request_id").cast("string").alias("request_id")
+    asked = replies.withWatermark("reply_ts", delay)
+    stored = sets.withWatermark("stored_at", delay)
+    keys = ["request_id"]
+    if spread > 1:
+        keys.append("part")
+        part = F.pmod(F.xxhash64("provider", "response_text", "reply_ts"), F.lit(spread))
+        asked = asked.withColumn("part", part)
+        stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
+    asked = asked.select(request, *keys[1:], F.col("reply_ts").alias("at"), reply)
+    stored = stored.select(request, *keys[1:], F.col("stored_at").alias("at"), sealed)
+    answers = asked.unionByName(stored).groupBy(*keys).applyInPandasWithState(
+        _take, "row string", STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
-    stored = sets.withWatermark("stored_at", delay).select(
-        F.col("request_id").cast("string").alias("request_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("part"),
-        F.col("stored_at").alias("at"), F.lit(True).alias("is_set"), F.unix_micros("stored_at").alias("us"), none("string").alias("provider"),
-        none("string").alias("response_text"), F.unix_micros("expires_at").alias("expires_us"), F.xxhash64("mappings").alias("tie"),
-        F.col("mappings").cast(MAPPINGS).alias("mappings"),
+    opened = attach(answers, "answer", F.from_json("row", ANSWER, AS_WRITTEN)).select("answer.*")
+    return opened.select(
+        "provider", "response_text", F.timestamp_micros("us").alias("reply_ts"), "request_id",
+        F.from_json("mappings", MAPPINGS, AS_WRITTEN).alias("mappings"),
     )
-    keyed = asked.unionByName(stored).groupBy("request_id", "part")
-    return keyed.applyInPandasWithState(_take, JOINED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rehydrate_stream(
@@ -136,7 +151,7 @@ def rehydrate_stream(
     with the sets, where one request may have a large share of all replies.
     """
     if sets.isStreaming:
-        joined = _matched(replies, sets, lateness, spread).withColumn("reply_ts", F.timestamp_micros("reply_us"))
+        joined = _matched(replies, sets, lateness, spread)
     else:
         sealed = newest_sets(sets).select(F.col("request_id").alias("_rid"), "mappings", "stored_at", "expires_at")
         alive = (F.col("reply_ts") >= F.col("stored_at")) & (F.col("reply_ts") < F.col("expires_at"))
