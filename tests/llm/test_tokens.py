@@ -136,3 +136,29 @@ def test_least_squares_repeats_what_fits():
     histogram[[60, 40]] = 500
     rows = packing.combinations(histogram, 100)
     assert np.allclose(packing.repeats(rows, histogram) @ (rows[:, :1] == 60), 500, atol=1)
+
+
+def test_batches_are_cut_by_bytes_and_memory_goes_back():
+    """A run of rows is about a slice of text, longer texts stand alone, and all rows come in order."""
+    import pyarrow as pa
+    from textguard.llm import tokens
+
+    texts = ["ab", None, "c" * 50, "", "dé", "e" * 9, "f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = list(tokens.slices(batch, 1, 10))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4], [5, 6]]
+    assert sum((p.column(1).to_pylist() for p in parts), []) == texts
+    assert list(tokens.slices(batch.slice(3, 3), 1, 10))[0].column(0).to_pylist() == [3, 4]
+    assert list(tokens.slices(batch.slice(0, 0), 1)) == []
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = tokens.Encoder(path)
+    own.known = {f"{n:07x}"[::-1]: b"1234" for n in range(70_000)}
+    before = dict(own.known)
+    tokens._encoders[path], known = own, tokens._encoders.get(path)
+    try:
+        held = next(iter(own.known))
+        tokens.forget(path)
+        assert own.known == dict(list(before.items())[: tokens.KEPT])
+        assert next(iter(own.known)) is not held  # a copy: the blocks of all that was known can go
+    finally:
+        tokens._encoders.pop(path) if known is None else tokens._encoders.update({path: known})

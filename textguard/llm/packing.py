@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textguard.llm.common import stored
-from textguard.llm.tokens import encoded, forget
+from textguard.llm.tokens import encoded, forget, slices
 
 WINDOW = 2048
 PARTNERS = 24  # most frequent lengths that triples are built around
@@ -143,7 +143,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         ranks, fulls = np.zeros(window, np.int64), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for doc_id, found in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1).to_pylist())):
                 ids = found + end
@@ -197,7 +197,7 @@ def packed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = known.value.place
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out = []
             for doc_id, ids, n, tail, rank, full in zip(*(c.to_pylist() for c in batch.columns)):
                 pieces = [(i * window, window, full + i, 0) for i in range(n // window)]

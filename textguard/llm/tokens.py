@@ -10,12 +10,16 @@ when normalised, are encoded whole. So are texts that hold the string of an adde
 
 from __future__ import annotations
 
+import pickle
 import re
 import string
 import unicodedata
+from collections.abc import Iterator
 from itertools import islice, takewhile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: White space other than blank and line end; what lower-casing or normalising may move.
@@ -115,6 +119,17 @@ class Encoder:
         return out
 
 
+def slices(batch: pa.RecordBatch, column: int, slice_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows of about ``slice_bytes`` of one column, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + slice_bytes, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def encoded(path: str, texts: list[str | None], slice_bytes: int = 1 << 20):
     """Yields the ids of each text, a slice of the texts at a time."""
     own = encoder(path)
@@ -132,7 +147,10 @@ def encoded(path: str, texts: list[str | None], slice_bytes: int = 1 << 20):
 def forget(path: str) -> None:
     """Let go of what a task has remembered; its worker lives on, and later stages need the memory."""
     own = encoder(path)
-    own.known = dict(islice(((p, ids) for p, ids in own.known.items() if len(p) <= SHORT), KEPT))
+    kept = pickle.dumps(dict(islice(((p, ids) for p, ids in own.known.items() if len(p) <= SHORT), KEPT)))
+    own.known = {}  # first: what is kept would hold on to the blocks that it shares with the rest
+    own.known = pickle.loads(kept)
+    pa.default_memory_pool().release_unused()
 
 
 _encoders: dict[str, Encoder] = {}
