@@ -162,3 +162,38 @@ def test_batches_are_cut_by_bytes_and_memory_goes_back():
         assert next(iter(own.known)) is not held  # a copy: the blocks of all that was known can go
     finally:
         tokens._encoders.pop(path) if known is None else tokens._encoders.update({path: known})
+
+
+WORDS = st.lists(st.text("aZéßÀÿ", min_size=1, max_size=6) | st.sampled_from(["the", "Straße", "LL", "s"]), min_size=1, max_size=9)
+ENDS = st.sampled_from([" ", " ", ", ", ".\n", "\n", "'' ", "'s ", "… ", "\nµ "])
+
+
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=200, deadline=None)
+@given(WORDS, ENDS, ENDS)
+def test_plain_words_go_straight_to_the_model(name, words, end, other):
+    """Words of Latin letters take no way through the library's cutting, and their ids are the library's."""
+    texts = [end.join(words) + other.strip(), other.join(words), " ".join(words), None, "", words[0]]
+    own = ENCODERS[name]
+    own.known = {}
+    for _ in range(2):  # not known, then known
+        for text, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == naive(name, text, 0)[:-1]
+    plain = [" ".join(words) + "!\n" + words[0]]
+    known, own.known = own.encode(plain), {}
+    own._learn_any = lambda pieces: pytest.fail(f"not plain: {pieces}") if pieces else None
+    try:
+        assert own.encode(plain) == known
+    finally:
+        del own._learn_any
+
+
+def test_other_cutting_goes_the_whole_way(tmp_path):
+    from tokenizers import normalizers
+
+    odd = Tokenizer.from_file(public_tokenizers.path(FILES[1]))
+    odd.normalizer = normalizers.Replace("e", "o")
+    odd.save(str(tmp_path / "odd.json"))
+    own = Encoder(str(tmp_path / "odd.json"))
+    text = "three Elements,\nseen here"
+    assert not own.direct and np.frombuffer(own.encode([text])[0], "<u4").tolist() == odd.encode(text).ids
