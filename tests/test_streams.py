@@ -11,6 +11,7 @@ from textguard.operators import texts
 from textguard.sources.mappings import MappingTable
 from textguard.sources.storage import Scratch, new_path
 from textguard.streaming import mask as mask_module
+from textguard.streaming import rehydrate as rehydrate_module
 from textguard.streaming.mask import mask_and_protect
 from textguard.streaming.rehydrate import RequestState, rehydrate_batches, rehydrate_stream, rehydrated_batch
 from textguard.streaming.sinks import to_parquet
@@ -145,6 +146,32 @@ def test_replies_in_batches_against_a_kept_table(spark):
     assert days == {"2024-01-01"} and "2023-12-29" in {e["day"] for e in kept.log()["entries"]}
 
 
+def test_a_batch_does_not_shuffle_the_whole_table(spark, monkeypatch):
+    """The ids of a batch go to the table whatever Spark's threshold; beyond the bound they meet in a shuffle."""
+    kept = MappingTable(spark, new_path(spark, "table"))
+    kept.store(sets_of(spark, ("a", "x a@b.org", 0, 10), ("b", "x b@b.org", 0, 10), ("c", "x c@b.org", 0, 10)))
+    kept.store(sets_of(spark, ("a", "x new@b.org", 1, 10)))
+    replies = replies_of(
+        spark, ("a", "{{EMAIL_001}}", 2), ("a", "{{EMAIL_001}}", 2), ("b", "none", 2), ("z", "{{EMAIL_001}}", 2),
+        (None, "{{EMAIL_001}}", 2), ("c", None, 2),
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bound, join in ((32_000_000, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(rehydrate_module, "SENT_IDS", bound)
+            restored = rehydrated_batch(replies, kept, KEY, timedelta(minutes=30))
+            plan = restored._jdf.queryExecution().executedPlan().toString()
+            assert [join in line for line in plan.splitlines() if "LeftSemi" in line] == [True]
+            got = sorted(map(str, (tuple(r) for r in restored.select("request_id", "response", "token_count").collect())))
+            assert got == sorted(map(str, [
+                ("a", "new@b.org", 1), ("a", "new@b.org", 1), ("b", "none", 0), ("z", "{{EMAIL_001}}", 0),
+                (None, "{{EMAIL_001}}", 0), ("c", None, 0),
+            ]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_masking_stopped_between_its_writes(spark, monkeypatch):
     """A batch dies after its sets were stored; run again, each set is there once."""
     source, masked, table, checkpoint = (new_path(spark, n) for n in ("in", "masked", "table", "ck"))

@@ -29,6 +29,8 @@ ROW = (
 STATE = "held string"
 AS_WRITTEN = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
 ANSWER = "struct<provider:string,response_text:string,us:bigint,request_id:string,mappings:string>"
+#: Bytes of ids, 32 more for each, up to which a batch sends them to all tasks that read the mapping table.
+SENT_IDS = 32_000_000
 
 
 class RequestState:
@@ -166,12 +168,17 @@ def rehydrated_batch(
     """Replies of one batch restored from a mapping table.
 
     Only days are read that can matter to the earliest reply, see ``operators.protection.recent``, and
-    only the sets of requests that have a reply with a token here are ranked and shuffled.
+    only the sets of requests that have a reply with a token here are ranked and shuffled: the ids of a batch
+    go to the table, so that it is not shuffled again for each batch. More than ``SENT_IDS`` meet it in a
+    shuffle, as a batch may be of any size.
     """
-    earliest = replies.agg(F.min(F.unix_micros("reply_ts"))).head()[0]
-    since = day_of(datetime.fromtimestamp((earliest or 0) / 1_000_000, timezone.utc) - max_ttl)
     with_token = F.contains("response_text", F.lit(P.TOKEN_HINT))
+    id_bytes = F.sum(F.when(with_token, F.octet_length(F.col("request_id").cast("string")) + 32))
+    earliest, sent = replies.agg(F.min(F.unix_micros("reply_ts")), id_bytes).head()
+    since = day_of(datetime.fromtimestamp((earliest or 0) / 1_000_000, timezone.utc) - max_ttl)
     asked = replies.filter(with_token).select(F.col("request_id").alias("_rid")).distinct()
+    if (sent or 0) <= SENT_IDS:
+        asked = F.broadcast(asked)
     mine = table.read(since).join(asked, F.col("request_id") == F.col("_rid"), "left_semi")
     sealed = newest_sets(mine).select(F.col("request_id").alias("_rid"), "mappings", "stored_at", "expires_at")
     alive = (F.col("reply_ts") >= F.col("stored_at")) & (F.col("reply_ts") < F.col("expires_at"))
